@@ -28,13 +28,16 @@ def latest_versions(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(version).alias(version))
 
 
-def next_versions(base: DataFrame, changes: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
-    """Base rows plus the changes, numbered one above the current version of their key."""
+def number_changes(base: DataFrame, changes: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
+    """The changes with a version one above the current one of their key (1 for new keys)."""
     current = latest_versions(base, keys, version).withColumnRenamed(version, "_current")
-    numbered = changes.drop(version).join(current, keys, "left").withColumn(
-        version, F.coalesce(F.col("_current") + 1, F.lit(1)).cast("bigint")
-    )
-    return base.unionByName(numbered.drop("_current"), allowMissingColumns=True)
+    numbered = changes.drop(version).join(current, keys, "left")
+    return numbered.withColumn(version, F.coalesce(F.col("_current") + 1, F.lit(1)).cast("bigint")).drop("_current")
+
+
+def next_versions(base: DataFrame, changes: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
+    """Base rows plus the numbered changes."""
+    return base.unionByName(number_changes(base, changes, keys, version), allowMissingColumns=True)
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
