@@ -34,10 +34,13 @@ def repair_mojibake(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Repair mojibake, drop control characters and characters beyond the basic plane, strip."""
-    text = repair_mojibake(text)
-    text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]|[\x{10000}-\x{10FFFF}]", "")
-    return strip(text)
+    """Repair mojibake, drop control characters and characters beyond the basic plane, strip.
+
+    Printable ASCII without outer blanks cannot change, so one cheap test spares it the rest.
+    """
+    cleaned = repair_mojibake(text)
+    cleaned = F.regexp_replace(cleaned, r"[\x00-\x08\x0B\x0C\x0E-\x1F]|[\x{10000}-\x{10FFFF}]", "")
+    return F.when(text.rlike("^ | $|[^ -~]"), strip(cleaned)).otherwise(text)
 
 
 def clean_string(text: Column) -> Column:

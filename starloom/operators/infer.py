@@ -85,120 +85,147 @@ def success_rates(corrections: DataFrame) -> DataFrame:
     )
 
 
-def date_scores(sample: DataFrame, rates: DataFrame | None = None) -> DataFrame:
-    """Per column and matching layout: match share, valid share and confidence."""
-    value = strip(F.col("value"))
+def _date_counts(value: Column) -> list[Column]:
+    """Per layout: values of its shape (_m<i>) and real dates among them (_v<i>)."""
     counts = []
     for i, pattern in enumerate(DATE_PATTERNS):
         matched = matches_date_pattern(value, pattern)
         counts.append(F.count_if(matched).alias(f"_m{i}"))
         counts.append(F.count_if(matched & valid_for_pattern(value, pattern)).alias(f"_v{i}"))
-    counted = sample.groupBy(*COLUMN_KEY).agg(F.count(F.lit(1)).alias("n"), *counts)
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(pattern).alias("pattern"),
-                F.lit(i).alias("pattern_order"),
-                F.lit(base).alias("base"),
-                F.col(f"_m{i}").alias("matches"),
-                F.col(f"_v{i}").alias("valid"),
+    return counts
+
+
+def _rate_map(rates: DataFrame | None) -> Column | None:
+    """Success rates as one map value; they have one row per layout, six at most."""
+    if rates is None:
+        return None
+    entries = F.collect_list(F.struct("pattern", "success_rate"))
+    return rates.agg(F.map_from_entries(entries).alias("rates")).scalar()
+
+
+def _date_entries(rates: Column | None) -> Column:
+    """Array over the layouts that match at all: confidence, order, pattern, shares."""
+    entries = []
+    for i, (pattern, (_, base)) in enumerate(DATE_PATTERNS.items()):
+        rate = F.lit(0.0) if rates is None else F.coalesce(F.try_element_at(rates, F.lit(pattern)), F.lit(0.0))
+        match_ratio = F.col(f"_m{i}") / F.col("n")
+        valid_ratio = F.col(f"_v{i}") / F.col(f"_m{i}")
+        entries.append(
+            F.when(
+                F.col(f"_m{i}") > 0,
+                F.struct(
+                    (base * match_ratio * valid_ratio * (0.8 + 0.2 * rate)).alias("confidence"),
+                    F.lit(-i).alias("tie"),
+                    F.lit(pattern).alias("pattern"),
+                    match_ratio.alias("match_ratio"),
+                    valid_ratio.alias("valid_ratio"),
+                ),
             )
-            for i, (pattern, (_, base)) in enumerate(DATE_PATTERNS.items())
-        ]
-    )
-    scores = counted.select(*COLUMN_KEY, "n", F.inline(entries)).where(F.col("matches") > 0)
-    if rates is not None:
-        scores = scores.join(rates.select("pattern", "success_rate"), "pattern", "left")
-        rate = F.coalesce(F.col("success_rate"), F.lit(0.0))
-    else:
-        rate = F.lit(0.0)
-    match_ratio, valid_ratio = F.col("matches") / F.col("n"), F.col("valid") / F.col("matches")
-    confidence = F.col("base") * match_ratio * valid_ratio * (0.8 + 0.2 * rate)
-    return scores.select(
-        *COLUMN_KEY, "pattern", "pattern_order", "n",
-        match_ratio.alias("match_ratio"), valid_ratio.alias("valid_ratio"), confidence.alias("confidence"),
-    )
+        )
+    return F.array_compact(F.array(*entries))
 
 
-def date_confidence(sample: DataFrame, rates: DataFrame | None = None) -> DataFrame:
-    """Best layout of each column; the earlier layout wins ties. Columns without any match are absent."""
-    rank = F.struct(F.col("confidence"), -F.col("pattern_order"))
-    return date_scores(sample, rates).groupBy(*COLUMN_KEY).agg(
-        F.max_by("pattern", rank).alias("date_pattern"), F.max("confidence").alias("date_confidence")
-    )
+def date_scores(sample: DataFrame, rates: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
+    """Per column and matching layout: match share, valid share and confidence."""
+    key = key or COLUMN_KEY
+    counted = sample.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_date_counts(strip(F.col("value"))))
+    return counted.select(*key, F.inline(_date_entries(_rate_map(rates)))).drop("tie")
 
 
-def numeric_features(sample: DataFrame) -> DataFrame:
-    """Pattern share, plain-decimal share, range and length consistency of each column."""
-    value = strip(F.col("value"))
-    tagged = sample.select(
-        *COLUMN_KEY,
-        numeric_pattern(value).alias("shape"),
-        F.length(value).alias("len"),
-        loose_number(value).alias("number"),
+def date_confidence(sample: DataFrame, rates: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
+    """Best layout of each column; the earlier layout wins ties. Columns without any match have NULLs."""
+    key = key or COLUMN_KEY
+    counted = sample.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_date_counts(strip(F.col("value"))))
+    best = F.array_max(_date_entries(_rate_map(rates)))
+    return counted.withColumn("_best", best).select(
+        *key, F.col("_best.pattern").alias("date_pattern"), F.col("_best.confidence").alias("date_confidence")
     )
-    stats = tagged.groupBy(*COLUMN_KEY).agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.count("shape") / F.count(F.lit(1))).alias("pattern_ratio"),
-        (F.count_if(F.col("shape") == "decimal") / F.count(F.lit(1))).alias("decimal_ratio"),
-        F.stddev_pop("len").alias("_len_std"),
-        F.avg("len").alias("_len_avg"),
-        F.count("number").alias("_parsed"),
-        F.stddev_pop("number").alias("_std"),
-        F.avg(F.abs("number")).alias("_scale"),
-    )
-    length = 1 / (1 + F.col("_len_std") / F.greatest(F.lit(1.0), F.col("_len_avg")))
+
+
+def _numeric_counts(value: Column) -> list[Column]:
+    shape, size, number = numeric_pattern(value), F.length(value), loose_number(value)
+    return [
+        F.count(shape).alias("_shaped"),
+        F.count_if(shape == "decimal").alias("_decimal"),
+        F.stddev_pop(size).alias("_len_std"),
+        F.avg(size).alias("_len_avg"),
+        F.count(number).alias("_parsed"),
+        F.stddev_pop(number).alias("_std"),
+        F.avg(F.abs(number)).alias("_scale"),
+    ]
+
+
+def _numeric_features() -> dict[str, Column]:
     spread = F.when(
         (F.col("_parsed") > 1) & (F.col("_std") > 0), 1 / (1 + F.try_divide(F.col("_std"), F.col("_scale")))
     )
-    return stats.select(
-        *COLUMN_KEY, "n", "pattern_ratio", "decimal_ratio",
-        F.coalesce(spread, F.lit(0.0)).alias("range_consistency"), length.alias("length_consistency"),
-    )
+    return {
+        "pattern_ratio": F.col("_shaped") / F.col("n"),
+        "decimal_ratio": F.col("_decimal") / F.col("n"),
+        "range_consistency": F.coalesce(spread, F.lit(0.0)),
+        "length_consistency": 1 / (1 + F.col("_len_std") / F.greatest(F.lit(1.0), F.col("_len_avg"))),
+    }
 
 
-def numeric_score() -> Column:
+def numeric_features(sample: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Pattern share, plain-decimal share, range and length consistency of each column."""
+    key = key or COLUMN_KEY
+    stats = sample.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_numeric_counts(strip(F.col("value"))))
+    return stats.select(*key, "n", *[c.alias(name) for name, c in _numeric_features().items()])
+
+
+def _numeric_score(features: dict[str, Column]) -> Column:
     weighted = F.lit(0.0)
     for feature, weight in NUMERIC_WEIGHTS.items():
-        weighted = weighted + F.col(feature) * weight
+        weighted = weighted + features[feature] * weight
     return F.least(F.lit(1.0), weighted)
 
 
-def numeric_confidence(sample: DataFrame, threshold: float = NUMERIC_THRESHOLD) -> DataFrame:
-    scored = numeric_features(sample).withColumn("numeric_confidence", numeric_score())
+def numeric_confidence(sample: DataFrame, threshold: float = NUMERIC_THRESHOLD, key: list[str] | None = None) -> DataFrame:
+    features = numeric_features(sample, key)
+    score = _numeric_score({name: F.col(name) for name in NUMERIC_WEIGHTS})
+    scored = features.withColumn("numeric_confidence", score)
     return scored.withColumn("is_numeric", F.col("numeric_confidence") > threshold)
 
 
-def infer_types(sample: DataFrame, rates: DataFrame | None = None,
-                numeric_threshold: float = NUMERIC_THRESHOLD) -> DataFrame:
-    """Type, confidence, layout, reasoning and three sample values of each sampled column."""
-    dates = date_confidence(sample, rates)
-    shown = sample.groupBy(*COLUMN_KEY).agg(F.slice(F.array_sort(F.collect_list("value")), 1, 3).alias("samples"))
-    joined = (
-        numeric_confidence(sample, numeric_threshold).join(dates, COLUMN_KEY, "left").join(shown, COLUMN_KEY)
+def infer_types(sample: DataFrame, rates: DataFrame | None = None, numeric_threshold: float = NUMERIC_THRESHOLD,
+                key: list[str] | None = None) -> DataFrame:
+    """Type, confidence, layout, reasoning and the sample of each column, from one aggregation."""
+    key = key or COLUMN_KEY
+    value = strip(F.col("value"))
+    counted = sample.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"),
+        *_date_counts(value),
+        *_numeric_counts(value),
+        F.array_sort(F.collect_list("value")).alias("sample_values"),
     )
-    date_conf = F.coalesce(F.col("date_confidence"), F.lit(0.0))
-    number_conf = F.col("numeric_confidence")
+    scored = counted.select(
+        *key,
+        "sample_values",
+        F.array_max(_date_entries(_rate_map(rates))).alias("_date"),
+        _numeric_score(_numeric_features()).alias("_number"),
+    )
+    date_conf, number_conf = F.coalesce(F.col("_date.confidence"), F.lit(0.0)), F.col("_number")
     is_date = date_conf > DATE_THRESHOLD
-    is_number = F.col("is_numeric") & (number_conf > 0.6) if numeric_threshold >= 0.6 else F.col("is_numeric")
-    return joined.select(
-        *COLUMN_KEY,
+    is_number = number_conf > numeric_threshold
+    return scored.select(
+        *key,
         F.when(is_date, "date").when(is_number, "numeric").otherwise("string").alias("inferred_type"),
         F.when(is_date, date_conf)
         .when(is_number, number_conf)
         .otherwise(F.greatest(F.lit(0.1), 1.0 - F.greatest(date_conf, number_conf)))
         .alias("type_confidence"),
-        F.when(is_date, F.col("date_pattern")).when(is_number, "numeric_measure").alias("pattern"),
+        F.when(is_date, F.col("_date.pattern")).when(is_number, "numeric_measure").alias("pattern"),
         F.when(
             is_date,
-            F.format_string("Detected %s date pattern with %.2f confidence", F.col("date_pattern"), date_conf),
+            F.format_string("Detected %s date pattern with %.2f confidence", F.col("_date.pattern"), date_conf),
         )
         .when(is_number, F.format_string("Detected numeric pattern with %.2f confidence", number_conf))
         .otherwise(
             F.format_string("No strong pattern detected. Date: %.2f, Numeric: %.2f", date_conf, number_conf)
         )
         .alias("reasoning"),
-        "samples",
+        "sample_values",
     )
 
 

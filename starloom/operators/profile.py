@@ -269,25 +269,20 @@ def quality_score_discover() -> Column:
 
 def _with_inference(tables: Tables, n: int, skip: tuple[str, ...], rates: DataFrame | None,
                     numeric_threshold: float, null_as_blank: bool) -> DataFrame:
+    """Counts and inferred types joined on the column id, the partitioning both already have."""
     index = value_index(tables, skip)
-    stats = with_catalog(tables, index_statistics(index), skip)
+    types = infer_types(index_samples(index, n), rates, numeric_threshold, key=["cid"])
+    stats = index_statistics(index).join(types, "cid", "left")
+    named = with_catalog(tables, stats, skip)
     if null_as_blank:
-        stats = stats.withColumn("null_count", F.col("null_count") + F.col("blank_count"))
-    samples = index_samples(index, n)
-    long = samples.join(column_catalog(tables, skip), "cid").select(*COLUMN_KEY, "value")
-    arrays = long.groupBy(*COLUMN_KEY).agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
-    types = infer_types(long, rates, numeric_threshold).drop("samples")
-    return (
-        stats.join(types, COLUMN_KEY, "left")
-        .join(arrays, COLUMN_KEY, "left")
-        .withColumns(
-            {
-                "inferred_type": F.coalesce("inferred_type", F.lit("string")),
-                "type_confidence": F.coalesce("type_confidence", F.lit(0.0)),
-                "reasoning": F.coalesce("reasoning", F.lit("No values to analyze")),
-                "sample_values": F.coalesce("sample_values", F.array().cast("array<string>")),
-            }
-        )
+        named = named.withColumn("null_count", F.col("null_count") + F.col("blank_count"))
+    return named.withColumns(
+        {
+            "inferred_type": F.coalesce("inferred_type", F.lit("string")),
+            "type_confidence": F.coalesce("type_confidence", F.lit(0.0)),
+            "reasoning": F.coalesce("reasoning", F.lit("No values to analyze")),
+            "sample_values": F.coalesce("sample_values", F.array().cast("array<string>")),
+        }
     )
 
 
@@ -348,6 +343,7 @@ def discover(tables: Tables, n: int = 10, rates: DataFrame | None = None,
         "inferred_type",
         "pattern",
         classify_simple(F.col("inferred_type")).alias("classification"),
+        "row_count",
         "cardinality",
         "null_count",
         F.slice("sample_values", 1, 5).alias("sample_values"),

@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from starloom.functions.text import clean_text, file_target_name
 
 
 def string_columns(df: DataFrame, null_as_empty: bool = True, clean: bool = True) -> DataFrame:
-    """Every column as text; NULL becomes '' unless asked otherwise; text is cleaned."""
+    """Every column as text; NULL becomes '' unless asked otherwise; text is cleaned.
 
-    def landed(name: str) -> Column:
-        text = F.col(f"`{name}`").cast("string")
+    Numbers, dates and flags render as plain ASCII, so only other types pay for the cleaning.
+    """
+    plain = (T.NumericType, T.DatetimeType, T.BooleanType)
+
+    def landed(field: T.StructField) -> Column:
+        text = F.col(f"`{field.name}`").cast("string")
         if null_as_empty:
             text = F.coalesce(text, F.lit(""))
-        return (clean_text(text) if clean else text).alias(name)
+        return (clean_text(text) if clean and not isinstance(field.dataType, plain) else text).alias(field.name)
 
-    return df.select(*[landed(name) for name in df.columns])
+    return df.select(*[landed(field) for field in df.schema])
 
 
 def read_csv_strings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
