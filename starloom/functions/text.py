@@ -72,7 +72,13 @@ def sha256_hex(text: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """One whole JSON value. The parser alone ignores what follows it, so it is also parsed in a list."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return (
+        F.try_parse_json(text).isNotNull()
+        & listed.isNotNull()
+        & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    )
 
 
 def json_or_default(text: Column, default: str) -> Column:
@@ -87,22 +93,35 @@ def safe_pct(part: Column, total: Column) -> Column:
     return safe_ratio(part, total) * 100
 
 
+def one_decimal(value: Column) -> Column:
+    """Non-negative number with one decimal, rounded by its exact binary value (half to even)."""
+    whole = F.floor(value)
+    rest = value - whole
+    tenth = F.floor(rest * 10)
+    tie = (tenth + 0.5) / 10
+    up = F.when(rest > tie, 1).when((rest == tie) & (tenth == 7), 1).otherwise(0)
+    tenths = whole * 10 + tenth + up
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"))
+
+
 def format_bytes(size: Column) -> Column:
+    """Size in the largest unit below 1024, e.g. ``1.5 KB``."""
     units = ["B", "KB", "MB", "GB", "TB", "PB"]
     size = size.cast("double")
-    shown = F.format_string(f"%.1f {units[-1]}", size / F.lit(1024.0 ** (len(units) - 1)))
+    shown = F.concat(one_decimal(size / F.lit(1024.0 ** (len(units) - 1))), F.lit(f" {units[-1]}"))
     for power in range(len(units) - 2, -1, -1):
         scaled = size / F.lit(1024.0**power)
-        shown = F.when(scaled < 1024.0, F.format_string(f"%.1f {units[power]}", scaled)).otherwise(shown)
+        shown = F.when(scaled < 1024.0, F.concat(one_decimal(scaled), F.lit(f" {units[power]}"))).otherwise(shown)
     return shown
 
 
 def format_duration(seconds: Column) -> Column:
+    """Seconds, minutes or hours, e.g. ``2.5m``."""
     seconds = seconds.cast("double")
     return (
-        F.when(seconds < 60, F.format_string("%.1fs", seconds))
-        .when(seconds < 3600, F.format_string("%.1fm", seconds / 60))
-        .otherwise(F.format_string("%.1fh", seconds / 3600))
+        F.when(seconds < 60, F.concat(one_decimal(seconds), F.lit("s")))
+        .when(seconds < 3600, F.concat(one_decimal(seconds / 60), F.lit("m")))
+        .otherwise(F.concat(one_decimal(seconds / 3600), F.lit("h")))
     )
 
 

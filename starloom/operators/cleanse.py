@@ -207,13 +207,17 @@ def flatten_nested(df: DataFrame, separator: str = "_", max_depth: int = 10) ->
 
 
 def _json_depth(df: DataFrame, text: str) -> int:
-    """Deepest nesting of the JSON documents, from one aggregate over their merged schema."""
-    merged = df.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(text))).alias("schema")).first()[0] or ""
-    depth = deepest = 0
-    for mark in merged:
-        depth += (mark == "<") - (mark == ">")
-        deepest = max(deepest, depth)
-    return deepest
+    """Deepest nesting of the JSON documents, from one aggregate over their brackets."""
+    outside_strings = F.regexp_replace(F.col(text), r'"(\\.|[^"\\])*"', "")
+    brackets = F.split(F.regexp_replace(outside_strings, r"[^{}\[\]]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("deepest"))
+
+    def step(seen: Column, mark: Column) -> Column:
+        now = seen["now"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(seen["deepest"], now).alias("deepest"))
+
+    deepest = F.aggregate(brackets, start, step, lambda seen: seen["deepest"])
+    return df.agg(F.max(F.when(F.try_parse_json(F.col(text)).isNotNull(), deepest))).first()[0] or 0
 
 
 def flatten_json_paths(df: DataFrame, text: str, keys: list[str], separator: str = "_",

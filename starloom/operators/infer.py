@@ -85,9 +85,18 @@ def success_rates(corrections: DataFrame) -> DataFrame:
     )
 
 
-def _date_counts(value: Column) -> list[Column]:
+def _prepared(sample: DataFrame, key: list[str]) -> DataFrame:
+    """Per value: stripped text, numeric shape, length and number, each computed once."""
+    text = F.col("_text")
+    return sample.select(*key, "value", strip(F.col("value")).alias("_text")).select(
+        *key, "value", "_text",
+        numeric_pattern(text).alias("_shape"), F.length(text).alias("_len"), loose_number(text).alias("_num"),
+    )
+
+
+def _date_counts() -> list[Column]:
     """Per layout: values of its shape (_m<i>) and real dates among them (_v<i>)."""
-    counts = []
+    value, counts = F.col("_text"), []
     for i, pattern in enumerate(DATE_PATTERNS):
         matched = matches_date_pattern(value, pattern)
         counts.append(F.count_if(matched).alias(f"_m{i}"))
@@ -128,30 +137,29 @@ def _date_entries(rates: Column | None) -> Column:
 def date_scores(sample: DataFrame, rates: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
     """Per column and matching layout: match share, valid share and confidence."""
     key = key or COLUMN_KEY
-    counted = sample.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_date_counts(strip(F.col("value"))))
+    counted = _prepared(sample, key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_date_counts())
     return counted.select(*key, F.inline(_date_entries(_rate_map(rates)))).drop("tie")
 
 
 def date_confidence(sample: DataFrame, rates: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
     """Best layout of each column; the earlier layout wins ties. Columns without any match have NULLs."""
     key = key or COLUMN_KEY
-    counted = sample.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_date_counts(strip(F.col("value"))))
+    counted = _prepared(sample, key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_date_counts())
     best = F.array_max(_date_entries(_rate_map(rates)))
     return counted.withColumn("_best", best).select(
         *key, F.col("_best.pattern").alias("date_pattern"), F.col("_best.confidence").alias("date_confidence")
     )
 
 
-def _numeric_counts(value: Column) -> list[Column]:
-    shape, size, number = numeric_pattern(value), F.length(value), loose_number(value)
+def _numeric_counts() -> list[Column]:
     return [
-        F.count(shape).alias("_shaped"),
-        F.count_if(shape == "decimal").alias("_decimal"),
-        F.stddev_pop(size).alias("_len_std"),
-        F.avg(size).alias("_len_avg"),
-        F.count(number).alias("_parsed"),
-        F.stddev_pop(number).alias("_std"),
-        F.avg(F.abs(number)).alias("_scale"),
+        F.count("_shape").alias("_shaped"),
+        F.count_if(F.col("_shape") == "decimal").alias("_decimal"),
+        F.stddev_pop("_len").alias("_len_std"),
+        F.avg("_len").alias("_len_avg"),
+        F.count("_num").alias("_parsed"),
+        F.stddev_pop("_num").alias("_std"),
+        F.avg(F.abs("_num")).alias("_scale"),
     ]
 
 
@@ -170,7 +178,7 @@ def _numeric_features() -> dict[str, Column]:
 def numeric_features(sample: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Pattern share, plain-decimal share, range and length consistency of each column."""
     key = key or COLUMN_KEY
-    stats = sample.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_numeric_counts(strip(F.col("value"))))
+    stats = _prepared(sample, key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_numeric_counts())
     return stats.select(*key, "n", *[c.alias(name) for name, c in _numeric_features().items()])
 
 
@@ -192,11 +200,10 @@ def infer_types(sample: DataFrame, rates: DataFrame | None = None, numeric_thres
                 key: list[str] | None = None) -> DataFrame:
     """Type, confidence, layout, reasoning and the sample of each column, from one aggregation."""
     key = key or COLUMN_KEY
-    value = strip(F.col("value"))
-    counted = sample.groupBy(*key).agg(
+    counted = _prepared(sample, key).groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"),
-        *_date_counts(value),
-        *_numeric_counts(value),
+        *_date_counts(),
+        *_numeric_counts(),
         F.array_sort(F.collect_list("value")).alias("sample_values"),
     )
     scored = counted.select(
