@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from checks.common import STAR_SCHEMA, catalog_cte, check, erd_cte, joined, silver, star, table
+from checks.common import RENAMES, STAR_SCHEMA, catalog_cte, check, erd_cte, silver, star, table
 from starloom.functions.names import type_family, types_compatible
 from starloom.operators import profile, relate
 
@@ -106,7 +106,7 @@ def g7_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relate.relationship_list(relate.join_candidates_by_name(erd(spark, sf_dir))).select("kind", *PAIR)
 
 
-def overlap_cte(tables: list[str] | None = None) -> str:
+def overlap_cte(tables: list[str] | None = None, renamed: bool = False, suffix: str = "") -> str:
     """Distinct text of every column, and shared values of every compatible pair of different tables."""
     parts, position = [], 0
     for tab in STAR_SCHEMA:
@@ -116,7 +116,8 @@ def overlap_cte(tables: list[str] | None = None) -> str:
                 shown = f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
             if tables is None or tab in tables:
                 parts.append(
-                    f"SELECT DISTINCT {position} AS cid, '{tab}' AS table_name, '{column}' AS column_name, "
+                    f"SELECT DISTINCT {position} AS cid, '{tab}{suffix}' AS table_name, "
+                    f"'{RENAMES[tab][column] if renamed else column}' AS column_name, "
                     f"'{type_family(kind)}' AS family, {shown} AS value FROM {tab} WHERE {column} IS NOT NULL"
                 )
                 position += 1
@@ -126,8 +127,8 @@ def overlap_cte(tables: list[str] | None = None) -> str:
        ON a.family = b.family AND a.value = b.value AND a.cid < b.cid AND a.table_name <> b.table_name GROUP BY ALL)"""
 
 
-def overlap_sql(tables: list[str] | None = None) -> str:
-    return f"""{overlap_cte(tables)}, linked AS (SELECT p.table_name AS table1, p.column_name AS column1, q.table_name AS table2,
+def overlap_sql(tables: list[str] | None = None, renamed: bool = False, suffix: str = "") -> str:
+    return f"""{overlap_cte(tables, renamed, suffix)}, linked AS (SELECT p.table_name AS table1, p.column_name AS column1, q.table_name AS table2,
       q.column_name AS column2, p.cardinality AS cardinality1, q.cardinality AS cardinality2, x.is_pk AS is_pk1, y.is_pk AS is_pk2,
       x.classification AS classification1, y.classification AS classification2,
       overlap_count, overlap_count * 1.0 / least(p.cardinality, q.cardinality) AS conf

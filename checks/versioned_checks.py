@@ -115,7 +115,6 @@ def l5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l6(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = rows(spark, sf_dir).select("user_id", "version", F.lit(1).alias("enabled"))
     doomed = rows(spark, sf_dir).where("event_type = 'error' AND value > 20").select("user_id").distinct()
-    # round() above keeps two decimals, the source has no more
     return versioned.latest_by_key(versioned.soft_delete(base, doomed, KEY), KEY, "version")
 
 
