@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks.common import IS_MEASURE, catalog_cte, check, silver, stats_cte
 from starloom.functions.names import name_similarity
 from starloom.operators import hierarchy, profile
+from starloom.session import cut_lineage
 
 S1 = "_stage1"
 LEVELS = f"""{stats_cte(renamed=True, suffix=S1)},
@@ -167,8 +168,8 @@ def h11(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def h12(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ["table_name"]
-    stored = hierarchy.hierarchy_rows(levels(spark, sf_dir)).select("table_name", "hierarchy_name", "root_column").withColumn(
-        "version", F.lit(1).cast("bigint"))
+    stored = cut_lineage(hierarchy.hierarchy_rows(levels(spark, sf_dir)).select("table_name", "hierarchy_name", "root_column")
+                         .withColumn("version", F.lit(1).cast("bigint")))
     edits = stored.where(F.col("table_name") == "part_stage1").select(
         "table_name", F.lit("products").alias("hierarchy_name"), F.lit(None).cast("string").alias("root_column"))
     edited = hierarchy.edit_hierarchies(stored, edits, key)

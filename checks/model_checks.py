@@ -10,11 +10,12 @@ from checks.relate_checks import overlap_sql
 from starloom.operators import calendar as cal
 from starloom.operators import hierarchy, model, profile, relate
 from starloom.plans.star import wide_table
+from starloom.session import cut_lineage
 
 
 def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ERD table rows, hierarchy rows, structure) of the silver tables."""
-    stats = profile.column_statistics(silver(spark, sf_dir, S1))
+    stats = cut_lineage(profile.column_statistics(silver(spark, sf_dir, S1)))  # a stored profile
     found = profile.erd_rules(stats)
     levels = hierarchy.hierarchy_levels(hierarchy.dimension_columns(stats))
     return profile.table_types(found), hierarchy.hierarchy_rows(levels), stats.select("table_name", "column_name", "position", "type_name")
@@ -133,7 +134,7 @@ def i7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendations with a final name each."""
     ending = F.when(F.col("table_type") == "fact", "_fact").otherwise("_dim")
-    return recommended(spark, sf_dir).withColumn("final_name", F.concat("original_table_name", ending))
+    return cut_lineage(recommended(spark, sf_dir).withColumn("final_name", F.concat("original_table_name", ending)))
 
 
 def gold_relationships(spark: SparkSession, sf_dir: str, recs: DataFrame) -> DataFrame:

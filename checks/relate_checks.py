@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks.common import RENAMES, STAR_SCHEMA, catalog_cte, check, erd_cte, silver, star, table
 from starloom.functions.names import type_family, types_compatible
 from starloom.operators import profile, relate
+from starloom.session import cut_lineage
 
 PAIR = relate.PAIR_KEY
 
@@ -246,7 +247,7 @@ def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN column1 = 'order_key' THEN 2 ELSE 1 END AS version FROM named WHERE column1 <> 'nation_key'""",
 )
 def g15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = relate.join_candidates_by_name(erd(spark, sf_dir)).select(*PAIR, "confidence", "relationship_type")
+    links = cut_lineage(relate.join_candidates_by_name(erd(spark, sf_dir)).select(*PAIR, "confidence", "relationship_type"))
     stored = links.withColumns({"version": F.lit(1).cast("bigint"), "removed": F.lit(False)})
     edits = links.where(F.col("column1").isin("nation_key", "order_key")).withColumns(
         {"confidence": F.lit(1.0), "action": F.when(F.col("column1") == "nation_key", "remove").otherwise("set")}

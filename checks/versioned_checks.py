@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks.common import catalog_cte, check, erd_cte, silver, star, stats_cte, table
 from starloom.operators import dictionary, profile, versioned
-from starloom.session import scratch_path
+from starloom.session import cut_lineage, scratch_path
 from starloom.streaming.jobs import stream_versions
 
 VERSIONED = "SELECT user_id, event_id AS version, event_type, round(value, 2) AS value FROM events"
@@ -188,7 +188,7 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = silver(spark, sf_dir)
     seeded = dictionary.seed_definitions(spark, {"gold": {n: df.schema for n, df in tables.items()}})
     filled = profile.column_statistics(tables).where(F.col("cardinality") > 0)
-    return seeded.join(filled, ["table_name", "column_name"], "left_semi")
+    return cut_lineage(seeded.join(filled, ["table_name", "column_name"], "left_semi"))
 
 
 DEFS = stats_cte(renamed=True)
@@ -274,7 +274,7 @@ def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = defs.where(F.col("table_name") == "part").select(*dictionary.KEYS, F.lit("known").alias("column_description"))
     cleared = defs.where(F.col("table_name") != "part").select(*dictionary.KEYS, F.lit(" ").alias("column_description"))
     current = dictionary.update_description(defs, done.unionByName(cleared))
-    made = dictionary.generate_missing(current, _context(profile.erd_profile(silver(spark, sf_dir))))
+    made = dictionary.generate_missing(current, _context(cut_lineage(profile.erd_profile(silver(spark, sf_dir)))))
     return made.select("table_name", "column_name", "column_description", "version")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starloom.functions.names import is_measure, name_similarity
+from starloom.session import cut_lineage
 
 CROSS_MINIMUM = 0.5
 
@@ -120,7 +121,11 @@ def _in_level_order(entry: Column) -> Column:
 
 
 def hierarchy_rows(levels: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """One row per table: root, leaf, levels between, parent, sibling and cross relationships as text."""
+    """One row per table: root, leaf, levels between, parent, sibling and cross relationships as text.
+
+    The levels (one row per column) are stored first because four results read them.
+    """
+    levels = cut_lineage(levels)
     inner = F.when(F.col("role") == "INTERMEDIATE", F.struct("level", F.col("column_name").alias("text")))
     chain = F.when(
         F.col("child").isNotNull(),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starloom.functions.names import is_measure
 from starloom.operators.versioned import latest_by_key
+from starloom.session import cut_lineage
 
 STAGE1_SUFFIX = "_stage1"
 
@@ -267,6 +268,11 @@ def relationship_keys(recommendations: DataFrame, relationships: DataFrame) -> D
 
 
 def related_dimensions(recommendations: DataFrame, relationships: DataFrame) -> DataFrame:
+    """Related pairs; both inputs are stored first because they are read several times."""
+    return _related(cut_lineage(recommendations), cut_lineage(relationships))
+
+
+def _related(recommendations: DataFrame, relationships: DataFrame) -> DataFrame:
     """(fact, dim, via): by relationship; for facts without any, by key names; else every dimension.
 
     The last form is not spelled out as pairs: ``via`` is 'any' with a NULL dimension, and
@@ -309,6 +315,7 @@ def choose_join_keys(recommendations: DataFrame, relationships: DataFrame) -> Da
     or starts with the dimension's name. Prefixes of the fact columns are exploded so that the name
     match is an equi-join. A related dimension without any key is left out.
     """
+    recommendations, relationships = cut_lineage(recommendations), cut_lineage(relationships)
     by_value = relationship_keys(recommendations, relationships).withColumns(
         {"rule": F.lit("relationship"), "rank": F.lit(0), "fact_pos": F.lit(0)}
     )
@@ -328,7 +335,7 @@ def choose_join_keys(recommendations: DataFrame, relationships: DataFrame) -> Da
               F.lit(1).alias("rank"), "fact_pos"]
     candidates = by_value.unionByName(equal.select(*wanted)).unionByName(prefix.select(*wanted))
 
-    related = related_dimensions(recommendations, relationships)
+    related = cut_lineage(_related(recommendations, relationships))
     listed = candidates.join(related.where(F.col("dim").isNotNull()), ["fact", "dim"], "left_semi")
     anything = candidates.join(related.where(F.col("via") == "any"), "fact", "left_semi")
     best = Window.partitionBy("fact", "dim").orderBy("rank", "fact_pos")

@@ -70,11 +70,30 @@ def index_statistics(index: DataFrame) -> DataFrame:
     )
 
 
+def column_counts(tables: Tables) -> DataFrame:
+    """(cid, row_count, null_count): one pass per table and no shuffle of values."""
+    parts, cid = [], 0
+    for df in tables.values():
+        counts = [F.count(F.lit(1)).alias("n")]
+        entries = []
+        for field in df.schema:
+            counts.append(F.count(F.col(f"`{field.name}`")).alias(f"_{cid}"))
+            entries.append(
+                F.struct(
+                    F.lit(cid).alias("cid"), F.col("n").alias("row_count"),
+                    (F.col("n") - F.col(f"_{cid}")).alias("null_count"),
+                )
+            )
+            cid += 1
+        parts.append(df.agg(*counts).select(F.inline(F.array(*entries))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def with_catalog(tables: Tables, stats: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     """Statistics with table and column names; columns of empty tables get zero counts."""
     counts = ["row_count", "null_count", "blank_count", "cardinality"]
     joined = column_catalog(tables, skip).join(stats, "cid", "left")
-    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts})
+    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts if c in stats.columns})
 
 
 def column_statistics(tables: Tables, skip: tuple[str, ...] = ()) -> DataFrame:

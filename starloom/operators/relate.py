@@ -13,7 +13,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starloom.functions.names import storage_type_name, type_family, types_compatible
-from starloom.operators.profile import COLUMN_KEY, Tables, column_catalog, erd_profile, table_types
+from starloom.operators.profile import (
+    COLUMN_KEY,
+    Tables,
+    column_catalog,
+    column_counts,
+    erd_profile,
+    erd_rules,
+    table_types,
+    with_catalog,
+)
+from starloom.session import cut_lineage
 
 BITS = 62  # columns per bit mask
 HIGH_CONFIDENCE = 0.7
@@ -170,14 +180,10 @@ def _members(columns: list[tuple[int, str, str, str]]) -> Column:
 def value_overlaps(tables: Tables, ignore: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Distinct counts (cid, cardinality) and shared distinct values (cid1, cid2, overlap_count).
 
-    Both read the same signature frame; pairs of columns of one table are left out.
+    Both come from one signature frame, which is stored first so that the data is read and shuffled once.
     """
     signatures, columns = value_signatures(tables, ignore)
-    if not columns:
-        empty = next(iter(tables.values())).sparkSession
-        return (empty.createDataFrame([], "cid int, cardinality bigint"),
-                empty.createDataFrame([], "cid1 int, cid2 int, overlap_count bigint"))
-    members = signatures.select("n", _members(columns).alias("members"))
+    members = cut_lineage(signatures.select("n", _members(columns).alias("members")))
     distinct = members.select("n", F.explode("members").alias("cid")).groupBy("cid").agg(
         F.sum("n").alias("cardinality")
     )
@@ -192,19 +198,18 @@ def relationship_type_by_data() -> Column:
     return F.when(both & covered, "one_to_one").when(covered, "one_to_many").otherwise("many_to_many")
 
 
-def join_candidates_by_overlap(tables: Tables, threshold: float = 0.8, ignore: list[str] | None = None,
-                               profile: DataFrame | None = None) -> DataFrame:
+def join_candidates_by_overlap(tables: Tables, threshold: float = 0.8, ignore: list[str] | None = None) -> DataFrame:
     """Column pairs of different tables whose smaller value set lies (mostly) inside the other one.
 
-    Confidence is the share of the smaller distinct set that is shared. ``profile`` is a frame from
-    ``erd_profile``; it is computed when not given.
+    Confidence is the share of the smaller distinct set that is shared. Key roles and classes need row,
+    NULL and distinct counts: the first two are a plain scan, the last falls out of the signatures, so
+    the whole job has a single large shuffle.
     """
-    profile = erd_profile(tables) if profile is None else profile
-    _, overlaps = value_overlaps(tables, ignore)
-    info = column_catalog(tables).select("cid", *COLUMN_KEY).join(
-        profile.select(*COLUMN_KEY, "type_name", "cardinality", "is_primary_key_candidate", "classification"),
-        COLUMN_KEY,
-    )
+    if not _candidate_columns(tables, ignore or []):
+        raise ValueError("no two tables have columns of comparable types")
+    distinct, overlaps = value_overlaps(tables, ignore)
+    stats = with_catalog(tables, column_counts(tables).join(distinct, "cid"))
+    info = erd_rules(stats).join(column_catalog(tables).select("cid", *COLUMN_KEY), COLUMN_KEY)
 
     def side(i: int) -> DataFrame:
         return info.select(
@@ -291,9 +296,13 @@ def erd_table_rows(profile: DataFrame, relationships: DataFrame, schema_name: st
 
 def analyze_erd(tables: Tables, threshold: float = 0.8, schema_name: str = "silver",
                 ignore: list[str] | None = None) -> dict[str, DataFrame]:
-    """Profile, relationships, table rows and summary of one schema."""
-    profile = erd_profile(tables)
-    relationships = join_candidates_by_overlap(tables, threshold, ignore, profile)
+    """Profile, relationships, table rows and summary of one schema.
+
+    Profile and relationships have one row per column and per link; both are stored because several of
+    the results read them.
+    """
+    profile = cut_lineage(erd_profile(tables))
+    relationships = cut_lineage(join_candidates_by_overlap(tables, threshold, ignore))
     return {
         "profile": profile,
         "relationships": relationships,

@@ -124,23 +124,27 @@ def rename_from_specs(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new or old) for old, new in names.items()])
 
 
-def count_all(tables: dict[str, DataFrame], side: str = "source") -> DataFrame:
-    """Row counts (name, count), one scan each, counted side by side."""
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(f"{side}_count_{name}").alias("name"), "row_count")
-        for name, df in tables.items()
+def _counted(tagged: list[tuple[str, str, DataFrame]]) -> DataFrame:
+    """(name, side, n) of all frames in one job; no column is read and only counts are shuffled."""
+    keys = [
+        df.select(F.lit(name).alias("name"), F.lit(side).alias("side"), F.lit(1).alias("one"))
+        for name, side, df in tagged
     ]
-    return reduce(DataFrame.unionByName, counts)
+    found = reduce(DataFrame.unionByName, keys).groupBy("name", "side").agg(F.sum("one").alias("n"))
+    wanted = tagged[0][2].sparkSession.createDataFrame([(n, s) for n, s, _ in tagged], "name string, side string")
+    return wanted.join(found, ["name", "side"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def count_all(tables: dict[str, DataFrame], side: str = "source") -> DataFrame:
+    """Row counts (name, row_count) of several tables."""
+    counts = _counted([(name, side, df) for name, df in tables.items()])
+    return counts.select(F.concat("side", F.lit("_count_"), "name").alias("name"), F.col("n").alias("row_count"))
 
 
 def reconcile_counts(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """Source and target rows per target table, and whether they agree."""
-    parts = []
-    for name, (source, target) in pairs.items():
-        for side, df in (("source", source), ("target", target)):
-            counted = df.agg(F.count(F.lit(1)).alias("n"))
-            parts.append(counted.select(F.lit(name).alias("target_table"), F.lit(side).alias("side"), "n"))
-    counts = reduce(DataFrame.unionByName, parts).groupBy("target_table").agg(
+    counts = _counted([(n, side, df) for n, both in pairs.items() for side, df in zip(("source", "target"), both)])
+    counts = counts.groupBy(F.col("name").alias("target_table")).agg(
         F.sum(F.when(F.col("side") == "source", F.col("n"))).alias("source_count"),
         F.sum(F.when(F.col("side") == "target", F.col("n"))).alias("target_count"),
     )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from starloom.operators.model import DimensionJoin, k_table
-from starloom.operators.profile import Tables, discover
-from starloom.operators.typed import build_stage1, column_specs
+from starloom.operators.hierarchy import dimension_columns, hierarchy_levels, hierarchy_rows
+from starloom.operators.model import DimensionJoin, k_table, recommend
+from starloom.operators.profile import Tables, column_statistics, discover, erd_rules, table_types
+from starloom.operators.typed import build_stage1
+from starloom.session import cut_lineage
 from starloom.sources.ingest import land
 
 
@@ -29,10 +31,20 @@ def typed_from_text(bronze: Tables, sample: int = 10, numeric_threshold: float =
     return {name: build_stage1(df, specs[name]) for name, df in bronze.items()}
 
 
+def recommend_star(tables: Tables) -> DataFrame:
+    """Fact and dimension recommendations for typed tables.
+
+    The column statistics are the only heavy step; they are stored once (one row per column) and every
+    rule reads the stored frame.
+    """
+    stats = cut_lineage(column_statistics(tables))
+    levels = hierarchy_levels(dimension_columns(stats))
+    structure = stats.select("table_name", "column_name", "position", "type_name")
+    return recommend(table_types(erd_rules(stats)), hierarchy_rows(levels), structure)
+
+
 def wide_table(fact: DataFrame, dims: dict[str, tuple[DataFrame, str, str]], allow_duplicates: bool = False) -> DataFrame:
     """Wide table of a fact; ``dims``: name -> (frame, fact column, dimension column)."""
     joins = [DimensionJoin(name, df, fact_column, dim_column) for name, (df, fact_column, dim_column) in dims.items()]
     return k_table(fact, joins, allow_duplicates)
 
-
-__all__ = ["column_specs", "land_all", "typed_from_text", "wide_table"]
