@@ -172,6 +172,16 @@ def b21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"value_sum": F.round("value_sum", 4), "value_mean": F.round("value_mean", 6)})
 
 
+@check(
+    "B21_aggregate_median_first_last",
+    f"""SELECT user_id, round(median(value), 6) AS value_median, arg_min(value, event_id) FILTER (value IS NOT NULL) AS value_first,
+        arg_max(value, event_id) FILTER (value IS NOT NULL) AS value_last FROM ({GAPPED}) GROUP BY user_id""",
+)
+def b21_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cleanse.aggregate(gapped(spark, sf_dir), ["user_id"], {"value": ["median", "first", "last"]}, order="event_id")
+    return out.withColumn("value_median", F.round("value_median", 6))
+
+
 @check(
     "B22_flatten_nested",
     """SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS body_k, event_type AS body_kinds_0,

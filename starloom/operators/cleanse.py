@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F, types as
 
 from starloom.functions.text import clean_string, strip
 from starloom.functions.values import parse_datetime, to_double, to_long_coerced
-from starloom.operators.ordering import carry_fill
+from starloom.operators.ordering import carry_fill, global_position
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -118,26 +118,55 @@ AGGREGATES = {
     "nunique": F.count_distinct,
     "std": F.stddev_samp,
     "var": F.var_samp,
-    "median": F.median,
-    "first": lambda c: F.first(c, ignorenulls=True),
-    "last": lambda c: F.last(c, ignorenulls=True),
 }
+ORDERED_AGGREGATES = ("first", "last")
+MEDIAN = "median"
 
 
-def aggregate(df: DataFrame, group_by: list[str], functions: dict[str, str | list[str]]) -> DataFrame:
+def _aggregate_column(column: str, name: str, order: str | None) -> Column:
+    value = F.col(column)
+    if name in ORDERED_AGGREGATES:
+        if order is None:
+            raise ValueError(f"{name} needs an explicit row order")
+        seen = F.when(value.isNotNull(), F.col(order))
+        return F.min_by(value, seen) if name == "first" else F.max_by(value, seen)
+    if name not in AGGREGATES:
+        raise ValueError(f"unknown aggregate: {name}")
+    return AGGREGATES[name](value)
+
+
+def _medians(df: DataFrame, group_by: list[str], column: str, output: str) -> DataFrame:
+    """Exact medians by position, so that no task holds a whole group."""
+    known = df.where(F.col(column).isNotNull()).select(*group_by, F.col(column).cast("double").alias("_value"))
+    ranked = global_position(known, ["_value"], group_by, "_position")
+    sizes = ranked.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_size"))
+    middle = F.col("_position").isin(F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1)
+    return ranked.join(sizes, group_by).where(middle).groupBy(*group_by).agg(F.avg("_value").alias(output))
+
+
+def aggregate(df: DataFrame, group_by: list[str], functions: dict[str, str | list[str]],
+              order: str | None = None) -> DataFrame:
     """Grouped aggregates; rows with a NULL key are dropped; nothing happens unless both parts are given.
 
-    One function per column keeps the column name, several give ``<column>_<function>``.
+    One function per column keeps the column name, several give ``<column>_<function>``. ``first`` and
+    ``last`` take the order column.
     """
     if not group_by or not functions:
         return df
-    outputs = []
+    keyed, outputs, medians, names = df.dropna(subset=group_by), [], [], list(group_by)
     for column, wanted in functions.items():
-        if isinstance(wanted, str):
-            outputs.append(AGGREGATES[wanted](F.col(column)).alias(column))
-        else:
-            outputs += [AGGREGATES[name](F.col(column)).alias(f"{column}_{name}") for name in wanted]
-    return df.dropna(subset=group_by).groupBy(*group_by).agg(*outputs)
+        for name in [wanted] if isinstance(wanted, str) else wanted:
+            output = column if isinstance(wanted, str) else f"{column}_{name}"
+            names.append(output)
+            if name == MEDIAN:
+                medians.append((column, output))
+            else:
+                outputs.append(_aggregate_column(column, name, order).alias(output))
+    grouped = keyed.groupBy(*group_by)
+    result = grouped.agg(*outputs) if outputs else keyed.select(*group_by).distinct()
+    for column, output in medians:
+        result = result.join(_medians(keyed, group_by, column, output), group_by, "left")
+    return result.select(*names)
 
 
 def transform(df: DataFrame, config: dict[str, Any], seen: tuple[Observation, Observation] | None = None) -> DataFrame:
@@ -167,7 +196,8 @@ def transform(df: DataFrame, config: dict[str, Any], seen: tuple[Observation, Ob
     if "filters" in config:
         df = filter_rows(df, config["filters"])
     if "aggregations" in config:
-        df = aggregate(df, config["aggregations"].get("group_by", []), config["aggregations"].get("functions", {}))
+        rule = config["aggregations"]
+        df = aggregate(df, rule.get("group_by", []), rule.get("functions", {}), rule.get("order"))
     if seen:
         df = df.observe(seen[1], F.count(F.lit(1)).alias("rows"))
     return df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from starloom.functions.names import storage_type_name
@@ -62,23 +64,27 @@ def schema_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
 RESULT_SCHEMA = "path string, target_table string, status string, records bigint, message string"
 
 
-def ingest_many(spark: SparkSession, paths: list[str], fmt: str, out: str, stamp: str) -> DataFrame:
+def ingest_many(spark: SparkSession, paths: list[str], fmt: str, out: str, stamp: str,
+                parallel: int = 8) -> DataFrame:
     """Load each file to its own target folder under ``out``; a bad file gives an error row.
 
-    Each file is one distributed read and write; row counts come from an observation on the write,
-    so nothing is read twice. The result has one row per requested file.
+    Each file is one distributed read and write, several of them at a time; row counts come from an
+    observation on the write, so nothing is read twice. The result has one row per requested file.
     """
     readers = {"csv": read_csv_strings, "parquet": read_parquet_strings}
-    results = []
-    for path in paths:
+
+    def load(path: str) -> tuple[str, str, str, int, str | None]:
         target = path.rstrip("/").rsplit("/", 1)[-1].split(".", 1)[0]
         try:
             seen = Observation()
             rows = land(readers[fmt](spark, path), stamp).observe(seen, F.count(F.lit(1)).alias("records"))
             rows.write.mode("overwrite").parquet(f"{out}/{target}")
-            results.append((path, target, "success", seen.get["records"], None))
+            return (path, target, "success", seen.get["records"], None)
         except Exception as problem:  # the request goes on with the other files
-            results.append((path, target, "error", 0, str(problem).split("\n", 1)[0]))
+            return (path, target, "error", 0, str(problem).split("\n", 1)[0])
+
+    with ThreadPoolExecutor(parallel) as pool:
+        results = list(pool.map(load, paths))
     return spark.createDataFrame(results, RESULT_SCHEMA)
 
 
