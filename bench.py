@@ -51,14 +51,10 @@ def main() -> None:
             files = cpus if name in ("lineitem", "orders") else 1
             df.repartition(files).write.mode("overwrite").parquet(f"{typed_dir}/{name}")
 
-    def bronze() -> dict[str, DataFrame]:
-        return {n: spark.read.parquet(f"{bronze_dir}/{n}") for n in STAR_SCHEMA}
-
-    def typed_tables() -> dict[str, DataFrame]:
-        return {n: spark.read.parquet(f"{typed_dir}/{n}") for n in STAR_SCHEMA}
+    def stored(folder: str) -> dict[str, DataFrame]:
+        return {n: spark.read.parquet(f"{folder}/{n}") for n in STAR_SCHEMA}
 
     def wide() -> DataFrame:
-        t = typed_tables()
         return wide_table(t["lineitem"], {
             "part": (t["part"], "part_key", "part_key"), "supplier": (t["supplier"], "supplier_key", "supplier_key"),
             "orders": (t["orders"], "order_key", "order_key"),
@@ -74,20 +70,20 @@ def main() -> None:
 
     timed("land_bronze", land_all)
     spread_typed()
-    timed("profile_statistics", lambda: profile.column_statistics(typed_tables()).collect())
-    timed("discover_types", lambda: profile.discover(bronze()).collect())
-    specs = typed.column_specs(profile.discover({"lineitem": bronze()["lineitem"]}), "lineitem")
-    timed("stage1_lineitem", lambda: typed.build_stage1(bronze()["lineitem"], specs).write.mode("overwrite").parquet(
+    b, t = stored(bronze_dir), stored(typed_dir)
+    timed("profile_statistics", lambda: profile.column_statistics(t).collect())
+    timed("discover_types", lambda: profile.discover(b).collect())
+    specs = typed.column_specs(profile.discover({"lineitem": b["lineitem"]}), "lineitem")
+    timed("stage1_lineitem", lambda: typed.build_stage1(b["lineitem"], specs).write.mode("overwrite").parquet(
         f"{typed_dir}/stage1"))
-    timed("overlap_relationships", lambda: relate.join_candidates_by_overlap(typed_tables()).collect())
+    timed("overlap_relationships", lambda: relate.join_candidates_by_overlap(t).collect())
 
-    timed("recommend_star", lambda: recommend_star(typed_tables()).collect())
-    timed("quality_report", lambda: quality.catalog_quality(profile.catalog_profile(typed_tables())).collect())
+    timed("recommend_star", lambda: recommend_star(t).collect())
+    timed("quality_report", lambda: quality.catalog_quality(profile.catalog_profile(t)).collect())
     timed("k_table", lambda: drain(wide()))
     timed("gold_query", lambda: wide().groupBy("part_part_brand").agg(F.sum("sales_amount")).collect())
     timed("calendar_2014_2030", lambda: calendar.calendar_range(spark, "2014-01-01", "2030-12-31").collect())
-    t = typed_tables()
-    timed("reconcile_counts", lambda: typed.reconcile_counts({n: (t[n], bronze()[n]) for n in STAR_SCHEMA}).collect())
+    timed("reconcile_counts", lambda: typed.reconcile_counts({n: (t[n], b[n]) for n in STAR_SCHEMA}).collect())
 
     print(json.dumps({"metric": "headline_jobs_total", "value": round(sum(timings.values()), 3), "unit": "sec",
                       "queries": timings, "sf": Path(sf_dir).name.removeprefix("sf"), "cpus": cpus}))
