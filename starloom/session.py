@@ -28,14 +28,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for reliable checkpoints: the one the cluster names, else (local runs only) a new one."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
-    if current:
-        return current
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
+    if named and not (current and named.rstrip("/") in current):
+        context.setCheckpointDir(named)
+    elif not current:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="starloom-checkpoint-")
-    context.setCheckpointDir(named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="starloom-"))
     return context.getCheckpointDir()
 
 

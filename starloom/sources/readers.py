@@ -102,18 +102,18 @@ def json_records_to_rows(df: DataFrame, text: str, record: str = "record") -> Da
     Items that are not objects are wrapped as ``{"value": "<text>"}``. Text that is not JSON gives no row.
     """
     spark = df.sparkSession
-    parsed = df.withColumn("_doc", F.try_parse_json(F.col(text))).where(F.col("_doc").isNotNull())
-    kind = F.schema_of_variant(F.col("_doc"))
-    is_array = kind.startswith("ARRAY")
-    items = parsed.where(is_array).lateralJoin(
-        spark.tvf.variant_explode(F.col("_doc").outer()).select(F.col("value").alias("_item"))
+    document = F.try_parse_json(F.col(text))
+    alone = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit("]")))  # a list of the one value
+    is_list = F.schema_of_variant(document).startswith("ARRAY")
+    is_single = F.try_variant_get(alone, "$[1]", "variant").isNull()
+    listed = df.withColumn("_items", F.when(is_list, document).when(document.isNotNull() & is_single, alone))
+    rows = listed.lateralJoin(
+        spark.tvf.variant_explode(F.col("_items").outer()).select(F.col("value").alias("_item"))
     )
-    single = parsed.where(~is_array).withColumn("_item", F.col("_doc"))
-    rows = items.unionByName(single)
     is_object = F.schema_of_variant(F.col("_item")).startswith("OBJECT")
     wrapped = F.to_json(F.struct(F.variant_get(F.col("_item"), "$", "string").alias("value")))
     return rows.withColumn(record, F.when(is_object, F.to_json(F.col("_item"))).otherwise(wrapped)).drop(
-        "_doc", "_item"
+        "_items", "_item"
     )
 
 
