@@ -275,7 +275,7 @@ def gold_views(spark):
     "sql",
     ["DROP VIEW sales_fact", "INSERT INTO sales_fact SELECT 1", "CREATE TABLE x AS SELECT 1", "SELECT * FROM secret_stage1",
      "SELECT * FROM sales_fact WHERE id IN (SELECT id FROM secret_stage1)", "WITH c AS (SELECT * FROM secret_stage1) SELECT * FROM c",
-     "SET spark.sql.ansi.enabled=false"],
+     "SET spark.sql.ansi.enabled=false", "SELECT * FROM range(5)", "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`"],
 )
 def test_access_refuses(spark, gold_views, sql):
     with pytest.raises(access.QueryRejected):
