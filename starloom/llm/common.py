@@ -90,3 +90,19 @@ def fold_of(doc_id: Column, parts: int) -> Column:
 def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
     """At most ``bound`` rows, chosen by the hash of ``key``: the same rows for the same table, in any order."""
     return rows.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(bound)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, text: str = "text") -> DataFrame:
+    """(text, label) of at most ``bound`` labelled documents outside fold 0 of 5, chosen by the hash of doc_id.
+
+    Rows without an id, label or fold are left out; of repeated labels of one document the largest counts.
+    The sampled ids are broadcast: ``bound`` is their proven size.
+    """
+    known = labels.where(F.col(label).isNotNull() & (fold_of(F.col("doc_id"), 5) != 0))
+    ids = bounded_sample(known.groupBy("doc_id").agg(F.max(label).alias("_label")), "doc_id", bound)
+    joined = docs.select(F.col("doc_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "doc_id")
+    return joined.select("doc_id", F.col("_text").alias("text"), F.col("_label").cast("int").alias("label"))
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import bpe
-from starloom.llm.common import table
+from starloom.llm import bpe, langid, quality, toxicity
+from starloom.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,3 +41,34 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("bpe.ids", 256).alias("ids_sha256"),
         F.sha2(F.col("bpe.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), into="score")
+    return scored.select(
+        "doc_id",
+        (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query("op2_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = langid.identify_language(docs.select("doc_id", "text"), docs)
+    return named.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "language.*")
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), into="score")
+    return scored.select(
+        "doc_id",
+        (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
