@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import bpe, langid, quality, toxicity
+from starloom.llm import bpe, langid, pii, quality, toxicity
 from starloom.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query("op4_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs)
+    base = F.filter("pii", lambda s: s["base"])
+    counts = [F.size(F.filter(base, pii.of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts,
+        F.sha2(pii.described(base).cast("binary"), 256).alias("base_sha256"),
+        pii.described(F.col("pii")).alias("spans"),
+    )
