@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WORD = re.compile(r"\w+")
@@ -38,8 +38,7 @@ class WordHashes:
         if len(known) > self.limit:
             known.clear()
         for word in set(found).difference(known):
-            raw = word.encode("utf-8", "surrogatepass")
-            known[word] = (zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x5BD1E995)) & 0xFFFFFFFFFFFFFFFF
+            known[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import bpe, langid, pii, quality, toxicity
+from starloom.llm import bpe, langid, near_dedup, pii, quality, toxicity
 from starloom.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.described(base).cast("binary"), 256).alias("base_sha256"),
         pii.described(F.col("pii")).alias("spans"),
     )
+
+
+@query("op6_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
