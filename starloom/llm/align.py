@@ -57,3 +57,27 @@ def similarity(a: Sequence, b: Sequence, least: float) -> float:
     limit = int((1 - least) * longer + 1e-9)
     distance = edit_distance(a, b, limit)
     return 1 - distance / longer if distance <= limit else 0.0
+
+
+def best_match(pattern: Sequence, text: Sequence) -> tuple[int, int]:
+    """(distance, end) of the substring of ``text`` nearest to ``pattern``; the first end if several are as near."""
+    n = len(pattern)
+    if n == 0:
+        return 0, 0
+    places: dict = {}
+    for i, symbol in enumerate(pattern):
+        places[symbol] = places.get(symbol, 0) | 1 << i
+    mask, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, distance = mask, 0, n
+    best = (n, 0)
+    for j, symbol in enumerate(text, 1):
+        match = places.get(symbol, 0)
+        diagonal = ((((match & up) + up) ^ up) | match | down) & mask
+        right_up = down | (mask & ~(diagonal | up))
+        right_down = diagonal & up
+        distance += bool(right_up & last) - bool(right_down & last)
+        if distance < best[0]:
+            best = (distance, j)
+        shifted = right_up << 1 & mask  # a match may start anywhere, so the row above is all zero
+        up, down = (right_down << 1 & mask) | (mask & ~(diagonal | shifted)), diagonal & shifted
+    return best
