@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import bpe, decontaminate, langid, near_dedup, pii, quality, toxicity
+from starloom.llm import bpe, decontaminate, fingerprints, langid, near_dedup, pii, quality, token_counts, toxicity
 from starloom.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("leak.item").cast("long").alias("item_id"),
         F.col("leak.start").alias("start"), F.col("leak.end").alias("end"), F.col("leak.distance").alias("distance"),
     )
+
+
+@query("op7_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.with_token_counts(docs, vocabulary_path())
+    return counted.select("doc_id", F.col("tokens.n_tokens").alias("doc_tokens"), F.posexplode("tokens.sections").alias("line", "s")).select(
+        "doc_id", "doc_tokens", "line", F.col("s.start").alias("start"), F.col("s.end").alias("end"),
+        F.col("s.n_tokens").alias("n_tokens"), F.col("s.n_crossing").alias("n_crossing"),
+    )
