@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import bpe, decontaminate, fingerprints, langid, near_dedup, pii, quality, token_counts, toxicity
+from starloom.llm import bpe, decontaminate, fingerprints, langid, near_dedup, passages, pii, quality, token_counts, toxicity
 from starloom.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "doc_tokens", "line", F.col("s.start").alias("start"), F.col("s.end").alias("end"),
         F.col("s.n_tokens").alias("n_tokens"), F.col("s.n_crossing").alias("n_crossing"),
     )
+
+
+@query("op9_repeated_passages")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
