@@ -33,7 +33,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-CANDIDATE = rf"{PATTERNS['phone']}|{PATTERNS['card']}|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+# A candidate is a phone or card number that fills its tokens, or one token with a digit or an at sign.
+FILLS = "(?![^\\s.,;:!?)\\]}\"'])"
+CANDIDATE = rf"{PATTERNS['phone']}{FILLS}|(?<!\S){PATTERNS['card']}{FILLS}|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
 
 def _digits(match: Column) -> Column:
