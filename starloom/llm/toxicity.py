@@ -79,7 +79,7 @@ def telling_terms(rows: list[np.ndarray], labels: np.ndarray, slots: int = SLOTS
     """The hashed terms that tell the classes apart by the likelihood-ratio test, sorted.
 
     The bar is 2 ln(number of terms), which chance alone hardly passes among so many terms, so rare words of
-    single documents stay out; at least the best 64 are kept.
+    single documents stay out (they would add up in long texts); if no term passes, the best 16 are kept.
     """
     terms, where = np.unique(np.concatenate(rows), return_inverse=True)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -94,7 +94,7 @@ def telling_terms(rows: list[np.ndarray], labels: np.ndarray, slots: int = SLOTS
         gain += 2 * seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12))
     best = np.lexsort((terms, -gain))[:slots]
     passing = int((gain[best] > 2 * np.log(max(len(terms), 2))).sum())
-    return np.sort(terms[best[: max(passing, 64)]])
+    return np.sort(terms[best[: passing or 16]])
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
