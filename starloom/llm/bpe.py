@@ -22,7 +22,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from starloom.llm.common import blocks, filled, ragged
+from starloom.llm.common import Memory, blocks, filled, ragged
 
 # Fixed value: the pattern that splits text into words before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,36 +75,6 @@ def chunks_of(text: str) -> list[str]:
     return cut
 
 
-class Memory:
-    """Id lists by text; emptied when it holds too many."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-        self._empty()
-
-    def _empty(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = self.starts = self.lengths = np.zeros(0, np.int64)
-
-    def missing(self, texts: list[str]) -> list[str]:
-        if len(self.known) > self.limit:
-            self._empty()
-        return list(set(texts).difference(self.known))
-
-    def add(self, texts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        first = len(self.known)
-        self.known.update(zip(texts, range(first, first + len(texts)), strict=True))
-        self.ids = np.concatenate([self.ids, ids])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.starts = np.cumsum(self.lengths) - self.lengths
-
-    def gather(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and the number of each."""
-        at = np.fromiter(map(self.known.__getitem__, texts), np.int64, len(texts))
-        lengths = self.lengths[at]
-        return self.ids[ragged(self.starts[at], lengths)], lengths
-
-
 class Encoder:
     """Encodes and decodes with one vocabulary; remembers the ids of words."""
 

@@ -26,20 +26,59 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered between calls; the memory is emptied when it is full."""
+class Memory:
+    """Number lists by text; emptied when it holds too many."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int):
         self.limit = limit
+        self._empty()
+
+    def _empty(self) -> None:
         self.known: dict[str, int] = {}
+        self.ids = self.starts = self.lengths = np.zeros(0, np.int64)
+
+    def missing(self, texts: list[str]) -> list[str]:
+        if len(self.known) > self.limit:
+            self._empty()
+        return list(set(texts).difference(self.known))
+
+    def add(self, texts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.known)
+        self.known.update(zip(texts, range(first, first + len(texts)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def gather(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts one after the other, and how many each has."""
+        at = np.fromiter(map(self.known.__getitem__, texts), np.int64, len(texts))
+        lengths = self.lengths[at]
+        return self.ids[ragged(self.starts[at], lengths)], lengths
+
+
+class WordHashes:
+    """64-bit hashes of the words of texts; those of runs without white space are remembered, within a limit."""
+
+    def __init__(self, limit: int = 300_000):
+        self.memory = Memory(limit)
 
     def __call__(self, found: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        for word in set(found).difference(known):
-            known[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+        """Hashes of given words."""
+        return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in found], np.uint64)
+
+    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The hashes of each text's ``words``, in order."""
+        for start, end in blocks(texts):
+            pieces = [t.lower().split() for t in texts[start:end]]
+            every = [p for one in pieces for p in one]
+            new = self.memory.missing(every)
+            parts = [WORD.findall(p) for p in new]
+            hashes = self([w for part in parts for w in part]).view(np.int64)
+            self.memory.add(new, hashes, np.array([len(p) for p in parts], np.int64))
+            found, counts = self.memory.gather(every)
+            ends = np.r_[0, np.cumsum(counts)][np.cumsum([0, *map(len, pieces)])]
+            for k in range(end - start):
+                yield found[ends[k] : ends[k + 1]].view(np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from starloom.llm.common import WordHashes, filled, mix, shingles, words
+from starloom.llm.common import WordHashes, filled, mix, shingles
 from starloom.session import cut_lineage
 
 SHINGLE = 5
@@ -32,12 +32,9 @@ OFFSETS = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 FIRST_ID = -(1 << 63)
 
 
-def signature(text: str, hashes: WordHashes) -> np.ndarray | None:
-    """16-bit minima of the text's shingles; none for a text without characters but white space."""
-    found = words(text) or ["".join(text.split())]
-    if not found[0]:
-        return None
-    grams = shingles(hashes(found), SHINGLE)
+def signature_of(found: np.ndarray) -> np.ndarray:
+    """16-bit minima of the shingles of word hashes (one at least)."""
+    grams = shingles(found, SHINGLE)
     low = np.full(PERMUTATIONS, np.uint64(0xFFFFFFFFFFFFFFFF))
     for start in range(0, len(grams), 4096):
         part = grams[start : start + 4096]
@@ -47,6 +44,19 @@ def signature(text: str, hashes: WordHashes) -> np.ndarray | None:
     return (mix(low) >> np.uint64(48)).astype(">u2")
 
 
+def signatures(texts: list[str], hashes: WordHashes) -> Iterator[np.ndarray | None]:
+    """Signature of each text; none for a text without characters but white space."""
+    for text, found in zip(texts, hashes.of(texts), strict=True):
+        if not len(found):
+            bare = "".join(text.split())
+            found = hashes([bare]) if bare else found
+        yield signature_of(found) if len(found) else None
+
+
+def signature(text: str, hashes: WordHashes) -> np.ndarray | None:
+    return next(signatures([text], hashes))
+
+
 def written(found: np.ndarray | None) -> str:
     return "" if found is None else found.tobytes().hex()
 
@@ -64,7 +74,7 @@ def fingerprint(text: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes = WordHashes()
         for texts in batches:
-            yield pd.Series([written(signature(t, hashes)) for t in filled(texts)], dtype=str)
+            yield pd.Series([written(s) for s in signatures(filled(texts), hashes)], dtype=str)
 
     return run(text)
 
@@ -74,9 +84,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        hashes, out = WordHashes(), []
-        for x, y in zip(filled(left), filled(right), strict=True):
-            p, q = np.unique(shingles(hashes(words(x)), SHINGLE)), np.unique(shingles(hashes(words(y)), SHINGLE))
+        out = []
+        for x, y in zip(WordHashes().of(filled(left)), WordHashes().of(filled(right)), strict=True):
+            p, q = np.unique(shingles(x, SHINGLE)), np.unique(shingles(y, SHINGLE))
             same = len(np.intersect1d(p, q, assume_unique=True))
             out.append(same / max(len(p) + len(q) - same, 1))
         return pd.Series(out, dtype=float)
@@ -149,17 +159,20 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        before = None  # (range, id, text, signature) of a row that waits for the next one
+        before = None  # (id, text, signature) of a row that waits for the next one
         for batch in batches:
-            out = []
-            columns = zip(batch["range"], batch["tail"], batch["id"].astype("object"), batch["text"], strict=True)
-            for group, tail, own_id, own_text in columns:
+            follows, out = [], []  # each row that got its next one, and that one
+            texts = batch["text"].tolist()
+            for tail, own_id, own_text, mark in zip(batch["tail"], batch["id"].astype("object"), texts, signatures(texts, hashes), strict=True):
                 if before is None and tail:  # a second copy of the row that follows
                     continue
-                mark = signature(own_text, hashes)
                 if before is not None:
-                    out.append(edited_row(before, own_text, mark, hashes))
-                before = None if tail else (group, own_id, own_text, mark)
+                    follows.append((before, own_text, mark))
+                before = None if tail else (own_id, own_text, mark)
+            changed = [edited(own_text, next_text) for (_, own_text, _), next_text, _ in follows]
+            for ((own_id, own_text, mark), _, next_mark), change, other in zip(follows, changed, signatures(changed, hashes), strict=True):
+                digest = hashlib.sha256(change.encode("utf-8", "surrogatepass")).hexdigest()
+                out.append((own_id, len(own_text), digest, written(mark), written(other), likeness_of(mark, other), likeness_of(mark, next_mark)))
             yield pd.DataFrame(out, columns=list(OUT))
 
     return sorted_rows.select("range", "tail", F.col("id").cast("string").alias("id"), "text").mapInPandas(
@@ -170,10 +183,7 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 OUT = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-def edited_row(before: tuple, next_text: str, next_mark: np.ndarray | None, hashes: WordHashes) -> tuple:
-    _, own_id, own_text, mark = before
-    cut = len(own_text) // 3
-    edited = own_text[: len(own_text) - cut] + next_text[:cut]
-    other = signature(edited, hashes)
-    digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return own_id, len(own_text), digest, written(mark), written(other), likeness_of(mark, other), likeness_of(mark, next_mark)
+def edited(text: str, following: str) -> str:
+    """The text with its last third replaced by the beginning of the following one."""
+    cut = len(text) // 3
+    return text[: len(text) - cut] + following[:cut]
