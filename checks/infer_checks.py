@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from checks.common import check, long_cte, star, strip_sql, table
+from checks.common import STAR_SCHEMA, check, long_cte, star, strip_sql, table
 from starloom.functions import values
 from starloom.operators import infer
 
@@ -153,16 +153,17 @@ def d8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def star_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [infer.long_values(df, name) for name, df in star(spark, sf_dir).items() if name in ("customer", "part", "lineitem")]
+    parts = [infer.long_values(df, name) for name, df in star(spark, sf_dir).items()]
     return reduce(DataFrame.unionByName, parts)
 
 
-STAR_LONG = long_cte(["customer", "part", "lineitem"])
+STAR_LONG = long_cte(list(STAR_SCHEMA))
 
 
-def sample_cte(n: int) -> str:
+def sample_cte(n: int | None = None) -> str:
+    """All distinct values with their rank, or the first n of each column."""
     return f"""{STAR_LONG}, sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY value) AS rank
-        FROM (SELECT DISTINCT * FROM cells WHERE value IS NOT NULL AND value <> '')) WHERE rank <= {n})"""
+        FROM (SELECT DISTINCT * FROM cells WHERE value IS NOT NULL AND value <> '')) {f"WHERE rank <= {n}" if n else ""})"""
 
 
 def features_sql(source: str) -> str:
@@ -191,12 +192,11 @@ def d9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @check(
     "D10_numeric_confidence",
-    f"WITH {sample_cte(100)}, {features_sql('sampled')} SELECT table_name, column_name, round(numeric_confidence, 6) AS numeric_confidence, "
+    f"WITH {sample_cte()}, {features_sql('sampled')} SELECT table_name, column_name, round(numeric_confidence, 6) AS numeric_confidence, "
     "numeric_confidence > 0.7 AS is_numeric FROM numeric",
 )
 def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = infer.distinct_sample(star_values(spark, sf_dir), 100)
-    return infer.numeric_confidence(sample).select(
+    return infer.numeric_confidence(infer.distinct_values(star_values(spark, sf_dir))).select(
         "table_name", "column_name", F.round("numeric_confidence", 6).alias("numeric_confidence"), "is_numeric"
     )
 
@@ -216,28 +216,47 @@ def inferred_cte(source: str) -> str:
 
 @check(
     "D11_infer_column_types",
-    f"""WITH {sample_cte(100)}, {inferred_cte('sampled')}, top3 AS (SELECT table_name, column_name,
+    f"""WITH {sample_cte()}, {inferred_cte('sampled')}, top3 AS (SELECT table_name, column_name,
           string_agg(value, '|' ORDER BY rank) AS samples FROM sampled WHERE rank <= 3 GROUP BY ALL)
         SELECT table_name, column_name, inferred_type, pattern, round(type_confidence, 6) AS type_confidence, samples
         FROM inferred JOIN top3 USING (table_name, column_name)""",
 )
 def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = infer.distinct_sample(star_values(spark, sf_dir), 100)
-    return infer.infer_types(sample).select(
-        "table_name", "column_name", "inferred_type", "pattern", F.round("type_confidence", 6).alias("type_confidence"),
-        F.array_join(F.slice("sample_values", 1, 3), "|").alias("samples"),
+    found = star_values(spark, sf_dir)
+    shown = infer.distinct_sample(found, 3).groupBy("table_name", "column_name").agg(
+        F.array_join(F.array_sort(F.collect_list("value")), "|").alias("samples")
+    )
+    return infer.infer_types(infer.distinct_values(found)).join(shown, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "inferred_type", "pattern", F.round("type_confidence", 6).alias("type_confidence"), "samples"
     )
 
 
 @check(
     "D11_infer_date_layouts",
-    f"""WITH {RENDERED_LONG}, sampled AS (SELECT * FROM rendered WHERE value NOT IN ('20230231', '2023-13-01', '13/13/2023', '31-02-2023')),
+    f"""WITH {RENDERED_LONG}, sampled AS (SELECT DISTINCT * FROM rendered),
         {inferred_cte('sampled')} SELECT column_name, inferred_type, pattern, round(type_confidence, 6) AS type_confidence FROM inferred""",
 )
 def d11_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = rendered_long(spark, sf_dir).where(~F.col("value").isin(list(SPOILED.values())))
-    sample = infer.distinct_sample(clean, 100)
-    return infer.infer_types(sample).select(
+    return infer.infer_types(infer.distinct_values(rendered_long(spark, sf_dir))).select(
+        "column_name", "inferred_type", "pattern", F.round("type_confidence", 6).alias("type_confidence")
+    )
+
+
+def misleading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column whose smallest values are dates and whose other values are names."""
+    orders, parts = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    dates = orders.where("o_orderkey <= 28").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("mixed"))
+    return infer.long_values(dates.union(parts.select(F.concat(F.lit("z"), "p_name"))), "mixed")
+
+
+@check(
+    "D11_smallest_values_mislead",
+    f"""WITH sampled AS (SELECT DISTINCT 'mixed' AS table_name, 'mixed' AS column_name, value FROM (
+          SELECT strftime(o_orderdate, '%Y-%m-%d') AS value FROM orders WHERE o_orderkey <= 28 UNION ALL SELECT 'z' || p_name FROM part)),
+        {inferred_cte('sampled')} SELECT column_name, inferred_type, pattern, round(type_confidence, 6) AS type_confidence FROM inferred""",
+)
+def d11_mislead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infer.infer_types(infer.distinct_values(misleading(spark, sf_dir))).select(
         "column_name", "inferred_type", "pattern", F.round("type_confidence", 6).alias("type_confidence")
     )
 
@@ -267,8 +286,7 @@ SIMPLE_SQL = {
 
 @check(
     "D13_infer_types_regex",
-    f"""WITH {STAR_LONG.replace('SELECT DISTINCT', 'SELECT')}, first AS (SELECT * FROM (SELECT table_name, column_name, value,
-          row_number() OVER (PARTITION BY table_name, column_name ORDER BY value) AS rank FROM cells WHERE value <> '') WHERE rank <= 100),
+    f"""WITH {STAR_LONG.replace('SELECT DISTINCT', 'SELECT')}, first AS (SELECT table_name, column_name, value FROM cells WHERE value <> ''),
         shares AS ({' UNION ALL '.join(f"SELECT table_name, column_name, '{f}' AS family, {i} AS ord, avg(CASE WHEN regexp_matches(value, '{rx}', 'i') THEN 1.0 ELSE 0 END) AS share FROM first GROUP BY ALL" for i, (f, rx) in enumerate(SIMPLE_SQL.items()))}),
         best AS (SELECT table_name, column_name, arg_max(family, (share, -ord)) AS family, max(share) AS share FROM shares GROUP BY ALL)
         SELECT table_name, column_name, CASE WHEN share >= 0.3 THEN family ELSE 'string' END AS inferred_type,

@@ -214,11 +214,11 @@ def profile_sql(tables: list[str], n: int = 10) -> str:
      dist AS (SELECT table_name, column_name, value, count(*) AS cnt FROM cells GROUP BY ALL),
      base AS (SELECT table_name, column_name, CAST(sum(cnt) AS BIGINT) AS row_count, count(*) AS cardinality,
        CAST(coalesce(sum(cnt) FILTER (value = ''), 0) AS BIGINT) AS blank_count FROM dist GROUP BY ALL),
-     sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY value) AS rank
-       FROM dist WHERE value <> '') WHERE rank <= {n}),
+     sampled AS (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY value) AS rank
+       FROM dist WHERE value <> ''),
      {inferred_cte('sampled')},
      arrays AS (SELECT table_name, column_name, string_agg(value, '|' ORDER BY value) AS sample_values,
-       string_agg(value, '|' ORDER BY value) FILTER (rank <= 5) AS five FROM sampled GROUP BY ALL)"""
+       string_agg(value, '|' ORDER BY value) FILTER (rank <= 5) AS five FROM sampled WHERE rank <= {n} GROUP BY ALL)"""
 
 
 FULL_PROFILE = f"""SELECT table_name, column_name, inferred_type, pattern, round(type_confidence, 6) AS type_confidence, cardinality,

@@ -149,6 +149,48 @@ def j10_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def marked_money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Money with brackets, 14 digits before the point and, for one part in a hundred, no number at all."""
+    price = F.format_number("p_retailprice", 2)
+    wide = F.concat(F.lpad((F.col("p_partkey") + 1).cast("string"), 14, "9"), F.lit(".25"))
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("#"), "p_partkey").alias("name"),
+        F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("($"), price, F.lit(")"))).otherwise(price).alias("bracketed"),
+        wide.alias("wide"), F.when(F.col("p_partkey") % 100 == 0, "none").otherwise(wide).alias("spoiled"),
+    )
+
+
+@check(
+    "J10_wide_and_bracketed_money",
+    """SELECT '#' || p_partkey AS name, CAST(CAST(CASE WHEN p_size % 3 = 0 THEN -p_retailprice ELSE p_retailprice END AS DECIMAL(15,2)) AS VARCHAR) AS bracketed,
+       lpad(CAST(p_partkey + 1 AS VARCHAR), 14, '9') || '.25' AS wide FROM part""",
+)
+def j10_money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = marked_money(spark, sf_dir)
+    low = 0.5  # a low quality score changes the label only
+    return rows.select(
+        "name", typed.typed_column(F.col("bracketed"), "numeric", low).cast("string").alias("bracketed"),
+        typed.typed_column(F.col("wide"), "numeric", low, digits=14).cast("string").alias("wide"),
+    )
+
+
+@check(
+    "J10_lost_values",
+    "SELECT 'spoiled' AS column_name, 'numeric' AS inferred_type, count(*) FILTER (p_partkey % 100 = 0) AS lost FROM part",
+)
+def j10_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = marked_money(spark, sf_dir)
+    specs = typed.column_specs(profile.discover({"part": rows}), "part")
+    return typed.lost_values(rows, specs).where("column_name = 'spoiled'")
+
+
+@check("J10_lossless", "SELECT '#' || p_partkey AS name, CASE WHEN p_partkey % 100 = 0 THEN 'none' ELSE lpad(CAST(p_partkey + 1 AS VARCHAR), 14, '9') || '.25' END AS spoiled FROM part")
+def j10_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = marked_money(spark, sf_dir)
+    specs = typed.lossless_specs(rows, typed.column_specs(profile.discover({"part": rows}), "part"))
+    return typed.build_stage1(rows, specs).select("name", "spoiled")
+
+
 @check("J11_snapshot_stage2", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")

@@ -49,16 +49,18 @@ def long_values(df: DataFrame, table: str, columns: list[str] | None = None) ->
     )
 
 
+def distinct_values(values: DataFrame) -> DataFrame:
+    """All distinct non-blank values of each column."""
+    return values.where(F.col("value").isNotNull() & (F.col("value") != "")).dropDuplicates([*COLUMN_KEY, "value"])
+
+
 def distinct_sample(values: DataFrame, n: int) -> DataFrame:
     """The first n distinct non-blank values of each column, in value order.
 
     Ranking and the rank filter stay together, so Spark keeps at most n rows per column and task before
     it shuffles; no task ever holds a whole column.
     """
-    distinct = values.where(F.col("value").isNotNull() & (F.col("value") != "")).dropDuplicates(
-        [*COLUMN_KEY, "value"]
-    )
-    ranked = distinct.withColumn("rank", F.row_number().over(Window.partitionBy(*COLUMN_KEY).orderBy("value")))
+    ranked = distinct_values(values).withColumn("rank", F.row_number().over(Window.partitionBy(*COLUMN_KEY).orderBy("value")))
     return ranked.where(F.col("rank") <= n)
 
 
@@ -196,19 +198,24 @@ def numeric_confidence(sample: DataFrame, threshold: float = NUMERIC_THRESHOLD,
     return scored.withColumn("is_numeric", F.col("numeric_confidence") > threshold)
 
 
-def infer_types(sample: DataFrame, rates: DataFrame | None = None, numeric_threshold: float = NUMERIC_THRESHOLD,
+def infer_types(values: DataFrame, rates: DataFrame | None = None, numeric_threshold: float = NUMERIC_THRESHOLD,
                 key: list[str] | None = None) -> DataFrame:
-    """Type, confidence, layout, reasoning and the sample of each column, from one aggregation."""
+    """Type, confidence, layout and reasoning of each column over all given values, from one aggregation.
+
+    NULL and empty values count for nothing; columns without any other value are left out. ``integer_digits``
+    is the largest number of digits before the decimal point.
+    """
     key = key or COLUMN_KEY
-    counted = _prepared(sample, key).groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"),
+    filled = values.withColumn("value", F.when(F.col("value") != "", F.col("value")))
+    counted = _prepared(filled, key).groupBy(*key).agg(
+        F.count("value").alias("n"),
         *_date_counts(),
         *_numeric_counts(),
-        F.array_sort(F.collect_list("value")).alias("sample_values"),
-    )
+        F.max(F.length(F.regexp_replace(F.substring_index("_text", ".", 1), "[^0-9]", ""))).alias("integer_digits"),
+    ).where(F.col("n") > 0)
     scored = counted.select(
         *key,
-        "sample_values",
+        "integer_digits",
         F.array_max(_date_entries(_rate_map(rates))).alias("_date"),
         _numeric_score(_numeric_features()).alias("_number"),
     )
@@ -232,16 +239,14 @@ def infer_types(sample: DataFrame, rates: DataFrame | None = None, numeric_thres
             F.format_string("No strong pattern detected. Date: %.2f, Numeric: %.2f", date_conf, number_conf)
         )
         .alias("reasoning"),
-        "sample_values",
+        "integer_digits",
     )
 
 
-def infer_types_simple(values: DataFrame, n: int = 100) -> DataFrame:
-    """Seven-family inference over the first n non-blank values of each column, in value order."""
+def infer_types_simple(values: DataFrame) -> DataFrame:
+    """Seven-family inference over all non-blank values of each column."""
     stripped = values.select(*COLUMN_KEY, strip(F.col("value")).alias("value")).where(F.col("value") != "")
-    ranked = stripped.withColumn("rank", F.row_number().over(Window.partitionBy(*COLUMN_KEY).orderBy("value")))
-    sample = ranked.where(F.col("rank") <= n)
-    shares = sample.groupBy(*COLUMN_KEY).agg(
+    shares = stripped.groupBy(*COLUMN_KEY).agg(
         *[
             (F.count_if(F.col("value").rlike(f"(?i)(?:{shape})")) / F.count(F.lit(1))).alias(family)
             for family, shape in SIMPLE_FAMILIES.items()

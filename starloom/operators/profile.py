@@ -127,11 +127,15 @@ def index_samples(index: DataFrame, n: int) -> DataFrame:
     return ranked.where((F.col("_blank") == 0) & (F.col("cnt") > 0)).select("cid", "value", "rank", "cnt")
 
 
-def sample_values(tables: Tables, n: int = 5) -> DataFrame:
-    """n distinct non-blank values of each column, ascending, as an array."""
-    samples = index_samples(value_index(tables), n).groupBy("cid").agg(
+def _shown_values(index: DataFrame, n: int) -> DataFrame:
+    return index_samples(index, n).groupBy("cid").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("sample_values")
     )
+
+
+def sample_values(tables: Tables, n: int = 5) -> DataFrame:
+    """n distinct non-blank values of each column, ascending, as an array."""
+    samples = _shown_values(value_index(tables), n)
     return column_catalog(tables).join(samples, "cid", "left").select(*COLUMN_KEY, "position", "sample_values")
 
 
@@ -288,10 +292,10 @@ def quality_score_discover() -> Column:
 
 def _with_inference(tables: Tables, n: int, skip: tuple[str, ...], rates: DataFrame | None,
                     numeric_threshold: float, null_as_blank: bool) -> DataFrame:
-    """Counts and inferred types joined on the column id, the partitioning both already have."""
+    """Counts and types inferred from the whole value index, and n values to show, joined on the column id."""
     index = value_index(tables, skip)
-    types = infer_types(index_samples(index, n), rates, numeric_threshold, key=["cid"])
-    stats = index_statistics(index).join(types, "cid", "left")
+    types = infer_types(index, rates, numeric_threshold, key=["cid"])
+    stats = index_statistics(index).join(types, "cid", "left").join(_shown_values(index, n), "cid", "left")
     named = with_catalog(tables, stats, skip)
     if null_as_blank:
         named = named.withColumn("null_count", F.col("null_count") + F.col("blank_count"))
@@ -361,6 +365,7 @@ def discover(tables: Tables, n: int = 10, rates: DataFrame | None = None,
         "position",
         "inferred_type",
         "pattern",
+        F.coalesce("integer_digits", F.lit(0)).alias("integer_digits"),
         classify_simple(F.col("inferred_type")).alias("classification"),
         "row_count",
         "cardinality",

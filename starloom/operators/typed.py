@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from starloom.functions.values import (
     accounting_to_decimal,
-    currency_to_decimal,
     to_date_best_effort,
     to_datetime_best_effort,
     to_double,
@@ -52,8 +51,12 @@ def storage_type_column(inferred: Column, score: Column) -> Column:
     return name.otherwise("String")
 
 
-def typed_column(text: Column, inferred: str, score: float, pattern: str | None = None) -> Column:
-    """Conversion of one text column by its inferred type; unreadable text becomes NULL."""
+def typed_column(text: Column, inferred: str, score: float, pattern: str | None = None, digits: int = 0) -> Column:
+    """Conversion of one text column by its inferred type; unreadable text becomes NULL.
+
+    Money is wide enough for ``digits`` digits before the point (13 at least) whatever the score, and brackets always
+    mean a negative amount; ``score`` decides the type label only.
+    """
     kind = inferred.lower()
     if kind == "date":
         return to_date_best_effort(text, pattern)
@@ -64,33 +67,72 @@ def typed_column(text: Column, inferred: str, score: float, pattern: str | None
     if kind in ("float", "float64"):
         return to_double(text)
     if kind in ("numeric", "decimal"):
-        return accounting_to_decimal(text, 15) if score > SURE else currency_to_decimal(
-            text, 15 if kind == "decimal" else 10
-        )
+        return accounting_to_decimal(text, min(max(15, digits + 2), 38))
     if kind == "boolean":
         return to_flag(text)
     return F.trim(text)
 
 
+SPEC = ["original_column_name", "new_column_name", "inferred_type", "pattern", "data_quality_score", "integer_digits",
+        "position"]
+
+
 def column_specs(profile: DataFrame, table: str) -> list[Row]:
     """The stored profile of one table as driver-side specs: one small row per column."""
     return (
         profile.where(F.col("original_table_name") == table)
-        .select("original_column_name", "new_column_name", "inferred_type", "pattern", "data_quality_score", "position")
+        .select(*SPEC)
         .orderBy("position")
         .collect()
     )
 
 
+def _converted(spec: Row) -> Column:
+    return typed_column(
+        F.col(f"`{spec['original_column_name']}`"), spec["inferred_type"], spec["data_quality_score"], spec["pattern"],
+        spec["integer_digits"],
+    )
+
+
+def lost_values(bronze: DataFrame, specs: list[Row]) -> DataFrame:
+    """(column_name, inferred_type, lost): non-blank values of each column that its conversion can't read.
+
+    One pass and no shuffle of values; a typed table should be built from ``lossless_specs``.
+    """
+    typed = [s for s in specs if s["original_column_name"] != "create_date"]
+    if not typed:
+        return bronze.sparkSession.createDataFrame([], "column_name string, inferred_type string, lost long")
+    losses = bronze.agg(
+        *[
+            F.count_if((F.trim(F.col(f"`{s['original_column_name']}`")) != "") & _converted(s).isNull()).alias(f"_{i}")
+            for i, s in enumerate(typed)
+        ]
+    )
+    rows = [
+        F.struct(
+            F.lit(s["original_column_name"]).alias("column_name"), F.lit(s["inferred_type"]).alias("inferred_type"),
+            F.col(f"_{i}").alias("lost"),
+        )
+        for i, s in enumerate(typed)
+    ]
+    return losses.select(F.inline(F.array(*rows)))
+
+
+def lossless_specs(bronze: DataFrame, specs: list[Row]) -> list[Row]:
+    """The specs, with columns that would lose a value kept as text (one small row per column reaches the driver)."""
+    lossy = {r["column_name"] for r in lost_values(bronze, specs).where(F.col("lost") > 0).collect()}
+    return [
+        Row(**{**s.asDict(), "inferred_type": "string"}) if s["original_column_name"] in lossy else s for s in specs
+    ]
+
+
 def build_stage1(bronze: DataFrame, specs: list[Row], load_date: str | None = None) -> DataFrame:
-    """Typed and renamed form of a text table: one projection, no shuffle.
+    """Typed and renamed form of a text table: one projection, no shuffle. See ``lossless_specs`` for unreadable text.
 
     ``create_date`` becomes a date; when the source has none it is added from ``load_date`` (or today).
     """
     columns = [
-        typed_column(
-            F.col(f"`{s['original_column_name']}`"), s["inferred_type"], s["data_quality_score"], s["pattern"]
-        ).alias(s["new_column_name"] or s["original_column_name"])
+        _converted(s).alias(s["new_column_name"] or s["original_column_name"])
         for s in specs
         if s["original_column_name"] != "create_date"
     ]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from starloom.operators.hierarchy import dimension_columns, hierarchy_levels, hierarchy_rows
 from starloom.operators.model import DimensionJoin, k_table, recommend
 from starloom.operators.profile import Tables, column_statistics, discover, erd_rules, table_types
-from starloom.operators.typed import build_stage1
+from starloom.operators.typed import SPEC, build_stage1, lossless_specs
 from starloom.session import cut_lineage
 from starloom.sources.ingest import land
 
@@ -17,18 +17,17 @@ def land_all(tables: Tables, stamp: str) -> Tables:
     return {name: land(df, stamp) for name, df in tables.items()}
 
 
-def typed_from_text(bronze: Tables, sample: int = 10, numeric_threshold: float = 0.7) -> Tables:
-    """Typed tables whose types come from one profiling job over all text tables.
+def typed_from_text(bronze: Tables, numeric_threshold: float = 0.7) -> Tables:
+    """Typed tables whose types come from one profiling job over all values of all text tables.
 
-    Only the specs (one row per column) reach the driver; they shape one projection per table.
+    Only the specs (one row per column) reach the driver; they shape one projection per table. A second pass counts
+    the values that the types can't read; their columns stay text, so no value is lost.
     """
-    profile = discover(bronze, sample, numeric_threshold=numeric_threshold)
+    profile = discover(bronze, numeric_threshold=numeric_threshold)
     specs: dict[str, list] = {name: [] for name in bronze}
-    wanted = ["original_table_name", "original_column_name", "new_column_name", "inferred_type", "pattern",
-              "data_quality_score", "position"]
-    for row in profile.select(*wanted).orderBy("original_table_name", "position").collect():
+    for row in profile.select("original_table_name", *SPEC).orderBy("original_table_name", "position").collect():
         specs[row["original_table_name"]].append(row)
-    return {name: build_stage1(df, specs[name]) for name, df in bronze.items()}
+    return {name: build_stage1(df, lossless_specs(df, specs[name])) for name, df in bronze.items()}
 
 
 def recommend_star(tables: Tables) -> DataFrame:
