@@ -54,7 +54,21 @@ def l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versioned.upsert(rows(spark, sf_dir), changes(spark, sf_dir), KEY)
 
 
-@check("L2_stream_versions", "SELECT user_id, 1 AS version, count(*) AS rows FROM events GROUP BY user_id")
+@check(
+    "L2_repeated_keys_in_a_batch",
+    """SELECT user_id, event_id, (SELECT count(*) FROM nation WHERE n_nationkey = user_id) + row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version
+       FROM events""",
+)
+def l2_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("user_id"), F.lit(1).cast("bigint").alias("version"))
+    many = table(spark, sf_dir, "events").select("user_id", "event_id")
+    return versioned.number_changes(stored, many, KEY, sequence="event_id")
+
+
+@check(
+    "L2_stream_versions",
+    "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version, 1 AS rows FROM events",
+)
 def l2_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque*").select("user_id", "event_id")
@@ -107,6 +121,32 @@ def l5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versioned.edit_column(stored_profile(spark, sf_dir), "part", "p_brand", new_column_name="brand", classification="fact", inferred_type=None)
 
 
+def two_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = stored_profile(spark, sf_dir)
+    return first.unionByName(first.withColumns({"new_column_name": F.concat(F.lit("second_"), "new_column_name"), "version": F.lit(2).cast("bigint")}))
+
+
+@check(
+    "L4_rename_of_second_version",
+    f"""WITH {STORED} SELECT original_column_name, 'client' AS new_table_name,
+        CASE WHEN original_column_name = 'c_name' THEN 'client_name' ELSE 'second_' || new_column_name END AS new_column_name, 3 AS version
+        FROM stored WHERE original_table_name = 'customer'""",
+)
+def l4_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = versioned.rename_table(two_versions(spark, sf_dir), "customer", "client", "c_name", "client_name")
+    return changed.select("original_column_name", "new_table_name", "new_column_name", "version")
+
+
+@check(
+    "L5_edit_of_second_version",
+    f"""WITH {STORED} SELECT original_column_name, 'second_' || new_column_name AS new_column_name, 'fact' AS classification, 3 AS version
+        FROM stored WHERE original_column_name = 'p_brand'""",
+)
+def l5_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = versioned.edit_column(two_versions(spark, sf_dir), "part", "p_brand", classification="fact")
+    return changed.select("original_column_name", "new_column_name", "classification", "version")
+
+
 @check(
     "L6_soft_delete",
     f"""SELECT user_id, version + CASE WHEN had_error THEN 1 ELSE 0 END AS version, CASE WHEN had_error THEN 0 ELSE 1 END AS enabled FROM

@@ -11,6 +11,7 @@ from starloom.operators.ordering import global_position
 # Run frequencies and the age in seconds at which an item is due again.
 FREQUENCIES = {"hourly": 3600, "daily": 86400, "weekly": 604800, "monthly": 2592000}
 ON_DEMAND = "on_demand"
+PROFILE_KEY = ["original_table_name", "original_column_name"]
 
 
 def latest_by_key(df: DataFrame, keys: list[str], version: str, sequence: str | None = None) -> DataFrame:
@@ -28,21 +29,32 @@ def latest_versions(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(version).alias(version))
 
 
-def number_changes(base: DataFrame, changes: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
-    """The changes with a version one above the current one of their key (1 for new keys)."""
+def number_changes(base: DataFrame, changes: DataFrame, keys: list[str], version: str = "version",
+                   sequence: str | None = None) -> DataFrame:
+    """The changes with rising versions above the current one of their key (from 1 for new keys).
+
+    Several changes of one key follow each other by ``sequence``, or in the order of the input. They are numbered by
+    position over ranges of all rows, so a key that holds most changes is still spread over many tasks.
+    """
     current = latest_versions(base, keys, version).withColumnRenamed(version, "_current")
-    numbered = changes.drop(version).join(current, keys, "left")
-    return numbered.withColumn(version, F.coalesce(F.col("_current") + 1, F.lit(1)).cast("bigint")).drop("_current")
+    order = sequence or "_arrival"
+    rows = changes.drop(version)
+    rows = rows if sequence else rows.withColumn(order, F.monotonically_increasing_id())
+    placed = global_position(rows, [order], keys, "_place").join(current, keys, "left")
+    numbered = placed.withColumn(version, (F.coalesce("_current", F.lit(0)) + F.col("_place")).cast("bigint"))
+    return numbered.drop("_current", "_place", "_arrival")
 
 
-def next_versions(base: DataFrame, changes: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
+def next_versions(base: DataFrame, changes: DataFrame, keys: list[str], version: str = "version",
+                  sequence: str | None = None) -> DataFrame:
     """Base rows plus the numbered changes."""
-    return base.unionByName(number_changes(base, changes, keys, version), allowMissingColumns=True)
+    return base.unionByName(number_changes(base, changes, keys, version, sequence), allowMissingColumns=True)
 
 
-def upsert(base: DataFrame, changes: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
+def upsert(base: DataFrame, changes: DataFrame, keys: list[str], version: str = "version",
+           sequence: str | None = None) -> DataFrame:
     """Current rows after the changes."""
-    return latest_by_key(next_versions(base, changes, keys, version), keys, version)
+    return latest_by_key(next_versions(base, changes, keys, version, sequence), keys, version)
 
 
 def merge_partial(base: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,13 +68,13 @@ def merge_partial(base: DataFrame, patch: DataFrame, keys: list[str]) -> DataFra
 def rename_table(profile: DataFrame, table: str, new_table: str | None, column: str | None = None,
                  new_column: str | None = None, inferred_type: str | None = None,
                  classification: str | None = None) -> DataFrame:
-    """Changed rows (new version): the table name on all its columns, the rest on the named column only."""
+    """Changed current rows (new version): the table name on all its columns, the rest on the named column only."""
     named = F.col("original_column_name") == F.lit(column) if column else F.lit(False)
 
     def given(value: str | None, old: str) -> Column:
         return F.when(named & F.lit(value is not None), F.lit(value)).otherwise(F.col(old))
 
-    return profile.where(F.col("original_table_name") == table).withColumns(
+    return latest_by_key(profile.where(F.col("original_table_name") == table), PROFILE_KEY, "version").withColumns(
         {
             "new_table_name": F.coalesce(F.lit(new_table), F.col("new_table_name")),
             "new_column_name": given(new_column, "new_column_name"),
@@ -74,8 +86,9 @@ def rename_table(profile: DataFrame, table: str, new_table: str | None, column:
 
 
 def edit_column(profile: DataFrame, table: str, column: str, **changes: str | None) -> DataFrame:
-    """Changed row of one column (new version); fields not given keep their value."""
-    row = profile.where((F.col("original_table_name") == table) & (F.col("original_column_name") == column))
+    """Changed current row of one column (new version); fields not given keep their value."""
+    rows = profile.where((F.col("original_table_name") == table) & (F.col("original_column_name") == column))
+    row = latest_by_key(rows, PROFILE_KEY, "version")
     given = {field: F.coalesce(F.lit(value), F.col(field)) for field, value in changes.items()}
     return row.withColumns({**given, "version": F.col("version") + 1})
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from starloom.operators.logs import route_logs
-from starloom.operators.versioned import number_changes
+from starloom.operators.versioned import latest_versions, number_changes
 from starloom.sources.ingest import stamp_load
 from starloom.sources.readers import string_columns
 
@@ -54,16 +54,23 @@ def stream_logs(logs: DataFrame, key: str, target: str, checkpoint: str, ttl: st
 def stream_versions(changes: DataFrame, keys: list[str], table: str, checkpoint: str) -> StreamingQuery:
     """Append every micro-batch of changes to a versioned Parquet folder, numbered above what is there.
 
-    Each batch goes to its own ``batch=<n>`` folder, so a repeated batch replaces itself.
+    Each batch goes to its own ``batch=<n>`` folder, so a repeated batch replaces itself. The newest version of every
+    key is kept in one of two slots in turn: a batch reads the slot of the batch before it, never the history.
     """
 
+    def slot(batch_id: int) -> str:
+        return f"{table}/_latest/slot={batch_id % 2}"
+
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if batch_id == 0:
-            stored = batch.withColumn("version", F.lit(0).cast("bigint")).limit(0)
+            stored = batch.select(*keys, F.lit(0).cast("bigint").alias("version")).limit(0)
         else:
-            stored = spark.read.parquet(table).where(F.col("batch") < batch_id).drop("batch")
-        number_changes(stored, batch, keys).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+            stored = spark.read.parquet(slot(batch_id - 1))
+        folder = f"{table}/batch={batch_id}"
+        number_changes(stored, batch, keys).write.mode("overwrite").parquet(folder)
+        fresh = spark.read.schema(stored.schema).parquet(folder)
+        latest_versions(stored.unionByName(fresh), keys, "version").write.mode("overwrite").parquet(slot(batch_id))
 
     return (
         changes.writeStream.foreachBatch(append)
