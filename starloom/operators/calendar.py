@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-MAX_DAYS = 400_000  # about a thousand years; keeps the day range a small frame
 
 
 def check_range(start: str, end: str) -> None:
@@ -17,14 +16,12 @@ def check_range(start: str, end: str) -> None:
         raise ValueError("dates must have the form yyyy-MM-dd") from problem
     if first >= last:
         raise ValueError("start date must be before end date")
-    if (last - first).days > MAX_DAYS:
-        raise ValueError("calendar range is too long")
 
 
 def days_between(spark: SparkSession, start: str, end: str) -> DataFrame:
-    return spark.range(1).select(
-        F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("calendar_date")
-    )
+    """All days of a range, made over partitions."""
+    days = (date.fromisoformat(end) - date.fromisoformat(start)).days + 1
+    return spark.range(days).select(F.date_add(F.lit(start).cast("date"), F.col("id").cast("int")).alias("calendar_date"))
 
 
 def days_of(df: DataFrame, column: str) -> DataFrame:

@@ -69,8 +69,8 @@ SEARCH_COLUMNS = [
 
 def query_logs(logs: DataFrame, logger_name: str | None = None, log_level: str | None = None,
                phase: str | None = None, start: str | None = None, end: str | None = None,
-               limit: int = 100, offset: int = 0, tie: str | None = None) -> DataFrame:
-    """Page of matching rows, newest first; ``tie`` orders rows of one instant."""
+               limit: int | None = None, offset: int = 0, tie: str | None = None) -> DataFrame:
+    """Matching rows, newest first; ``limit`` and ``offset`` make a page, ``tie`` orders rows of one instant."""
     wanted = logs
     for column, value in (("logger_name", logger_name), ("log_level", log_level), ("phase", phase)):
         if value is not None:
@@ -80,7 +80,8 @@ def query_logs(logs: DataFrame, logger_name: str | None = None, log_level: str |
     if end is not None:
         wanted = wanted.where(F.col("timestamp") <= F.lit(end).cast("timestamp"))
     order = [F.col("timestamp").desc()] + ([F.col(tie)] if tie else [])
-    return wanted.orderBy(*order).select(*SEARCH_COLUMNS).offset(offset).limit(limit)
+    found = wanted.orderBy(*order).select(*SEARCH_COLUMNS).offset(offset)
+    return found if limit is None else found.limit(limit)
 
 
 def log_total(logs: DataFrame) -> DataFrame:

@@ -311,8 +311,8 @@ def analyze_erd(tables: Tables, threshold: float = 0.8, schema_name: str = "silv
     }
 
 
-def adjacent_cardinality_links(profile: DataFrame, min_confidence: float = 0.5, limit: int = 100) -> DataFrame:
-    """Neighbouring dimension columns of a table in order of distinct counts; a top-``limit`` report."""
+def adjacent_cardinality_links(profile: DataFrame, min_confidence: float = 0.5, limit: int | None = None) -> DataFrame:
+    """Neighbouring dimension columns of a table in order of distinct counts; with ``limit`` a top report."""
     order = Window.partitionBy("table_name").orderBy("cardinality", "position")
     dims = profile.where(F.col("classification") == "dimension").select(
         "table_name",
@@ -327,14 +327,14 @@ def adjacent_cardinality_links(profile: DataFrame, min_confidence: float = 0.5,
         ),
         F.lit(0.0),
     )
-    return (
+    links = (
         dims.where(F.col("column2").isNotNull())
         .select("table_name", "column1", "column2", F.lit("hierarchy").alias("relationship_type"),
                 closeness.alias("confidence"), "parent_cardinality", "child_cardinality")
         .where(F.col("confidence") >= min_confidence)
         .orderBy(F.col("confidence").desc(), "table_name", "column1")
-        .limit(limit)
     )
+    return links if limit is None else links.limit(limit)
 
 
 def common_column_links(profile: DataFrame) -> DataFrame:
