@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.common import SPACE_SQL, STAMP, STAR_SCHEMA, check, star, table, text_of
@@ -141,19 +143,25 @@ def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.nan_to_null(broken)
 
 
+def catalog_name(kind: str) -> str:
+    """A table name of its own for each run."""
+    return f"{kind}_{uuid.uuid4().hex}"
+
+
 @check("A14_replace_table", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "replace")
-    writers.replace_path(table(spark, sf_dir, "customer").limit(0), path)
-    stored = writers.replace_path(table(spark, sf_dir, "customer"), path)
-    return stored.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    name = catalog_name("replaced")
+    writers.replace_table(table(spark, sf_dir, "customer").limit(0), name)
+    writers.replace_table(table(spark, sf_dir, "customer"), name)
+    return spark.table(name).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
 @check("A15_append_table", "SELECT c_mktsegment, 2 * count(*) AS n FROM customer GROUP BY c_mktsegment")
 def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, rows = scratch_path(spark, "append"), table(spark, sf_dir, "customer")
-    writers.append_path(rows, path)
-    return writers.append_path(rows, path).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    name, rows = catalog_name("appended"), table(spark, sf_dir, "customer")
+    writers.append_table(rows, name)
+    writers.append_table(rows, name)
+    return spark.table(name).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
 @check(

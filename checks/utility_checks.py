@@ -136,6 +136,30 @@ def c12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleanse.normalize_columns(rows)
 
 
+@check(
+    "C12_long_whole_numbers",
+    """SELECT '#' || o_orderkey AS name, 9007199254740992 + o_orderkey AS above_double,
+       CAST(90071992547409920000 AS DECIMAL(38,0)) + o_orderkey AS above_bigint FROM orders""",
+)
+def c12_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey").cast("decimal(38,0)")
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("#"), "o_orderkey").alias("name"), (key + 9007199254740992).cast("string").alias("above_double"),
+        (key + F.lit("90071992547409920000").cast("decimal(38,0)")).cast("string").alias("above_bigint"),
+    )
+    return cleanse.normalize_columns(rows)
+
+
+@check(
+    "C13_boolean_and_day",
+    """SELECT 'late' AS column_name, 'boolean' AS data_type WHERE (SELECT count(*) FROM orders) > 0
+       UNION ALL SELECT 'day', 'datetime' WHERE (SELECT count(*) FROM orders) > 0""",
+)
+def c13_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").alias("late"), F.col("o_orderdate").cast("date").alias("day"))
+    return cleanse.detect_data_types(rows)
+
+
 @check(
     "C13_detect_data_types",
     """SELECT 'o_orderkey' AS column_name, 'integer' AS data_type UNION ALL SELECT 'o_custkey', 'integer'

@@ -286,34 +286,52 @@ def flatten_json_paths(df: DataFrame, text: str, keys: list[str], separator: str
 def normalize_columns(df: DataFrame) -> DataFrame:
     """Clean every text column, then make those numeric whose values all parse as numbers.
 
-    One aggregate over all columns decides; only its single row reaches the driver.
+    Whole numbers become bigint, or a decimal without fraction where some do not fit, so none is rounded; other
+    numbers become double. Whole numbers of more than 38 digits stay text. One aggregate over all columns decides;
+    only its single row reaches the driver.
     """
     names = text_columns(df)
     cleaned = df.withColumns({c: clean_string(F.col(c)) for c in names})
     if not names:
         return cleaned
-    verdict = cleaned.agg(
-        *[
-            (F.coalesce(F.bool_and(F.col(c).isNull() | to_double(F.col(c)).isNotNull()), F.lit(False))
-             & (F.count(F.col(c)) > 0)).alias(c)
-            for c in names
-        ]
-    ).first().asDict()
-    return cleaned.withColumns({c: to_double(F.col(c)) for c in names if verdict[c]})
+
+    def every(c: str, holds: Column) -> Column:
+        return F.coalesce(F.bool_and(F.col(c).isNull() | holds), F.lit(False)) & (F.count(F.col(c)) > 0)
+
+    tests = {
+        "double": lambda c: to_double(F.col(c)).isNotNull(),
+        "whole": lambda c: F.col(c).rlike("^[+-]?[0-9]+$"),
+        "bigint": lambda c: F.col(c).try_cast("bigint").isNotNull(),
+        "decimal(38,0)": lambda c: F.col(c).try_cast("decimal(38,0)").isNotNull(),
+    }
+    found = cleaned.agg(*[every(c, test(c)).alias(f"{kind} {c}") for c in names for kind, test in tests.items()]).first().asDict()
+    changed = {}
+    for c in names:
+        if found[f"whole {c}"]:
+            fitting = next((kind for kind in ("bigint", "decimal(38,0)") if found[f"{kind} {c}"]), None)
+            if fitting:
+                changed[c] = F.col(c).cast(fitting)
+        elif found[f"double {c}"]:
+            changed[c] = to_double(F.col(c))
+    return cleaned.withColumns(changed)
 
 
 def detect_data_types(df: DataFrame) -> DataFrame:
-    """Broad kind of each column by storage type; text with few distinct values is ``categorical``."""
+    """Broad kind of each column by storage type; text with few distinct values is ``categorical``.
+
+    Booleans are a kind of their own, and days count as ``datetime`` like instants.
+    """
     from starloom.operators.profile import column_statistics
 
     stats = column_statistics({"input": df})
     kind = F.col("type_name")
     return stats.select(
         "column_name",
-        F.when(kind.isin("Int32", "Int64"), "integer")
+        F.when(kind == "UInt8", "boolean")
+        .when(kind.isin("Int32", "Int64"), "integer")
         .when(kind.startswith("Float"), "float")
         .when(kind.rlike("^(U?Int|Decimal)"), "numeric")
-        .when(kind.isin("DateTime"), "datetime")
+        .when(kind.isin("DateTime", "Date"), "datetime")
         .when(F.col("cardinality") < F.col("row_count") * 0.5, "categorical")
         .otherwise("string")
         .alias("data_type"),
