@@ -275,7 +275,13 @@ def gold_views(spark):
     "sql",
     ["DROP VIEW sales_fact", "INSERT INTO sales_fact SELECT 1", "CREATE TABLE x AS SELECT 1", "SELECT * FROM secret_stage1",
      "SELECT * FROM sales_fact WHERE id IN (SELECT id FROM secret_stage1)", "WITH c AS (SELECT * FROM secret_stage1) SELECT * FROM c",
-     "SET spark.sql.ansi.enabled=false", "SELECT * FROM range(5)", "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`"],
+     "SET spark.sql.ansi.enabled=false", "SELECT * FROM range(5)", "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`",
+     "SELECT reflect('java.lang.System', 'getProperty', 'user.dir') FROM sales_fact",
+     "SELECT id FROM sales_fact WHERE upper(java_method('java.lang.System', 'lineSeparator')) = 'x'",
+     "WITH c AS (SELECT try_reflect('java.lang.System', 'lineSeparator') AS t FROM sales_fact) SELECT * FROM c",
+     "SELECT id FROM sales_fact WHERE id IN (SELECT length(reflect('java.lang.System', 'lineSeparator')) FROM sales_fact)",
+     "SELECT CASE WHEN id > 1 THEN current_user() END FROM sales_fact ORDER BY input_file_name()",
+     "SELECT sum(id) FROM sales_fact GROUP BY text HAVING max(length(java_method('java.lang.System', 'lineSeparator'))) > 0"],
 )
 def test_access_refuses(spark, gold_views, sql):
     with pytest.raises(access.QueryRejected):
