@@ -154,7 +154,7 @@ def catalog_cte(renamed: bool = False, suffix: str = "") -> str:
 
 def erd_cte(renamed: bool = False, suffix: str = "") -> str:
     return stats_cte(renamed, suffix) + f""",
- erd AS (SELECT *, {NULL_PCT} AS null_percentage, {CLASS_ERD} AS classification, {PK_UNIQUE} AS is_pk,
+ erd AS MATERIALIZED (SELECT *, {NULL_PCT} AS null_percentage, {CLASS_ERD} AS classification, {PK_UNIQUE} AS is_pk,
    {QUALITY_ERD} AS data_quality_score FROM stats),
  counted AS (SELECT table_name, max(row_count) AS row_count, count(*) AS column_count,
    count(*) FILTER (classification = 'fact') AS fact_columns,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.common import check, table
@@ -99,6 +101,19 @@ def n7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.prune_totals(logs.prune_report(every(spark, sf_dir), F.lit(NOW).cast("timestamp")))
 
 
+@check(
+    "N7_pruned_folders",
+    f"""SELECT target_table, deleted, remaining, remaining AS stored FROM (SELECT {TARGET} AS target_table,
+          count(*) FILTER (ts < TIMESTAMP '2024-01-24') AS deleted, count(*) FILTER (ts >= TIMESTAMP '2024-01-24') AS remaining FROM events GROUP BY 1)""",
+)
+def n7_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "log-days")
+    logs.write_logs(logs.route_logs(source(spark, sf_dir)), path)
+    report = logs.prune_folders(spark, path, datetime.fromisoformat(NOW))
+    stored = spark.read.parquet(path).groupBy("target_table").agg(F.count(F.lit(1)).alias("stored"))
+    return report.join(stored, "target_table")
+
+
 @check("N7_retained", "SELECT event_id AS line_number FROM events WHERE ts >= TIMESTAMP '2024-01-24'")
 def n7_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.retained(every(spark, sf_dir), F.lit(NOW).cast("timestamp")).select("line_number")

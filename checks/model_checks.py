@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.common import IS_MEASURE, RENAMES, STAR_SCHEMA, check, erd_cte, silver
@@ -9,7 +11,7 @@ from checks.hierarchy_checks import LEVELS, S1
 from checks.relate_checks import overlap_sql
 from starloom.operators import calendar as cal
 from starloom.operators import hierarchy, model, profile, relate
-from starloom.plans.star import wide_table
+from starloom.plans.star import Gold, assemble_gold, wide_table
 from starloom.session import cut_lineage
 
 
@@ -236,6 +238,34 @@ def i10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def gold(spark: SparkSession, sf_dir: str) -> Gold:
+    """Star and wide tables of the silver tables, from recommendations and value overlaps alone."""
+    recs = named(spark, sf_dir)
+    return assemble_gold(silver(spark, sf_dir, S1), recs, gold_relationships(spark, sf_dir, recs))
+
+
+@check(
+    "I10_gold_left_out",
+    f"""WITH {GOLD} SELECT * FROM (SELECT f.final_name AS fact, d.final_name AS dim,
+          CASE WHEN k.dim_column IS NULL THEN 'no join key' WHEN s.cardinality < s.row_count - s.null_count THEN 'key repeats' END AS reason
+        FROM recs f JOIN recs d ON f.table_type = 'fact' AND d.table_type = 'dimension'
+        LEFT JOIN value_keys k ON k.fact = f.final_name AND k.dim = d.final_name
+        LEFT JOIN stats s ON s.table_name = d.source_table AND s.column_name = k.dim_column) WHERE reason IS NOT NULL""",
+)
+def i10_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gold(spark, sf_dir).left_out
+
+
+@check(
+    "I10_gold_wide_rows",
+    """SELECT 'customer_k' AS wide, count(*) AS n FROM customer UNION ALL SELECT 'lineitem_k', count(*) FROM lineitem
+       UNION ALL SELECT 'nation_k', count(*) FROM nation UNION ALL SELECT 'supplier_k', count(*) FROM supplier""",
+)
+def i10_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [df.select(F.lit(name).alias("wide")) for name, df in gold(spark, sf_dir).wide.items()]
+    return reduce(DataFrame.unionByName, counts).groupBy("wide").agg(F.count(F.lit(1)).alias("n"))
+
+
 @check(
     "I11_one_big_table",
     """SELECT l_orderkey AS order_key, l_linenumber AS line_num, strftime(l_shipdate, '%Y-%m') AS calendar_year_month, s_name AS supplier_name, p_name AS part_name
@@ -244,8 +274,8 @@ def i10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def i11(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = silver(spark, sf_dir)
     days = cal.calendar(cal.days_of(tables["lineitem"], "ship_date"))
-    facts = tables["lineitem"].withColumn("calendar_date", F.col("ship_date").cast("date"))
-    return (
-        facts.join(days, "calendar_date", "left").join(tables["supplier"], "supplier_key", "left").join(tables["part"], "part_key", "left")
-        .select("order_key", "line_num", "calendar_year_month", "supplier_name", "part_name")
+    wide = model.one_big_table(
+        tables["lineitem"],
+        [model.DimensionJoin(name, tables[name], f"{name}_key", f"{name}_key") for name in ("supplier", "part")], "ship_date", days,
     )
+    return wide.select("order_key", "line_num", "calendar_year_month", "supplier_name", "part_name")

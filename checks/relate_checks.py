@@ -115,6 +115,8 @@ def overlap_cte(tables: list[str] | None = None, renamed: bool = False, suffix:
             shown = column if kind == "String" else f"CAST({column} AS VARCHAR)"
             if kind == "DateTime":
                 shown = f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
+            if kind == "Float64":  # whole numbers look alike whatever their type
+                shown = f"CASE WHEN {column} = floor({column}) THEN CAST(CAST({column} AS BIGINT) AS VARCHAR) ELSE CAST({column} AS VARCHAR) END"
             if tables is None or tab in tables:
                 parts.append(
                     f"SELECT DISTINCT {position} AS cid, '{tab}{suffix}' AS table_name, "
@@ -122,8 +124,8 @@ def overlap_cte(tables: list[str] | None = None, renamed: bool = False, suffix:
                     f"'{type_family(kind)}' AS family, {shown} AS value FROM {tab} WHERE {column} IS NOT NULL"
                 )
                 position += 1
-    return "vals AS (" + " UNION ALL ".join(parts) + """),
-     card AS (SELECT cid, table_name, column_name, count(*) AS cardinality FROM vals GROUP BY ALL),
+    return "vals AS MATERIALIZED (" + " UNION ALL ".join(parts) + """),
+     card AS MATERIALIZED (SELECT cid, table_name, column_name, count(*) AS cardinality FROM vals GROUP BY ALL),
      shared AS (SELECT a.cid AS cid1, b.cid AS cid2, count(*) AS overlap_count FROM vals a JOIN vals b
        ON a.family = b.family AND a.value = b.value AND a.cid < b.cid AND a.table_name <> b.table_name GROUP BY ALL)"""
 
@@ -155,6 +157,17 @@ def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*OVERLAP_COLUMNS, "is_pk1", "is_pk2", "classification1", "classification2", "overlap_percentage", "join_confidence")
 
 
+@check(
+    "G8_integer_meets_double",
+    """SELECT 'parts' AS table1, 'whole' AS column1, 'sizes' AS table2, 'real' AS column2, count(DISTINCT p_size) AS overlap_count FROM part
+       HAVING count(DISTINCT p_size) > 1""",
+)
+def g8_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = table(spark, sf_dir, "part")
+    tables = {"parts": size.select(F.col("p_size").cast("bigint").alias("whole")), "sizes": size.select(F.col("p_size").cast("double").alias("real"))}
+    return relate.join_candidates_by_overlap(tables).select(*PAIR, "overlap_count")
+
+
 @check(
     "G8_value_overlaps",
     f"WITH {overlap_cte()} SELECT cid1, cid2, overlap_count FROM shared",

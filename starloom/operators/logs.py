@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Columns every log table has, phases and their own columns with defaults.
 BASE_COLUMNS = [
@@ -120,3 +121,20 @@ def prune_report(logs: DataFrame, now: Column, ttl_days: int = DEFAULT_TTL_DAYS)
 
 def prune_totals(report: DataFrame) -> DataFrame:
     return report.agg(F.sum("deleted").alias("total_deleted"), F.sum("remaining").alias("total_remaining"))
+
+
+def prune_folders(spark: SparkSession, path: str, now: datetime, ttl_days: int = DEFAULT_TTL_DAYS) -> DataFrame:
+    """Remove the day folders of ``write_logs`` that lie wholly before the cutoff; (target_table, deleted, remaining) rows.
+
+    Which folders go is decided by their names, and the counts come from file footers. The driver holds one
+    row per table and expired day. A folder is deleted through the file system that holds it.
+    """
+    stored = spark.read.parquet(path)
+    old = F.col("log_date") < F.lit((now - timedelta(days=ttl_days)).date())
+    report = stored.groupBy("target_table").agg(F.count_if(old).alias("deleted"), F.count_if(~old).alias("remaining")).collect()
+    expired = stored.where(old).select("target_table", F.col("log_date").cast("string").alias("day")).distinct().collect()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for row in expired:
+        folder = hadoop.Path(f"{path}/target_table={row['target_table']}/log_date={row['day']}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.createDataFrame(report, "target_table string, deleted long, remaining long")

@@ -391,3 +391,24 @@ def k_table(fact: DataFrame, dims: list[DimensionJoin], allow_duplicates: bool =
         prefixed = d.df.select(*[F.col(f"`{c}`").alias(f"{d.name}_{c}") for c in d.df.columns])
         wide = wide.join(prefixed, F.col(f"`{d.fact_column}`") == F.col(f"`{d.name}_{d.dim_column}`"), "left")
     return wide
+
+
+def one_big_table(fact: DataFrame, dims: list[DimensionJoin], day_column: str | None = None,
+                  calendar: DataFrame | None = None, allow_duplicates: bool = False) -> DataFrame:
+    """A fact with the columns of its dimensions under their own names, and the calendar of one of its days.
+
+    Left joins keep every fact row. A column that the fact or an earlier dimension has already is not repeated. The
+    calendar is joined on the day of ``day_column``.
+    """
+    joins = list(dims)
+    if calendar is not None:
+        fact = fact.withColumn("_day", F.col(f"`{day_column}`").cast("date"))
+        joins.insert(0, DimensionJoin("calendar", calendar, "_day", "calendar_date"))
+    if joins and not allow_duplicates and not duplicate_keys(joins).isEmpty():
+        raise ValueError("a dimension key is not unique; pass allow_duplicates=True to join anyway")
+    wide = fact
+    for d in joins:
+        new = [c for c in d.df.columns if c not in wide.columns]
+        side = d.df.select(F.col(f"`{d.dim_column}`").alias("_key"), *[F.col(f"`{c}`") for c in new])
+        wide = wide.join(side, F.col(f"`{d.fact_column}`") == F.col("_key"), "left").drop("_key")
+    return wide.drop("_day")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from starloom.functions.names import storage_type_name, type_family, types_compatible
 from starloom.operators.profile import (
@@ -138,11 +138,29 @@ def _candidate_columns(tables: Tables, ignore: list[str]) -> list[tuple[int, str
     return [entry for entry in catalog if len(spread[entry[3]]) > 1]
 
 
+def canonical_number(number: Column) -> Column:
+    """One text for equal numbers of any numeric type: whole ones without fraction or exponent, else the shortest form."""
+    shortest = F.regexp_replace(number.cast("string"), r"(\.[0-9]*?)0+$", "$1")
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e18)
+    return F.when(whole, number.cast("bigint").cast("string")).otherwise(shortest)
+
+
+def _comparable(df: DataFrame, name: str, family: str) -> Column:
+    column = F.col(f"`{name}`")
+    if family != "numeric":
+        return column.cast("string")
+    return canonical_number(column.cast("int") if isinstance(df.schema[name].dataType, T.BooleanType) else column)
+
+
 def value_signatures(tables: Tables, ignore: list[str] | None = None) -> tuple[DataFrame, list[tuple[int, str, str, str]]]:
-    """(mask_0.., n): number of distinct values found in exactly the columns of each bit pattern."""
+    """(mask_0.., n): number of distinct values found in exactly the columns of each bit pattern.
+
+    Values are shuffled as two 64-bit hashes, so long texts move as 16 bytes.
+    """
     columns = _candidate_columns(tables, ignore or [])
     bit = {cid: i for i, (cid, _, _, _) in enumerate(columns)}
     words = max(1, -(-len(columns) // BITS))
+    masks = [f"mask_{w}" for w in range(words)]
     families = {family: i for i, family in enumerate(sorted({c[3] for c in columns}))}
     by_table: dict[str, list[tuple[int, str, str, str]]] = {}
     for entry in columns:
@@ -152,7 +170,7 @@ def value_signatures(tables: Tables, ignore: list[str] | None = None) -> tuple[D
         cells = [
             F.struct(
                 F.lit(families[family]).alias("family"),
-                F.col(f"`{column}`").cast("string").alias("value"),
+                _comparable(tables[table], column, family).alias("value"),
                 *[
                     F.lit(1 << (bit[cid] % BITS) if bit[cid] // BITS == w else 0).cast("bigint").alias(f"mask_{w}")
                     for w in range(words)
@@ -161,8 +179,10 @@ def value_signatures(tables: Tables, ignore: list[str] | None = None) -> tuple[D
             for cid, _, column, family in entries
         ]
         parts.append(tables[table].select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()))
-    masks = [f"mask_{w}" for w in range(words)]
-    per_value = reduce(DataFrame.unionByName, parts).groupBy("family", "value").agg(
+    keyed = reduce(DataFrame.unionByName, parts).select(
+        "family", F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value").alias("h2"), *masks
+    )
+    per_value = keyed.groupBy("family", "h1", "h2").agg(
         *[F.bit_or(m).alias(m) for m in masks]
     )
     return per_value.groupBy(*masks).agg(F.count(F.lit(1)).alias("n")), columns

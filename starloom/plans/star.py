@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 
 from starloom.operators.hierarchy import dimension_columns, hierarchy_levels, hierarchy_rows
-from starloom.operators.model import DimensionJoin, k_table, recommend
+from starloom.operators.model import (
+    DimensionJoin, build_star_table, choose_join_keys, duplicate_keys, k_table, k_table_name, recommend, star_table_spec,
+)
 from starloom.operators.profile import Tables, column_statistics, discover, erd_rules, table_types
 from starloom.operators.typed import SPEC, build_stage1, lossless_specs
 from starloom.session import cut_lineage
@@ -47,3 +51,46 @@ def wide_table(fact: DataFrame, dims: dict[str, tuple[DataFrame, str, str]], all
     joins = [DimensionJoin(name, df, fact_column, dim_column) for name, (df, fact_column, dim_column) in dims.items()]
     return k_table(fact, joins, allow_duplicates)
 
+
+
+@dataclass(frozen=True)
+class Gold:
+    """Star tables and wide tables by name, and (fact, dim, reason) of the dimensions that no wide table holds."""
+
+    star: Tables
+    wide: Tables
+    left_out: DataFrame
+
+
+def assemble_gold(silver: Tables, recommendations: DataFrame, relationships: DataFrame) -> Gold:
+    """Every named recommendation as a star table and every fact with its dimensions as a wide table.
+
+    ``silver`` is keyed by the recommendations' source tables and ``relationships`` name the gold tables. Joins are
+    those of ``choose_join_keys``; a dimension without a key, or whose key repeats, is left out and reported, so no
+    fact row is lost or multiplied. The driver holds one row per recommendation and per join.
+    """
+    rows = [r.asDict() for r in recommendations.collect()]
+    named = [(r, spec) for r in rows if (spec := star_table_spec(r)) and r["source_table"] in silver]
+    star = {spec.name: build_star_table(silver[r["source_table"]], spec) for r, spec in named}
+    kinds = {spec.name: r["table_type"] for r, spec in named}
+    chosen = [j for j in choose_join_keys(recommendations, relationships).collect() if {j["fact"], j["dim"]} <= star.keys()]
+    joins = {(j["fact"], j["dim"]): DimensionJoin(j["dim"], star[j["dim"]], j["fact_column"], j["dim_column"]) for j in chosen}
+    keys = {f"{d.name}.{d.dim_column}": d for d in joins.values()}
+    checked = [DimensionJoin(name, d.df, d.fact_column, d.dim_column) for name, d in keys.items()]
+    repeated = {r["dim"] for r in duplicate_keys(checked).select("dim").distinct().collect()} if checked else set()
+
+    wide, reasons = {}, []
+    facts, dims = ([name for name, kind in kinds.items() if kind == wanted] for wanted in ("fact", "dimension"))
+    for fact in facts:
+        good = []
+        for dim in dims:
+            join = joins.get((fact, dim))
+            if join is None:
+                reasons.append((fact, dim, "no join key"))
+            elif f"{dim}.{join.dim_column}" in repeated:
+                reasons.append((fact, dim, "key repeats"))
+            else:
+                good.append(join)
+        wide[k_table_name(fact)] = k_table(star[fact], good, allow_duplicates=True)  # the keys are checked above
+    spark = recommendations.sparkSession
+    return Gold(star, wide, spark.createDataFrame(reasons, "fact string, dim string, reason string"))
