@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
@@ -203,13 +204,13 @@ def transform(df: DataFrame, config: dict[str, Any], seen: tuple[Observation, Ob
     return df
 
 
-def flatten_nested(df: DataFrame, separator: str = "_", max_depth: int = 10) -> DataFrame:
+def flatten_nested(df: DataFrame, separator: str = "_", max_depth: int | None = None) -> DataFrame:
     """Struct fields become ``a_b`` columns, list items ``a_0``, ``a_1``, ...
 
     The number of list columns is the longest list in the data, found by one aggregate for all lists of
-    a level. Values below ``max_depth`` stay as JSON text.
+    a level. All levels of the schema are flattened; with ``max_depth``, values below it stay as JSON text.
     """
-    for _ in range(max_depth + 1):
+    for _ in count() if max_depth is None else range(max_depth + 1):
         lists = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)]
         structs = [f.name for f in df.schema if isinstance(f.dataType, T.StructType)]
         if not lists and not structs:
@@ -251,10 +252,13 @@ def _json_depth(df: DataFrame, text: str) -> int:
 
 
 def flatten_json_paths(df: DataFrame, text: str, keys: list[str], separator: str = "_",
-                       max_depth: int = 10) -> DataFrame:
-    """Ragged JSON text to long rows (keys, path, value): one row per leaf, whatever the documents hold."""
+                       max_depth: int | None = None) -> DataFrame:
+    """Ragged JSON text to long rows (keys, path, value): one row per leaf, whatever the documents hold.
+
+    All levels of the documents are followed; with ``max_depth``, values below it stay as JSON text.
+    """
     spark = df.sparkSession
-    depth = min(_json_depth(df, text), max_depth)
+    depth = _json_depth(df, text) if max_depth is None else min(_json_depth(df, text), max_depth)
     level = df.select(*keys, F.lit("").alias("path"), F.try_parse_json(F.col(text)).alias("node")).where(
         F.col("node").isNotNull()
     )

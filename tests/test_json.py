@@ -18,3 +18,18 @@ def test_paths_of_ragged_documents(spark):
     assert got == {(0, "a_b_0"): "1", (0, "a_b_1_c"): "x{", (1, "d"): None, (1, "e"): "true"}
     short = {(r.n, r.path): r.value for r in flatten_json_paths(df, "body", ["n"], max_depth=1).collect()}
     assert short[0, "a"] == '{"b":[1,{"c":"x{"}]}'
+
+
+def test_flatten_follows_every_level(spark):
+    from pyspark.sql import functions as F
+
+    from starloom.operators.cleanse import flatten_nested
+
+    depth = 14
+    body = "1"
+    nested = F.lit(1)
+    for _ in range(depth):
+        body, nested = f'{{"a": {body}}}', F.struct(nested.alias("a"))
+    df = spark.createDataFrame([(1, body)], "n int, body string")
+    assert [r.path for r in flatten_json_paths(df, "body", ["n"]).collect()] == ["_".join("a" * depth)]
+    assert flatten_nested(df.select(nested.alias("x"))).columns == ["_".join(["x", *"a" * depth])]
