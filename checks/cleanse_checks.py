@@ -172,6 +172,16 @@ def b21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"value_sum": F.round("value_sum", 4), "value_mean": F.round("value_mean", 6)})
 
 
+@check(
+    "B21_median_of_a_repeated_value",
+    """SELECT event_type, median(CASE WHEN event_id % 2 = 0 THEN 5.0 ELSE round(value, 2) END) AS value FROM events GROUP BY event_type""",
+)
+def b21_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = F.when(F.col("event_id") % 2 == 0, 5.0).otherwise(F.round("value", 2))
+    rows = table(spark, sf_dir, "events").select("event_type", half.alias("value"))
+    return cleanse.aggregate(rows, ["event_type"], {"value": "median"})
+
+
 @check(
     "B21_aggregate_median_first_last",
     f"""SELECT user_id, round(median(value), 6) AS value_median, arg_min(value, event_id) FILTER (value IS NOT NULL) AS value_first,

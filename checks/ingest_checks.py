@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from checks.common import SPACE_SQL, STAMP, STAR_SCHEMA, check, star, table, text_of
+from checks.common import SPACE_SQL, STAMP, STAR_SCHEMA, catalog_cte, check, star, table, text_of
 from starloom.functions.text import clean_text, file_target_name, query_target_name
 from starloom.operators.profile import catalog_profile, discover
 from starloom.session import scratch_path
@@ -207,7 +207,10 @@ def a18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.load_summary(results, 8.0).withColumn("records_per_second", F.round("records_per_second", 6))
 
 
-@check("A19_export_catalog")
+@check(
+    "A19_export_catalog",
+    f"WITH {catalog_cte()} " + " UNION ALL ".join(f"SELECT '{fmt}' AS format, table_name, column_name, cardinality FROM catalog" for fmt in ("json", "csv")),
+)
 def a19(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog, out = catalog_profile(star(spark, sf_dir)), []
     for fmt in ("json", "csv"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from checks.common import SPACE_SQL, check, strip_sql, table
+from checks.common import SPACE_SQL, check, table
 from starloom.functions import text, values
 from starloom.operators import cleanse
 from starloom.sources import ingest
@@ -12,12 +12,13 @@ from starloom.sources import ingest
 
 @check(
     "C1_clean_string",
-    f"SELECT doc_id, regexp_replace({strip_sql('text')}, '{SPACE_SQL}+', ' ', 'g') AS text FROM documents",
+    # A NUL between spaces keeps them apart until it is dropped; chr(1) stands for it here.
+    f"""SELECT doc_id, replace(regexp_replace(regexp_replace(replace(text, ' ', ' ' || chr(1) || chr(9) || ' '), '^{SPACE_SQL}+', ''),
+        '{SPACE_SQL}+', ' ', 'g'), chr(1), '') AS text FROM documents""",
 )
 def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirty = F.concat(F.lit(" \n"), F.replace("text", F.lit(" "), F.lit(" \x00\t ")), F.lit("\x00"))
-    tidy = F.regexp_replace(text.clean_string(dirty), f"{text.SPACE}+", " ")
-    return table(spark, sf_dir, "documents").select("doc_id", text.strip(tidy).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_string(dirty).alias("text"))
 
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F, types as
 
 from starloom.functions.text import clean_string, strip
 from starloom.functions.values import parse_datetime, to_double, to_long_coerced
-from starloom.operators.ordering import carry_fill, global_position
+from starloom.operators.ordering import carry_fill, global_position, running_total
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -137,12 +137,18 @@ def _aggregate_column(column: str, name: str, order: str | None) -> Column:
 
 
 def _medians(df: DataFrame, group_by: list[str], column: str, output: str) -> DataFrame:
-    """Exact medians by position, so that no task holds a whole group."""
+    """Exact medians by position. Equal values are counted first, so neither a group nor a value gathers in a task."""
     known = df.where(F.col(column).isNotNull()).select(*group_by, F.col(column).cast("double").alias("_value"))
-    ranked = global_position(known, ["_value"], group_by, "_position")
-    sizes = ranked.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_size"))
-    middle = F.col("_position").isin(F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1)
-    return ranked.join(sizes, group_by).where(middle).groupBy(*group_by).agg(F.avg("_value").alias(output))
+    counted = known.groupBy(*group_by, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_total(counted, "_n", ["_value"], group_by, "_upto")
+    sizes = counted.groupBy(*group_by).agg(F.sum("_n").alias("_size"))
+
+    def holds(position: Column) -> Column:
+        return ((F.col("_upto") - F.col("_n") < position) & (position <= F.col("_upto"))).cast("int")
+
+    halves = holds(F.floor((F.col("_size") + 1) / 2)) + holds(F.floor(F.col("_size") / 2) + 1)
+    middle = placed.join(sizes, group_by).withColumn("_halves", halves).where(F.col("_halves") > 0)
+    return middle.groupBy(*group_by).agg((F.sum(F.col("_value") * F.col("_halves")) / 2).alias(output))
 
 
 def aggregate(df: DataFrame, group_by: list[str], functions: dict[str, str | list[str]],

@@ -54,6 +54,23 @@ def global_position(df: DataFrame, order: list[str | Column], group: list[str] |
     return joined.withColumn(name, F.col("_before") + F.col("_row") - F.col("_first") + 1).select(*df.columns, name)
 
 
+def running_total(df: DataFrame, weight: str, order: list[str | Column], group: list[str], name: str) -> DataFrame:
+    """Sum of ``weight`` from the first row of each group up to every row, in the given order."""
+    tagged = spread_in_order(df, [*group, *order])
+    inside = Window.partitionBy("_part", *group).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    running = tagged.withColumn("_running", F.sum(weight).over(inside))
+    blocks = tagged.groupBy("_part", *group).agg(F.sum(weight).alias("_sum"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(
+        F.col("_part").alias("_p"), *[F.col(g).alias(f"_g_{g}") for g in group],
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
+    )
+    same = F.col("_part") == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return running.join(offsets, same).withColumn(name, F.col("_before") + F.col("_running")).select(*df.columns, name)
+
+
 def carry_fill(df: DataFrame, columns: list[str], order: list[str | Column], keys: list[str] | None = None,
                backward: bool = False) -> DataFrame:
     """Replace NULLs by the last value seen before (or the next one after) in the given order."""
