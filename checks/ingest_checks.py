@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -76,6 +77,34 @@ def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select("target_table", "status", "records")
 
 
+@check(
+    "A7_equal_base_names",
+    """SELECT target, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'part' ELSE 'part_2' END AS target FROM customer) GROUP BY target""",
+)
+def a7_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files of one name in two folders, each with half of the customers."""
+    customers, folders, out = table(spark, sf_dir, "customer"), [scratch_path(spark, side) for side in "ab"], scratch_path(spark, "bronze")
+    for rest, folder in enumerate(folders):
+        customers.where(F.col("c_custkey") % 2 == rest).write.parquet(f"{folder}/part.parquet")
+    done = ingest.ingest_many(spark, [f"{folder}/part.parquet" for folder in folders], "parquet", out, STAMP)
+    stored = [spark.read.parquet(f"{out}/{r['target_table']}").select(F.lit(r["target_table"]).alias("target")) for r in done.collect()]
+    return reduce(DataFrame.unionByName, stored).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@check(
+    "A7_quoted_line_breaks",
+    """SELECT c_custkey, reader, 'name ' || chr(10) || ' "of" ' || c_name AS name FROM (SELECT *, unnest(['batch', 'single']) AS reader FROM customer)""",
+)
+def a7_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with quoted line breaks through both readers."""
+    path = scratch_path(spark, "broken-lines")
+    name = F.concat(F.lit('name \n "of" '), "c_name").alias("name")
+    table(spark, sf_dir, "customer").select("c_custkey", name).write.option("header", True).option("escape", '"').csv(path)
+    both = {"batch": readers.read_batch(spark, [path], "csv"), "single": readers.read_csv_strings(spark, path)}
+    shown = [df.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), F.lit(which).alias("reader"), "name") for which, df in both.items()]
+    return reduce(DataFrame.unionByName, shown)
+
+
 @check(
     "A7_batch_file_counts",
     """SELECT 'orders.parquet' AS source_file, 'orders' AS target_table, count(*) AS records FROM orders""",

@@ -64,17 +64,32 @@ def schema_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
 RESULT_SCHEMA = "path string, target_table string, status string, records bigint, message string"
 
 
+def unique_targets(paths: list[str]) -> list[str]:
+    """Target names of files: the base name, numbered where an earlier file has it already."""
+    taken: set[str] = set()
+    targets = []
+    for path in paths:
+        base = path.rstrip("/").rsplit("/", 1)[-1].split(".", 1)[0]
+        target, number = base, 1
+        while target in taken:
+            number += 1
+            target = f"{base}_{number}"
+        taken.add(target)
+        targets.append(target)
+    return targets
+
+
 def ingest_many(spark: SparkSession, paths: list[str], fmt: str, out: str, stamp: str,
                 parallel: int = 8) -> DataFrame:
     """Load each file to its own target folder under ``out``; a bad file gives an error row.
 
     Each file is one distributed read and write, several of them at a time; row counts come from an
-    observation on the write, so nothing is read twice. The result has one row per requested file.
+    observation on the write, so nothing is read twice. The result has one row per requested file. Files of
+    one base name get targets of their own (``sales``, ``sales_2``, ... in the order of the request).
     """
     readers = {"csv": read_csv_strings, "parquet": read_parquet_strings}
 
-    def load(path: str) -> tuple[str, str, str, int, str | None]:
-        target = path.rstrip("/").rsplit("/", 1)[-1].split(".", 1)[0]
+    def load(path: str, target: str) -> tuple[str, str, str, int, str | None]:
         try:
             seen = Observation()
             rows = land(readers[fmt](spark, path), stamp).observe(seen, F.count(F.lit(1)).alias("records"))
@@ -84,7 +99,7 @@ def ingest_many(spark: SparkSession, paths: list[str], fmt: str, out: str, stamp
             return (path, target, "error", 0, str(problem).split("\n", 1)[0])
 
     with ThreadPoolExecutor(parallel) as pool:
-        results = list(pool.map(load, paths))
+        results = list(pool.map(load, paths, unique_targets(paths)))
     return spark.createDataFrame(results, RESULT_SCHEMA)
 
 

@@ -25,11 +25,15 @@ def string_columns(df: DataFrame, null_as_empty: bool = True, clean: bool = True
     return df.select(*[landed(field) for field in df.schema])
 
 
-def read_csv_strings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """CSV with a header row; quoted line breaks are kept, missing trailing fields become ''."""
+def read_csv_strings(spark: SparkSession, paths: str | list[str], multiline: bool = True) -> DataFrame:
+    """CSV with a header row; missing trailing fields become ''.
+
+    With ``multiline`` quoted line breaks are kept and a task reads a whole file. The caller who knows that a layout has
+    no quoted line breaks passes False, and large files are split over many tasks.
+    """
     raw = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("escape", '"')
         .option("inferSchema", False)
         .csv(paths)
@@ -117,11 +121,14 @@ def json_records_to_rows(df: DataFrame, text: str, record: str = "record") -> Da
     )
 
 
-def read_batch(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> DataFrame:
-    """Many files of one layout in a single read, each row tagged with its file and target table."""
+def read_batch(spark: SparkSession, paths: list[str], fmt: str = "parquet", multiline: bool = True) -> DataFrame:
+    """Many files of one layout in a single read, each row tagged with its file and target table.
+
+    ``multiline`` as in ``read_csv_strings``.
+    """
     reader = spark.read
     if fmt == "csv":
-        reader = reader.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
+        reader = reader.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multiline)
     raw = reader.format(fmt).load(paths)
     return raw.withColumns(
         {
