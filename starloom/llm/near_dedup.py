@@ -4,7 +4,8 @@ A text is its sequence of lower-case words. Its k-mers of five words are labelle
 ``SKETCHES`` hash functions picks the ``PICK`` smallest labelled k-mers, kept in text order, and their hash is a sketch
 value. Texts that agree in a value (and lie in neighbouring length bands) share a bucket. In each bucket every text
 is paired with the bucket's smallest id only, so copies never make all pairs; texts that alignment does not
-confirm go on to finer buckets (a second and a third agreeing value). A pair is a link when 1 - edit
+confirm go on to finer buckets that also agree in the next value, and then in the one after it, so a bucket never
+makes more rows than it has. A pair is a link when 1 - edit
 distance / longer length is at least ``SIMILARITY`` in words. Links between class representatives give connected
 components; the smallest id names the class.
 
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from starloom.llm.align import similarity
-from starloom.llm.common import WordHashes, filled, mix, shingles, words
+from starloom.llm.common import WordHashes, filled, mix, shingles
 from starloom.llm.components import components
 from starloom.session import cut_lineage
 
@@ -82,11 +83,11 @@ def sketch(text: Column) -> Column:
         hashes = WordHashes()
         for texts in batches:
             keys, sizes, values = [], [], []
-            for text_ in filled(texts):
-                found = words(text_)
+            for found in hashes.of(filled(texts)):
+                some = len(found) > 0
                 sizes.append(len(found))
-                keys.append(hashlib.blake2b(" ".join(found).encode("utf-8", "surrogatepass"), digest_size=16).digest() if found else None)
-                values.append(order_sketches(shingles(hashes(found), SHINGLE)).view(np.int64) if found else None)
+                keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if some else None)
+                values.append(order_sketches(shingles(found, SHINGLE)).view(np.int64) if some else None)
             yield pd.DataFrame({"key": keys, "n": sizes, "values": values})
 
     return run(text)
@@ -96,17 +97,19 @@ def aligned(a: Column, b: Column, least: float) -> Column:
     """Word similarity of two text columns by banded alignment, 0 below ``least``."""
 
     @F.pandas_udf("double")
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = [similarity(words(x), words(y), least) for x, y in zip(filled(left), filled(right), strict=True)]
-        return pd.Series(out, dtype=float)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        hashes, other = WordHashes(), WordHashes()
+        for left, right in batches:
+            pairs = zip(hashes.of(filled(left)), other.of(filled(right)), strict=True)
+            yield pd.Series([similarity(x.tolist(), y.tolist(), least) for x, y in pairs], dtype=float)
 
     return run(a, b)
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """(bucket, leader, rep) of buckets with two texts or more; the leader is the smallest."""
+    """(bucket, i, leader, rep) of buckets with two texts or more; the leader is the smallest."""
     leaders = rows.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("_most")).where("leader <> _most")
-    return rows.join(leaders.drop("_most"), "bucket").where("rep <> leader").distinct()
+    return rows.join(leaders.drop("_most"), "bucket").where("rep <> leader")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -119,15 +122,16 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(leader, rep, similarity) of confirmed links; ``nodes``: rep, n, values; ``texts``: rep, text."""
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / SIMILARITY)) + 1e-9)
     each = nodes.select("rep", F.posexplode("values").alias("_i", "_value"), F.explode(F.array(band, band + 1)).alias("_band"))
-    members = cut_lineage(_grouped(each.select(F.xxhash64("_i", "_value", "_band").alias("bucket"), "rep")))
+    members = cut_lineage(_grouped(each.select(F.xxhash64("_i", "_value", "_band").alias("bucket"), F.col("_i").alias("i"), "rep")))
     wanted = members.select("rep").union(members.select("leader")).distinct()
     kept = cut_lineage(texts.join(wanted, "rep"))
     done = _verified(members.select("leader", "rep").distinct(), kept)
     for _ in range(LEVELS - 1):
         failed = done.where(F.col("similarity") < SIMILARITY)
-        left = members.join(failed.select("leader", "rep"), ["leader", "rep"]).select("bucket", "rep").distinct()
-        finer = left.join(nodes, "rep").select("bucket", "rep", F.posexplode("values").alias("_i", "_value"))
-        members = cut_lineage(_grouped(finer.select(F.xxhash64("bucket", "_i", "_value").alias("bucket"), "rep")))
+        left = members.join(failed.select("leader", "rep"), ["leader", "rep"]).select("bucket", "i", "rep")
+        finer = left.join(nodes.select("rep", "values"), "rep").withColumn("i", (F.col("i") + 1) % SKETCHES)
+        bucket = F.xxhash64("bucket", "i", F.element_at("values", F.col("i") + 1))
+        members = cut_lineage(_grouped(finer.select(bucket.alias("bucket"), "i", "rep")))
         fresh = members.select("leader", "rep").distinct().join(done, ["leader", "rep"], "left_anti")
         if fresh.isEmpty():
             break
