@@ -1,6 +1,6 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-A text is its sequence of lower-case words. Its k-mers of five words are labelled with their occurrence; each of
+A text is its sequence of lower-case words. Its k-mers of three words (short texts: also of two) are labelled with their occurrence; each of
 ``SKETCHES`` hash functions picks the ``PICK`` smallest labelled k-mers, kept in text order, and their hash is a sketch
 value. Texts that agree in a value (and lie in neighbouring length bands) share a bucket. In each bucket every text
 is paired with the bucket's smallest id only, so copies never make all pairs; texts that alignment does not
@@ -13,7 +13,7 @@ Equal word sequences are one text from the start, so exact copies cost one row e
 bucket: leaders are minima combined before the shuffle, and skewed joins can be split.
 
 Defined cases: null texts, texts without a word and rows without an id stay in classes of their own; texts of
-any length are read whole; a text of fewer than five words has one k-mer; rows that repeat an id and a text are
+any length are read whole; a text of fewer than three words has one k-mer; rows that repeat an id and a text are
 copies, of which the filter keeps one. Other columns stay.
 """
 
@@ -31,10 +31,11 @@ from starloom.llm.common import WordHashes, filled, mix, shingles
 from starloom.llm.components import components
 from starloom.session import cut_lineage
 
-SHINGLE = 5
+SHINGLE = 3
 SIMILARITY = 0.8
-SKETCHES = 16
+SKETCHES = 40
 PICK = 2
+SHORT = 32  # texts of so many words are sketched by pairs of words too
 LEVELS = 3
 _RANDOM = np.random.default_rng(20240601)
 FACTORS = _RANDOM.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,6 +76,12 @@ def order_sketches(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(found: np.ndarray) -> np.ndarray:
+    """The sketch values of a text's word hashes; a place of the list always stands for the same function and width."""
+    values = order_sketches(shingles(found, SHINGLE))
+    return np.r_[values, order_sketches(shingles(found, SHINGLE - 1))] if len(found) <= SHORT else values
+
+
 def sketch(text: Column) -> Column:
     """Struct of the text key (null without words), the number of words and the sketch values."""
 
@@ -87,7 +94,7 @@ def sketch(text: Column) -> Column:
                 some = len(found) > 0
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if some else None)
-                values.append(order_sketches(shingles(found, SHINGLE)).view(np.int64) if some else None)
+                values.append(sketches(found).view(np.int64) if some else None)
             yield pd.DataFrame({"key": keys, "n": sizes, "values": values})
 
     return run(text)

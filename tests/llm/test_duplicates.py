@@ -119,6 +119,20 @@ def test_order_matters_to_sketches():
     assert len(np.unique(near_dedup.labelled(np.repeat(kmers[:3], 4)))) == 12
 
 
+def test_sketches_find_pairs_at_the_bar():
+    rng = np.random.default_rng(13)
+    for n in (10, 20, 40, 100, 300):
+        for edits in (n * 3 // 20, n // 5):
+            hits = 0
+            for _ in range(200):
+                a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+                b = a.copy()
+                b[rng.choice(n, edits, replace=False)] = rng.integers(0, 1 << 63, edits, dtype=np.uint64)
+                p, q = near_dedup.sketches(a), near_dedup.sketches(b)
+                hits += bool((p == q).any())
+            assert hits >= 0.97 * 200, (n, edits, hits)
+
+
 def test_fingerprints_of_edited_texts(spark, odd_rows, corpus):
     rows = [(i, t) for i, t in [*odd_rows, *((100 + i, t) for i, t in corpus[:80])] if i is not None]
     rows = list(dict(rows).items())
