@@ -3,10 +3,11 @@
 A text is its sequence of lower-case words. Its k-mers of three words (short texts: also of two) are labelled with their occurrence; each of
 ``SKETCHES`` hash functions picks the ``PICK`` smallest labelled k-mers, kept in text order, and their hash is a sketch
 value. Texts that agree in a value (and lie in neighbouring length bands) share a bucket. In each bucket every text
-is paired with the bucket's smallest id only, so copies never make all pairs; texts that alignment does not
-confirm go on to finer buckets that also agree in the next value, and then in the one after it, so a bucket never
-makes more rows than it has. A pair is a link when 1 - edit
-distance / longer length is at least ``SIMILARITY`` in words. Links between class representatives give connected
+is paired with the bucket's smallest id first, so copies never make all pairs. A bucket is settled when its texts are in
+one component. In the others confirmed texts stay: small buckets compare all texts of different components; large ones
+take the text with the most links as the next leader, then part by rare words (texts of the wanted similarity always share one
+of them), and go on with leaders until no bucket holds an untested pair of different components. A pair is a link when
+1 - edit distance / longer length is at least ``SIMILARITY`` in words. Links between class representatives give connected
 components; the smallest id names the class.
 
 Equal word sequences are one text from the start, so exact copies cost one row each. Nothing is gathered per
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starloom.llm.align import similarity
 from starloom.llm.common import WordHashes, filled, mix, shingles
@@ -36,7 +37,7 @@ SIMILARITY = 0.8
 SKETCHES = 40
 PICK = 2
 SHORT = 32  # texts of so many words are sketched by pairs of words too
-LEVELS = 3
+SMALL = 24  # buckets of so many texts compare them all
 _RANDOM = np.random.default_rng(20240601)
 FACTORS = _RANDOM.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RANDOM.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -113,10 +114,24 @@ def aligned(a: Column, b: Column, least: float) -> Column:
     return run(a, b)
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """(bucket, i, leader, rep) of buckets with two texts or more; the leader is the smallest."""
-    leaders = rows.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("_most")).where("leader <> _most")
-    return rows.join(leaders.drop("_most"), "bucket").where("rep <> leader")
+def rare_words(texts: DataFrame) -> DataFrame:
+    """(rep, word) of each text's rarest words, so many that texts of at least ``SIMILARITY`` share one of them.
+
+    Such texts share ``SIMILARITY`` of the longer one's words, so they cannot differ in all of the rarest others and one more.
+    """
+
+    @F.pandas_udf("array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = WordHashes()
+        for found in batches:
+            yield pd.Series([labelled(shingles(x, 1)).view(np.int64) if len(x) else None for x in hashes.of(filled(found))], dtype=object)
+
+    each = cut_lineage(texts.select("rep", F.explode(run(F.col("text"))).alias("word")))
+    often = each.groupBy("word").agg(F.count("word").alias("_often"))
+    order = Window.partitionBy("rep").orderBy("_often", "word")
+    ranked = each.join(often, "word").select("rep", "word", F.row_number().over(order).alias("_k"))
+    sizes = each.groupBy("rep").agg((F.count("rep") - F.ceil(F.count("rep") * SIMILARITY - 1e-9) + 1).alias("_take"))
+    return ranked.join(sizes, "rep").where("_k <= _take").select("rep", "word")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -125,24 +140,54 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut_lineage(joined.select("leader", "rep", aligned(F.col("_a"), F.col("text"), SIMILARITY).alias("similarity")))
 
 
+def _unsettled(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """``rows`` (bucket, rep) of the buckets whose texts are not yet in one component, with label and links of the text."""
+    found = cut_lineage(done.where(F.col("similarity") >= SIMILARITY).select("leader", "rep"))
+    ends = found.select(F.explode(F.array("leader", "rep")).alias("rep")).groupBy("rep").agg(F.count("rep").alias("links"))
+    known = ends.join(components(found, "leader", "rep").withColumnRenamed("node", "rep"), "rep")
+    named = rows.select("bucket", "rep").join(known, "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = cut_lineage(named)
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("rep").alias("size")).where("_low <> _high")
+    return cut_lineage(named.join(mixed.select("bucket", "size"), "bucket"))
+
+
+def _led(rows: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each bucket's leader (least ``order``) with texts of other components, and the rows without leaders."""
+    leaders = rows.groupBy("bucket").agg(F.min_by(F.struct("rep", "label"), order).alias("_leader"))
+    joined = rows.join(leaders, "bucket").where("rep <> _leader.rep")
+    return joined.where("label <> _leader.label").select(F.col("_leader.rep").alias("leader"), "rep"), joined.select("bucket", "rep")
+
+
+def _every(rows: DataFrame) -> DataFrame:
+    """All pairs of texts of different components in buckets of at most ``SMALL`` texts."""
+    other = rows.select("bucket", F.col("rep").alias("leader"), F.col("label").alias("_label"))
+    return rows.join(other, "bucket").where("leader < rep and label <> _label").select("leader", "rep")
+
+
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(leader, rep, similarity) of confirmed links; ``nodes``: rep, n, values; ``texts``: rep, text."""
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / SIMILARITY)) + 1e-9)
     each = nodes.select("rep", F.posexplode("values").alias("_i", "_value"), F.explode(F.array(band, band + 1)).alias("_band"))
-    members = cut_lineage(_grouped(each.select(F.xxhash64("_i", "_value", "_band").alias("bucket"), F.col("_i").alias("i"), "rep")))
-    wanted = members.select("rep").union(members.select("leader")).distinct()
-    kept = cut_lineage(texts.join(wanted, "rep"))
-    done = _verified(members.select("leader", "rep").distinct(), kept)
-    for _ in range(LEVELS - 1):
-        failed = done.where(F.col("similarity") < SIMILARITY)
-        left = members.join(failed.select("leader", "rep"), ["leader", "rep"]).select("bucket", "i", "rep")
-        finer = left.join(nodes.select("rep", "values"), "rep").withColumn("i", (F.col("i") + 1) % SKETCHES)
-        bucket = F.xxhash64("bucket", "i", F.element_at("values", F.col("i") + 1))
-        members = cut_lineage(_grouped(finer.select(bucket.alias("bucket"), "i", "rep")))
-        fresh = members.select("leader", "rep").distinct().join(done, ["leader", "rep"], "left_anti")
-        if fresh.isEmpty():
-            break
+    rows = each.select(F.xxhash64("_i", "_value", "_band").alias("bucket"), "rep")
+    ends = rows.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("_most")).where("leader <> _most")
+    rows = cut_lineage(rows.join(ends.drop("_most"), "bucket"))
+    kept = cut_lineage(texts.join(rows.select("rep").distinct(), "rep"))
+    done = _verified(rows.where("rep <> leader").select("leader", "rep").distinct(), kept)
+    rows = _unsettled(rows.where("rep <> leader"), done)
+    popular = F.struct(-F.col("links"), F.xxhash64("bucket", "rep"))  # a centre of many links comes first
+    finer = False
+    while not rows.isEmpty():
+        led, left = _led(rows.where(F.col("size") > SMALL), popular)
+        pairs = led.union(_every(rows.where(F.col("size") <= SMALL)))
+        pairs = pairs.select(F.least("leader", "rep").alias("leader"), F.greatest("leader", "rep").alias("rep")).distinct()
+        fresh = cut_lineage(pairs.join(done, ["leader", "rep"], "left_anti"))
         done = cut_lineage(done.unionByName(_verified(fresh, kept)))
+        rows = _unsettled(left, done)
+        if not finer and not rows.isEmpty():
+            finer = True
+            rare = rare_words(kept.join(rows.select("rep").distinct(), "rep"))
+            parts = rows.join(rare, "rep").select(F.xxhash64("bucket", "word").alias("bucket"), "rep").distinct()
+            rows = _unsettled(parts, done)
     return done.where(F.col("similarity") >= SIMILARITY)
 
 

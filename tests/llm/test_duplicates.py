@@ -99,6 +99,20 @@ def test_near_classes_equal_components_of_all_similar_pairs(spark, corpus):
     assert sorted(r["doc_id"] for r in near_dedup.keep_one(docs).collect()) == sorted(set(label.values()))
 
 
+def test_centre_of_a_star_joins_its_variants(spark, make):
+    """Variants are near their base only, and the base is no leader: it has the largest id."""
+    rng = random.Random(11)
+    base, rows = make(rng, 150).split(), []
+    for k in range(60):
+        text = list(base)
+        for at in rng.sample(range(150), 18):
+            text[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(text)))
+    rows.append((1000, " ".join(base)))
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 61 and {r["class_id"] for r in got} == {0}
+
+
 def test_near_duplicates_of_odd_rows(odd, odd_rows, empty):
     rows = near_dedup.near_classes(odd).collect()
     assert len(rows) == len(odd_rows)
