@@ -113,6 +113,18 @@ def test_centre_of_a_star_joins_its_variants(spark, make):
     assert len(got) == 61 and {r["class_id"] for r in got} == {0}
 
 
+def test_hot_buckets_part_by_rare_words(spark, make, monkeypatch):
+    """Pairs inside one bucket that half the texts share, all of it unlike its leaders."""
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    rng = random.Random(12)
+    line, rows = make(rng, 40), []
+    for k in range(40):
+        body = make(rng, 60).split()
+        rows += [(2 * k, f"{line} {' '.join(body)}"), (2 * k + 1, f"{line} {' '.join(edited(rng, body, 6))}")]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_near_duplicates_of_odd_rows(odd, odd_rows, empty):
     rows = near_dedup.near_classes(odd).collect()
     assert len(rows) == len(odd_rows)
