@@ -285,6 +285,22 @@ def test_passages_cover_every_repeated_run(spark, make):
     assert not clean & ({r["doc_id"] for r in got} | {r["other_id"] for r in got})
 
 
+def test_exact_passages_before_and_after_templates(make):
+    rng = np.random.default_rng(14)
+    fresh = lambda n: rng.integers(0, 1 << 16, n).astype("<u2")
+    passage = fresh(60)
+    for fields in (3, 5, 10, 40):
+        labels = [fresh(5) for _ in range(fields)]
+        form = lambda: np.concatenate([part for label in labels for part in (fresh(7), label)])  # noqa: B023, E731
+        one, other = form(), form()
+        for turn in (1, -1):
+            x, y = (np.concatenate([passage, f][::turn]) for f in (one, other))
+            at = 0 if turn > 0 else len(one)
+            for anchor in (at, at + 30, at + 55):
+                found = passages.passages_of(x, y, [(anchor, anchor)])
+                assert any(p["start"] <= at and at + 60 <= p["end"] and p["similarity"] >= 0.8 for p in found)
+
+
 def test_compact_windows_hold_every_range(make):
     rng = random.Random(10)
     tokens = WordHashes()([str(rng.randrange(400)) for _ in range(300)])
