@@ -176,9 +176,12 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     rows = _unsettled(rows.where("rep <> leader"), done)
     popular = F.struct(-F.col("links"), F.xxhash64("bucket", "rep"))  # a centre of many links comes first
     finer = False
+    texts_kept = kept.count()
     while not rows.isEmpty():
-        led, left = _led(rows.where(F.col("size") > SMALL), popular)
-        pairs = led.union(_every(rows.where(F.col("size") <= SMALL)))
+        few = rows.agg(F.sum("size")).first()[0] <= texts_kept  # a short rest is compared at once, not round by round
+        small = F.lit(True) if few else F.col("size") <= SMALL
+        led, left = _led(rows.where(~small), popular)
+        pairs = led.union(_every(rows.where(small)))
         pairs = pairs.select(F.least("leader", "rep").alias("leader"), F.greatest("leader", "rep").alias("rep")).distinct()
         fresh = cut_lineage(pairs.join(done, ["leader", "rep"], "left_anti"))
         done = cut_lineage(done.unionByName(_verified(fresh, kept)))
