@@ -301,6 +301,21 @@ def test_exact_passages_before_and_after_templates(make):
                 assert any(p["start"] <= at and at + 60 <= p["end"] and p["similarity"] >= 0.8 for p in found)
 
 
+def test_windows_find_passages_at_the_bar():
+    rng = np.random.default_rng(15)
+    fresh = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    for n in (50, 55, 60):
+        hits = 0
+        for _ in range(150):
+            p = fresh(n)
+            q = p.copy()
+            q[rng.choice(n, n // 5, replace=False)] = fresh(n // 5)
+            tokens = [passages.shingles(np.r_[fresh(80), part, fresh(80)], passages.SHINGLE) for part in (p, q)]
+            a, b = ({int(t[c]): passages.packed(*map(np.int64, (c, l, r))) for c, l, r in passages.compact_windows(t, passages.LEAST - passages.SHINGLE + 1)} for t in tokens)
+            hits += any(passages.shared_words(a[key], b[key]) >= passages.LEAST for key in a.keys() & b.keys())
+        assert hits >= 0.96 * 150, (n, hits)
+
+
 def test_compact_windows_hold_every_range(make):
     rng = random.Random(10)
     tokens = WordHashes()([str(rng.randrange(400)) for _ in range(300)])
