@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import bpe, decontaminate, fingerprints, langid, near_dedup, passages, pii, quality, token_counts, toxicity
+from starloom.llm import bpe, decontaminate, fingerprints, langid, merkle, near_dedup, oracles, passages, pii, quality, token_counts, toxicity
 from starloom.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_repeated_passages")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle_manifest", oracles.MANIFEST)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
