@@ -46,7 +46,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "stored")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete frames that ``cut_lineage`` stored; nothing may read them, or frames built on them, any more."""
+    for frame in frames:
+        if frame is not None and getattr(frame, "_stored_at", None):
+            delete_folder(frame.sparkSession, frame._stored_at)
+            frame._stored_at = None
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, through Spark's own access to it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
