@@ -74,3 +74,24 @@ FROM ranked r JOIN tops t ON r.tree = t.tree CROSS JOIN root
 LEFT JOIN proofs p ON r.tree = p.tree AND r.rank = p.rank
 JOIN (SELECT tree, rank, arg_max(h, k) AS h FROM fold GROUP BY tree, rank) f ON r.tree = f.tree AND r.rank = f.rank
 """
+
+NGRAM_JOIN = f"""
+WITH RECURSIVE texts AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all({lowered("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+grams AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS gram
+  FROM texts, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS r(i)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (
+  SELECT s.a, s.b FROM shared s JOIN sizes x ON s.a = x.doc_id JOIN sizes y ON s.b = y.doc_id
+  WHERE 100 * s.same >= 80 * (x.n + y.n - s.same)),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS node, doc_id AS low FROM texts
+  UNION
+  SELECT w.b, r.low FROM reach r JOIN ways w ON r.node = w.a WHERE r.low < w.b)
+SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.low) AS component_id
+FROM texts t LEFT JOIN sizes s ON t.doc_id = s.doc_id JOIN reach r ON r.node = t.doc_id GROUP BY t.doc_id, s.n
+"""
