@@ -95,3 +95,32 @@ reach AS (
 SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.low) AS component_id
 FROM texts t LEFT JOIN sizes s ON t.doc_id = s.doc_id JOIN reach r ON r.node = t.doc_id GROUP BY t.doc_id, s.n
 """
+
+SPELLING = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, {lowered("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{00C0}-\\x{00FF}]+'))")} AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS MATERIALIZED (SELECT run, k, {crc32(utf8("coalesce(doc_id::VARCHAR, '') || ':' || run"))} AS h FROM runs, crc_table),
+damaged AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+without AS MATERIALIZED (
+  SELECT DISTINCT word, n, left(word, i::INT) || substr(word, i::INT + 2) AS rest, left(word, i::INT) || '*' || substr(word, i::INT + 2) AS open
+  FROM words, unnest(range(length(word))) AS r(i)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM without a JOIN without b ON a.open = b.open AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM without a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM without a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+named AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 10 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 10 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+way AS (
+  SELECT word, word AS here, 0 AS k FROM named
+  UNION ALL
+  SELECT y.word, f.form, y.k + 1 FROM way y JOIN named f ON y.here = f.word WHERE f.form IS NOT NULL)
+SELECT d.word, d.form, y.root, d.n, d.n_near, d.form_n FROM named d JOIN (SELECT word, arg_max(here, k) AS root FROM way GROUP BY word) y ON d.word = y.word
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import bpe, decontaminate, fingerprints, langid, merkle, near_dedup, ngram_join, oracles, passages, pii, quality, token_counts, toxicity
+from starloom.llm import bpe, decontaminate, fingerprints, langid, merkle, near_dedup, ngram_join, oracles, passages, pii, quality, spelling, token_counts, toxicity
 from starloom.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_ngram_join", oracles.NGRAM_JOIN)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants", oracles.SPELLING)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"))
