@@ -105,7 +105,7 @@ def stats_cte(renamed: bool = False, suffix: str = "", name: str = "stats") -> s
                 f"'{kind}' AS type_name, count(*) AS row_count, count(*) - count({column}) AS null_count, "
                 f"{blank} AS blank_count, count(DISTINCT {column}) AS cardinality FROM {tab}"
             )
-    return f"{name} AS (" + "\nUNION ALL ".join(parts) + ")"
+    return f"{name} AS MATERIALIZED (" + "\nUNION ALL ".join(parts) + ")"
 
 
 NULL_PCT = "CASE WHEN row_count > 0 THEN null_count * 100.0 / row_count ELSE 0 END"
@@ -148,7 +148,7 @@ def catalog_cte(renamed: bool = False, suffix: str = "") -> str:
     return stats_cte(renamed, suffix) + f""",
  classed AS (SELECT *, {NULL_PCT} AS null_percentage, {RATIO} AS cardinality_ratio,
    {CLASS_BY_TYPE} AS classification, {QUALITY_CATALOG} AS data_quality_score FROM stats),
- catalog AS (SELECT *, (classification = 'dimension' AND null_count <= 0 AND cardinality_ratio >= 0.8
+ catalog AS MATERIALIZED (SELECT *, (classification = 'dimension' AND null_count <= 0 AND cardinality_ratio >= 0.8
    AND cardinality >= 100 AND regexp_matches(type_name, 'Int(8|16|32|64)|String')) AS is_pk FROM classed)"""
 
 

@@ -126,12 +126,12 @@ def overlap_cte(tables: list[str] | None = None, renamed: bool = False, suffix:
                 position += 1
     return "vals AS MATERIALIZED (" + " UNION ALL ".join(parts) + """),
      card AS MATERIALIZED (SELECT cid, table_name, column_name, count(*) AS cardinality FROM vals GROUP BY ALL),
-     shared AS (SELECT a.cid AS cid1, b.cid AS cid2, count(*) AS overlap_count FROM vals a JOIN vals b
+     shared AS MATERIALIZED (SELECT a.cid AS cid1, b.cid AS cid2, count(*) AS overlap_count FROM vals a JOIN vals b
        ON a.family = b.family AND a.value = b.value AND a.cid < b.cid AND a.table_name <> b.table_name GROUP BY ALL)"""
 
 
 def overlap_sql(tables: list[str] | None = None, renamed: bool = False, suffix: str = "") -> str:
-    return f"""{overlap_cte(tables, renamed, suffix)}, linked AS (SELECT p.table_name AS table1, p.column_name AS column1, q.table_name AS table2,
+    return f"""{overlap_cte(tables, renamed, suffix)}, linked AS MATERIALIZED (SELECT p.table_name AS table1, p.column_name AS column1, q.table_name AS table2,
       q.column_name AS column2, p.cardinality AS cardinality1, q.cardinality AS cardinality2, x.is_pk AS is_pk1, y.is_pk AS is_pk2,
       x.classification AS classification1, y.classification AS classification2,
       overlap_count, overlap_count * 1.0 / least(p.cardinality, q.cardinality) AS conf

@@ -2,12 +2,13 @@
 
 Shared values, the heavy job, take one large shuffle. Rows become (join family, value) with one bit per
 source column; a partial OR collapses repeated values inside each task, so hot values cost nothing
-extra. Equal bit patterns are then counted *before* any column pair is formed: column pairs come from
-the few distinct patterns, never from the values.
+extra. Equal bit patterns are then counted *before* any column pair is formed, and a bound on what a column can still
+share decides which patterns form pairs at all.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -17,11 +18,8 @@ from starloom.operators.profile import (
     COLUMN_KEY,
     Tables,
     column_catalog,
-    column_counts,
-    erd_profile,
     erd_rules,
     table_types,
-    with_catalog,
 )
 from starloom.session import cut_lineage
 
@@ -138,78 +136,167 @@ def _candidate_columns(tables: Tables, ignore: list[str]) -> list[tuple[int, str
     return [entry for entry in catalog if len(spread[entry[3]]) > 1]
 
 
-def canonical_number(number: Column) -> Column:
-    """One text for equal numbers of any numeric type: whole ones without fraction or exponent, else the shortest form."""
-    shortest = F.regexp_replace(number.cast("string"), r"(\.[0-9]*?)0+$", "$1")
-    whole = (number == F.floor(number)) & (F.abs(number) < 1e18)
-    return F.when(whole, number.cast("bigint").cast("string")).otherwise(shortest)
+def canonical_number(number: Column, decimal: T.DecimalType | None = None) -> Column:
+    """One text for equal numbers of any numeric type: whole ones without fraction or exponent, else the shortest form.
+
+    ``decimal``: the column's type if it is one; such numbers take the text of the equal double where there is one.
+    """
+    whole, rest = _whole_and_rest(number, decimal)
+    return F.coalesce(whole.cast("string"), rest)
 
 
-def _comparable(df: DataFrame, name: str, family: str) -> Column:
-    column = F.col(f"`{name}`")
+def _whole_and_rest(number: Column, decimal: T.DecimalType | None) -> tuple[Column, Column]:
+    """A whole number as bigint, or else a text; the other one is NULL."""
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e18)
+    shortest = number.cast("string")
+    if decimal is not None:
+        double = number.cast("double")
+        same = double.cast("string").try_cast(decimal) == number
+        shortest = F.when(same, double.cast("string")).otherwise(F.regexp_replace(shortest, r"(\.[0-9]*?)0+$", "$1"))
+    return F.when(whole, number.cast("bigint")), F.when(whole, F.lit(None)).otherwise(shortest)
+
+
+def _comparable(df: DataFrame, name: str, family: str) -> tuple[Column, Column]:
+    """A cell as (bigint, text), one of them set where the cell is; equal cells of a family have equal pairs."""
+    column, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    none = F.lit(None)
     if family != "numeric":
-        return column.cast("string")
-    return canonical_number(column.cast("int") if isinstance(df.schema[name].dataType, T.BooleanType) else column)
+        return none.cast("bigint"), column.cast("string")
+    if isinstance(kind, (T.BooleanType, T.IntegralType)):
+        return (column.cast("int") if isinstance(kind, T.BooleanType) else column).cast("bigint"), none.cast("string")
+    return _whole_and_rest(column, None)
 
 
-def value_signatures(tables: Tables, ignore: list[str] | None = None) -> tuple[DataFrame, list[tuple[int, str, str, str]]]:
-    """(mask_0.., n): number of distinct values found in exactly the columns of each bit pattern.
+@dataclass(frozen=True)
+class Signatures:
+    """Stored bit patterns of the values of tables, and plain counts; all small against the data.
 
-    Values are shuffled as two 64-bit hashes, so long texts move as 16 bytes.
+    ``patterns``: (n, members), how many distinct values lie in exactly these columns; ``nulls``: (cid, n); ``rows``: (table
+    number, n). ``table_of`` and ``eligible`` are by cid: the column's table number, and whether it may pair at all.
     """
-    columns = _candidate_columns(tables, ignore or [])
-    bit = {cid: i for i, (cid, _, _, _) in enumerate(columns)}
-    words = max(1, -(-len(columns) // BITS))
+
+    patterns: DataFrame
+    nulls: DataFrame
+    rows: DataFrame
+    table_of: list[int]
+    eligible: list[bool]
+
+
+def value_signatures(tables: Tables, ignore: list[str] | None = None, every: bool = False) -> Signatures:
+    """Bit patterns of all values, from one scan of each table and one large shuffle, of two 64-bit hashes a value.
+
+    ``every``: index columns without a possible partner too, for their counts.
+    """
+    candidates = {cid: family for cid, _, _, family in _candidate_columns(tables, ignore or [])}
+    table_of = [k for k, df in enumerate(tables.values()) for _ in df.columns]
+    kinds = [storage_type_name(f.dataType) for df in tables.values() for f in df.schema]
+    shown = [cid for cid in range(len(table_of)) if every or cid in candidates]
+    bit = {cid: i for i, cid in enumerate(shown)}
+    words = max(1, -(-len(shown) // BITS))
     masks = [f"mask_{w}" for w in range(words)]
-    families = {family: i for i, family in enumerate(sorted({c[3] for c in columns}))}
-    by_table: dict[str, list[tuple[int, str, str, str]]] = {}
-    for entry in columns:
-        by_table.setdefault(entry[1], []).append(entry)
-    parts = []
-    for table, entries in by_table.items():
-        cells = [
-            F.struct(
-                F.lit(families[family]).alias("family"),
-                _comparable(tables[table], column, family).alias("value"),
-                *[
-                    F.lit(1 << (bit[cid] % BITS) if bit[cid] // BITS == w else 0).cast("bigint").alias(f"mask_{w}")
-                    for w in range(words)
-                ],
-            )
-            for cid, _, column, family in entries
-        ]
-        parts.append(tables[table].select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()))
-    keyed = reduce(DataFrame.unionByName, parts).select(
-        "family", F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value").alias("h2"), *masks
-    )
-    per_value = keyed.groupBy("family", "h1", "h2").agg(
-        *[F.bit_or(m).alias(m) for m in masks]
+    families = {family: i for i, family in enumerate(sorted({type_family(k) for k in kinds}))}
+    none = [F.lit(None).cast("bigint"), F.lit(None).cast("string")]
+
+    def cell(family: Column, whole: Column, rest: Column, at: int | None) -> Column:
+        own = [F.lit(1 << (at % BITS) if at is not None and at // BITS == w else 0).cast("bigint").alias(m) for w, m in enumerate(masks)]
+        return F.struct(family.alias("family"), whole.alias("whole"), rest.alias("rest"), *own)
+
+    parts, cid = [], 0
+    for number, df in enumerate(tables.values()):
+        cells = [cell(F.lit(-1 - number), *none, None)]  # one for every row
+        for field in df.schema:
+            if cid in bit:
+                family = type_family(kinds[cid])
+                whole, rest = _comparable(df, field.name, family)
+                known = F.lit(families[family])
+                cells.append(cell(F.when(F.col(f"`{field.name}`").isNull(), F.lit(None)).otherwise(known), whole, rest, bit[cid]))
+            cid += 1
+        parts.append(df.select(F.inline(F.array(*cells))))
+    keyed = reduce(DataFrame.unionByName, parts).withColumn("known", F.col("family") >= 0)
+    # rows and NULLs are counted under their own keys: NULLs by their column's bit, rows by their table
+    h1 = F.when(F.col("known"), F.xxhash64("whole", "rest")).otherwise(F.xxhash64(*masks))
+    h2 = F.when(F.col("known"), F.xxhash64(F.lit(1), "whole", "rest")).otherwise(F.lit(0))
+    keyed = keyed.select("family", h1.alias("h1"), h2.alias("h2"), *masks)
+    per_value = keyed.groupBy("family", "h1", "h2").agg(*[F.bit_or(m).alias(m) for m in masks], F.count(F.lit(1)).alias("cnt"))
+    plain = F.when(F.col("family") >= 0, F.lit(0)).otherwise(F.coalesce("family", F.lit(1)))  # 0 values, 1 NULLs, else rows of a table
+    counted = F.sum(F.when(F.col("family") >= 0, F.lit(1)).otherwise(F.col("cnt")))
+    stored = cut_lineage(per_value.groupBy(plain.alias("kind"), *masks).agg(counted.alias("n")).select("kind", "n", _members(shown).alias("members")))
+    return Signatures(
+        stored.where("kind = 0").select("n", "members"),
+        stored.where("kind = 1").select(F.col("members")[0].alias("cid"), "n"),
+        stored.where("kind < 0").select((-1 - F.col("kind")).alias("number"), "n"),
+        table_of, [c in candidates for c in range(len(table_of))],
     )
-    return per_value.groupBy(*masks).agg(F.count(F.lit(1)).alias("n")), columns
 
 
-def _members(columns: list[tuple[int, str, str, str]]) -> Column:
-    """Positions of the set bits of a signature, ascending."""
+def _members(shown: list[int]) -> Column:
+    """Column ids of the set bits of a signature, ascending."""
     flags = [
-        F.when(F.col(f"mask_{i // BITS}").bitwiseAND(F.lit(1 << (i % BITS))) != 0, F.lit(columns[i][0]))
-        for i in range(len(columns))
+        F.when(F.col(f"mask_{i // BITS}").bitwiseAND(F.lit(1 << (i % BITS))) != 0, F.lit(cid)) for i, cid in enumerate(shown)
     ]
     return F.array_compact(F.array(*flags))
 
 
-def value_overlaps(tables: Tables, ignore: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Distinct counts (cid, cardinality) and shared distinct values (cid1, cid2, overlap_count).
+def cardinalities(found: Signatures) -> DataFrame:
+    """(cid, cardinality) of the indexed columns that hold a value."""
+    return found.patterns.select("n", F.explode("members").alias("cid")).groupBy("cid").agg(F.sum("n").alias("cardinality"))
+
+
+def signature_statistics(tables: Tables, found: Signatures) -> DataFrame:
+    """Row, NULL and distinct counts per column, read off the signatures."""
+    numbers = F.array(*[F.lit(t) for t in found.table_of])
+    stats = column_catalog(tables).withColumn("number", F.element_at(numbers, F.col("cid") + 1))
+    stats = stats.join(found.rows.withColumnRenamed("n", "row_count"), "number", "left")
+    stats = stats.join(found.nulls.withColumnRenamed("n", "null_count"), "cid", "left").join(cardinalities(found), "cid", "left")
+    return stats.drop("number").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("row_count", "null_count", "cardinality")})
 
-    Both come from one signature frame, which is stored first so that the data is read and shuffled once.
+
+def contained_pairs(found: Signatures, threshold: float) -> DataFrame:
+    """(cid1, cid2, overlap_count) of columns of different tables that share at least ``threshold`` of the smaller one's values.
+
+    Patterns are ordered by how many columns of other tables they hold. A smaller column has to share that much mass with
+    its partner, so from the point of the order where less than that remains, no new partner can appear: only the patterns
+    before it (few columns each) form pairs. A pair ends there, too, if what it shares so far and all that remains stay
+    below the bar. Overlaps are then summed for the remaining pairs only. With threshold 0 every pattern forms pairs.
     """
-    signatures, columns = value_signatures(tables, ignore)
-    members = cut_lineage(signatures.select("n", _members(columns).alias("members")))
-    distinct = members.select("n", F.explode("members").alias("cid")).groupBy("cid").agg(
-        F.sum("n").alias("cardinality")
+    bar = threshold * (1 - 1e-9)  # callers compare shares, which may round the other way
+    tables, able = F.array(*[F.lit(t) for t in found.table_of]), F.array(*[F.lit(e) for e in found.eligible])
+
+    def of(values: Column, cid: Column) -> Column:
+        return F.element_at(values, cid + 1)
+
+    patterns = found.patterns.withColumn("members", F.filter("members", lambda m: of(able, m)))
+    each = patterns.select("n", "members", F.explode("members").alias("cid1"))
+    each = each.withColumn("partners", F.filter("members", lambda m: of(tables, m) != of(tables, F.col("cid1"))))
+    each = each.withColumn("width", F.size("partners")).where("width > 0").select("n", "cid1", "partners", "width")
+    cards = cardinalities(found)
+    mass = each.groupBy("cid1", "width").agg(F.sum("n").alias("n"))
+    left = F.sum("n").over(Window.partitionBy("cid1").orderBy(F.desc("width")))  # the mass of this width and all greater ones
+    mass = mass.withColumn("left", left).join(cards.withColumnsRenamed({"cid": "cid1", "cardinality": "card1"}), "cid1")
+    short = F.col("left") < F.col("card1") * bar
+    ends = mass.groupBy("cid1", "card1").agg(
+        F.coalesce(F.min(F.when(short, F.col("width"))), F.lit(len(found.table_of) + 1)).alias("end"),
+        F.coalesce(F.max(F.when(short, F.col("left"))), F.lit(0)).alias("rest"),
     )
-    firsts = members.where(F.size("members") > 1).select("n", "members", F.explode("members").alias("cid1"))
-    pairs = firsts.select("n", "cid1", F.explode(F.filter("members", lambda m: m > F.col("cid1"))).alias("cid2"))
-    return distinct, pairs.groupBy("cid1", "cid2").agg(F.sum("n").alias("overlap_count"))
+    first = each.join(ends, "cid1").where("width < end").select("n", "cid1", "card1", "rest", F.explode("partners").alias("cid2"))
+    first = first.groupBy("cid1", "cid2", "card1", "rest").agg(F.sum("n").alias("shared"))
+    first = first.where(F.col("shared") + F.col("rest") >= F.col("card1") * bar)
+    larger = cards.withColumnsRenamed({"cid": "cid2", "cardinality": "card2"})
+    open_pairs = first.join(larger, "cid2").where("card1 < card2 or (card1 = card2 and cid1 < cid2)")
+    wanted = open_pairs.groupBy("cid1", "card1").agg(F.collect_set("cid2").alias("wanted"))
+    shared = each.join(wanted, "cid1").select("n", "cid1", "card1", F.explode(F.array_intersect("partners", "wanted")).alias("cid2"))
+    total = shared.groupBy("cid1", "cid2", "card1").agg(F.sum("n").alias("overlap_count"))
+    kept = total.where(F.col("overlap_count") >= F.col("card1") * bar)
+    return kept.select(F.least("cid1", "cid2").alias("cid1"), F.greatest("cid1", "cid2").alias("cid2"), "overlap_count")
+
+
+def value_overlaps(tables: Tables, ignore: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Distinct counts (cid, cardinality) and shared distinct values (cid1, cid2, overlap_count) of different tables' columns.
+
+    Both come from one stored signature frame, so the data is read and shuffled once.
+    """
+    found = value_signatures(tables, ignore)
+    return cardinalities(found), contained_pairs(found, 0.0)
 
 
 def relationship_type_by_data() -> Column:
@@ -221,14 +308,16 @@ def relationship_type_by_data() -> Column:
 def join_candidates_by_overlap(tables: Tables, threshold: float = 0.8, ignore: list[str] | None = None) -> DataFrame:
     """Column pairs of different tables whose smaller value set lies (mostly) inside the other one.
 
-    Confidence is the share of the smaller distinct set that is shared. Key roles and classes need row,
-    NULL and distinct counts: the first two are a plain scan, the last falls out of the signatures, so
-    the whole job has a single large shuffle.
+    Confidence is the share of the smaller distinct set that is shared. Counts, key roles and classes fall out of the
+    same signatures: one scan and one large shuffle in all.
     """
     if not _candidate_columns(tables, ignore or []):
         raise ValueError("no two tables have columns of comparable types")
-    distinct, overlaps = value_overlaps(tables, ignore)
-    stats = with_catalog(tables, column_counts(tables).join(distinct, "cid"))
+    return _linked_columns(tables, value_signatures(tables, ignore), threshold)
+
+
+def _linked_columns(tables: Tables, found: Signatures, threshold: float) -> DataFrame:
+    stats = signature_statistics(tables, found)
     info = erd_rules(stats).join(column_catalog(tables).select("cid", *COLUMN_KEY), COLUMN_KEY)
 
     def side(i: int) -> DataFrame:
@@ -242,7 +331,7 @@ def join_candidates_by_overlap(tables: Tables, threshold: float = 0.8, ignore: l
             F.col("classification").alias(f"classification{i}"),
         )
 
-    pairs = overlaps.join(side(1), "cid1").join(side(2), "cid2")
+    pairs = contained_pairs(found, threshold).join(side(1), "cid1").join(side(2), "cid2")
     confidence = F.col("overlap_count") / F.least("cardinality1", "cardinality2")
     useful = (
         (F.col("table1") != F.col("table2"))
@@ -316,13 +405,14 @@ def erd_table_rows(profile: DataFrame, relationships: DataFrame, schema_name: st
 
 def analyze_erd(tables: Tables, threshold: float = 0.8, schema_name: str = "silver",
                 ignore: list[str] | None = None) -> dict[str, DataFrame]:
-    """Profile, relationships, table rows and summary of one schema.
+    """Profile, relationships, table rows and summary of one schema, from one scan and one large shuffle.
 
     Profile and relationships have one row per column and per link; both are stored because several of
     the results read them.
     """
-    profile = cut_lineage(erd_profile(tables))
-    relationships = cut_lineage(join_candidates_by_overlap(tables, threshold, ignore))
+    found = value_signatures(tables, ignore, every=True)
+    profile = cut_lineage(erd_rules(signature_statistics(tables, found)))
+    relationships = cut_lineage(_linked_columns(tables, found, threshold))
     return {
         "profile": profile,
         "relationships": relationships,

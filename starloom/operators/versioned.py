@@ -36,11 +36,13 @@ def number_changes(base: DataFrame, changes: DataFrame, keys: list[str], version
     Several changes of one key follow each other by ``sequence``, or in the order of the input. They are numbered by
     position over ranges of all rows, so a key that holds most changes is still spread over many tasks.
     """
-    current = latest_versions(base, keys, version).withColumnRenamed(version, "_current")
+    current = latest_versions(base, keys, version).withColumnRenamed(version, "_current").withColumnsRenamed({k: f"_k_{k}" for k in keys})
     order = sequence or "_arrival"
     rows = changes.drop(version)
     rows = rows if sequence else rows.withColumn(order, F.monotonically_increasing_id())
-    placed = global_position(rows, [order], keys, "_place").join(current, keys, "left")
+    placed = global_position(rows, [order], keys, "_place")
+    same = reduce(Column.__and__, [placed[k].eqNullSafe(current[f"_k_{k}"]) for k in keys])
+    placed = placed.join(current, same, "left").drop(*current.drop("_current").columns)
     numbered = placed.withColumn(version, (F.coalesce("_current", F.lit(0)) + F.col("_place")).cast("bigint"))
     return numbered.drop("_current", "_place", "_arrival")
 
