@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from starloom.functions.text import clean_text, file_target_name
+from starloom.sources.quoted import read_quoted_csv
 
 
 def string_columns(df: DataFrame, null_as_empty: bool = True, clean: bool = True) -> DataFrame:
@@ -25,19 +26,17 @@ def string_columns(df: DataFrame, null_as_empty: bool = True, clean: bool = True
     return df.select(*[landed(field) for field in df.schema])
 
 
-def read_csv_strings(spark: SparkSession, paths: str | list[str], multiline: bool = True) -> DataFrame:
+def read_csv_strings(spark: SparkSession, paths: str | list[str], multiline: bool = True, whole_files: bool = False) -> DataFrame:
     """CSV with a header row; missing trailing fields become ''.
 
-    With ``multiline`` quoted line breaks are kept and a task reads a whole file. The caller who knows that a layout has
-    no quoted line breaks passes False, and large files are split over many tasks.
+    With ``multiline`` quoted line breaks are kept; large files are split over many tasks all the same, by the parity of the
+    quotes before a line. ``whole_files`` reads files whose quotes don't follow RFC 4180, one task a file. The caller who knows that a
+    layout has no quoted line breaks passes ``multiline=False`` and saves a scan.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .option("inferSchema", False)
-        .csv(paths)
-    )
+    if multiline and not whole_files:
+        raw = read_quoted_csv(spark, paths).drop("_file")
+    else:
+        raw = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option("inferSchema", False).csv(paths)
     return raw.select(*[F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(name) for name in raw.columns])
 
 
@@ -127,8 +126,12 @@ def read_batch(spark: SparkSession, paths: list[str], fmt: str = "parquet", mult
     ``multiline`` as in ``read_csv_strings``.
     """
     reader = spark.read
+    if fmt == "csv" and multiline:
+        name = F.element_at(F.split("_file", "/"), -1)
+        tagged = read_quoted_csv(spark, paths).withColumns({"source_file": name, "target_table": file_target_name(name)})
+        return tagged.drop("_file")
     if fmt == "csv":
-        reader = reader.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multiline)
+        reader = reader.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
     raw = reader.format(fmt).load(paths)
     return raw.withColumns(
         {
