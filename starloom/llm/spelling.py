@@ -6,11 +6,12 @@ Two words are near if one inserted, deleted or replaced code point turns one int
   tie with the third) are its prefix. Of these, two that do not overlap are its pivots, chosen by dynamic programming for
   the smallest sum of counts. One edit can touch only one pivot, so the other stays, moved by one place at most; and
   the word whose prefix ends earlier in the order keeps its staying pivot inside the prefix of the other.
-* The staying pivot also splits the word: the edit lies on one side of it, so all up to its end, or all from its
-  beginning, is equal. The index is keyed by that side's text. It holds the position limits (from the left, or from the
-  right), and of both pivots two keys suffice: the first pivot with what is left of it for edits after it, the second with
-  what is right of it for edits before it.
-* Candidates are joined by key, with lengths that differ by one at most, and verified by edit distance.
+* A staying pivot also splits the word: what lies on the other side of it than the edit is equal. The index is keyed by that
+  side's text, which holds the position limits (from the left, or from the right). An edit after both pivots leaves all up to
+  the second one's end, an edit before both all from the first one's beginning. An edit that lies between them or touches one
+  leaves the outer side of the other, and what is beyond both; two letters of that far end join the key where there are so many.
+* Candidates are joined by key. Lengths that differ by one at most, letters whose counts differ by two in parity at most
+  (one bit a letter), and edit distance verify them.
 
 Bigram counts are one number per pair of letters, at most the square of the alphabet (90 letters in runs of A-Z and U+00C0 to
 U+00FF), so every task may hold them. Words are counted with partial sums before the shuffle. Nothing is collected per word but
@@ -36,6 +37,7 @@ LEAST = 2  # occurrences of a word
 TIMES = 10  # a form is so many times as frequent
 GRAM = 2
 EDITS = 1
+FAR = 2  # letters of the far end in a key
 DAMAGED = 31  # one run in so many loses a code point
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -60,13 +62,26 @@ def grams_of(word: str) -> list[str]:
     return [word[k : k + GRAM] for k in range(len(word) - GRAM + 1)]
 
 
-def prefix_of(grams: list[str], often: dict[str, int]) -> tuple[list[int], tuple[int, str]]:
-    """Places of a word's first grams in the global order (with all that tie with the last of them), and that last one."""
-    order = sorted(((often[g], g), k) for k, g in enumerate(grams))
+def prefix_of(grams: list[str], ranks: dict[str, int]) -> tuple[list[int], int]:
+    """Places of a word's first grams in the global order (with all that tie with the last of them), and that last one's rank."""
+    order = sorted((ranks[g], k) for k, g in enumerate(grams))
     last = order[min(GRAM * EDITS, len(order) - 1)][0]
     return sorted(k for rank, k in order if rank <= last), last
 
 
+def asked_keys(word: str, first: int, second: int) -> list[str]:
+    """Keys of a word's pivots, for edits after both, before both, up to the second's end, and from the first's beginning."""
+    end = word[-FAR:] if len(word) - second - GRAM >= FAR else ""
+    begin = word[:FAR] if first >= FAR else ""
+    return [f"<{word[: second + GRAM]}|", f">{word[first:]}|", f"<{word[: first + GRAM]}|{end}", f">{word[second:]}|{begin}"]
+
+
+def offered_keys(word: str, places: list[int]) -> list[str]:
+    """Keys of a word's prefix grams, with and without the letters of the far end."""
+    sides = [(f"<{word[: k + GRAM]}|", word[-FAR:]) for k in places] + [(f">{word[k:]}|", word[:FAR]) for k in places]
+    return [key + far for key, letters in sides for far in ("", letters)]
+
+
 def pivots_of(places: list[int], costs: list[int]) -> list[int]:
     """EDITS + 1 disjoint grams of the least total cost; ``places`` ascend.
 
@@ -88,27 +103,30 @@ def pivots_of(places: list[int], costs: list[int]) -> list[int]:
 
 
 def index_keys(word: Column, often: dict[str, int]) -> Column:
-    """Struct of a word: ``last`` (its prefix's end in the global order), pivot keys and prefix keys.
+    """Struct of a word: ``last`` (its prefix's end in the global order), the keys it asks for and those it offers."""
+    ranks = {g: k for k, g in enumerate(sorted(often, key=lambda g: (often[g], g)))}
 
-    A key is a side, < or >, and the text from that end of the word to the far end of the gram.
-    """
-
-    @F.pandas_udf("last string, pivots array<string>, prefix array<string>")
+    @F.pandas_udf("last int, asked array<string>, offered array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for words in batches:
-            lasts, pivots, prefixes = [], [], []
+            lasts, asked, offered = [], [], []
             for w in words:
                 grams = grams_of(w)
-                places, last = prefix_of(grams, often)
-                first, second = pivots_of(places, [often[grams[k]] for k in places])
-                lasts.append(f"{last[0]:020d}{last[1]}")
-                pivots.append(["<" + w[: first + GRAM], ">" + w[second:]])
-                prefixes.append([key for k in places for key in ("<" + w[: k + GRAM], ">" + w[k:])])
-            yield pd.DataFrame({"last": lasts, "pivots": pivots, "prefix": prefixes})
+                places, last = prefix_of(grams, ranks)
+                lasts.append(last)
+                asked.append(asked_keys(w, *pivots_of(places, [often[grams[k]] for k in places])))
+                offered.append(offered_keys(w, places))
+            yield pd.DataFrame({"last": lasts, "asked": asked, "offered": offered})
 
     return run(word)
 
 
+def letter_parities(word: Column) -> Column:
+    """One bit a letter (by its code point modulo 64): set if it occurs an odd number of times. An edit changes two at most."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(63))
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
+
+
 def gram_counts(words: DataFrame) -> dict[str, int]:
     """How many words hold each bigram, one number per pair of letters."""
     grams = F.transform(F.sequence(F.lit(1), F.length("word") - GRAM + 1), lambda k: F.substring(F.col("word"), k, F.lit(GRAM)))
@@ -119,12 +137,17 @@ def gram_counts(words: DataFrame) -> dict[str, int]:
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): all near words of each word, both ways; ``words``: word, n (words distinct)."""
     keys = index_keys(F.col("word"), gram_counts(words))
-    indexed = cut_lineage(words.withColumn("keys", keys).select("word", "n", F.length("word").alias("size"), "keys.*"))
-    asked = indexed.select("word", "n", "size", "last", F.explode("pivots").alias("key"))
-    other = indexed.select(F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("size").alias("near_size"), F.col("last").alias("near_last"), F.explode("prefix").alias("key"))
-    pairs = asked.join(other, "key").where("last <= near_last and abs(size - near_size) <= 1 and word <> near")
-    pairs = pairs.where(F.levenshtein("word", "near", EDITS) == EDITS).select("word", "n", "near", "near_n")
-    return pairs.unionByName(pairs.selectExpr("near as word", "near_n as n", "word as near", "n as near_n")).distinct()
+    indexed = words.select("word", "n", F.length("word").alias("size"), letter_parities(F.col("word")).alias("letters"), keys.alias("keys"))
+    indexed = cut_lineage(indexed.select("word", "n", "size", "letters", "keys.*"))
+    side = ["word", "n", "size", "letters", "last"]
+    asked = indexed.select(*side, F.explode(F.array_distinct("asked")).alias("key"))
+    other = indexed.select(*[F.col(c).alias(f"near_{c}") for c in side], F.explode("offered").alias("key"))
+    pairs = asked.join(other, "key").where(
+        "last <= near_last and abs(size - near_size) <= 1 and bit_count(letters ^ near_letters) <= 2 and word <> near_word"
+    )
+    pairs = pairs.where(F.levenshtein("word", "near_word", EDITS) == EDITS)
+    ends = [F.struct(F.col("word"), F.col("n"), F.col("near_word").alias("near"), "near_n"), F.struct(F.col("near_word").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))]
+    return pairs.select(F.explode(F.array(*ends)).alias("pair")).select("pair.*").distinct()
 
 
 def followed_to_the_end(forms: DataFrame) -> DataFrame:

@@ -113,12 +113,12 @@ def test_every_near_pair_shares_a_key():
         b = a[:k] + (rng.choice("abc") if kind else "") + a[k + (kind != 1) :]
         if a == b or len(b) < 7:
             continue
-        often = {g: rng.randrange(4) for g in {*spelling.grams_of(a), *spelling.grams_of(b)}}
+        ranks = {g: rng.randrange(4) for g in {*spelling.grams_of(a), *spelling.grams_of(b)}}
         found = {}
         for w in (a, b):
             grams = spelling.grams_of(w)
-            places, last = spelling.prefix_of(grams, often)
-            first, second = spelling.pivots_of(places, [often[grams[p]] for p in places])
-            found[w] = last, {"<" + w[: first + 2], ">" + w[second:]}, {x for p in places for x in ("<" + w[: p + 2], ">" + w[p:])}
+            places, last = spelling.prefix_of(grams, ranks)
+            asked = spelling.asked_keys(w, *spelling.pivots_of(places, [ranks[grams[p]] for p in places]))
+            found[w] = last, set(asked), set(spelling.offered_keys(w, places))
         (last_a, piv_a, pre_a), (last_b, piv_b, pre_b) = found[a], found[b]
         assert (last_a <= last_b and piv_a & pre_b) or (last_b <= last_a and piv_b & pre_a), (a, b)
