@@ -14,8 +14,8 @@ A text's set holds the distinct runs of ``SHINGLE`` words. Two sets link when th
 5. A pair is dropped if the bits in which the bitmaps differ prove that the overlap is too small (each differing bit stands for
    a gram of one set only). The rest is decided by intersecting the sorted sets.
 
-Words are compared by 64-bit hashes. Sets of linked candidates only are shuffled; their ids are marked in a bit table of at
-most ``MARKS`` bits, so most other sets are never sent (with a full table all are, and the join alone decides).
+Words are compared by 64-bit hashes. Only texts of candidates are shuffled; their ids are marked in a table of ``MARKS`` bits, so
+most other texts are never sent (were the table full, all would be, and the join alone would decide).
 
 Defined cases: a null text or one without words has an empty set and links with nothing; a text of fewer words than
 ``SHINGLE`` is one shingle, its whole sequence; rows without an id link with nothing and have no component; rows that repeat an id
@@ -29,7 +29,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -202,42 +201,45 @@ def may_link(n: Column, m: Column, a: Column, b: Column) -> Column:
     return sizes & ((n + m - differ) * (low + high) >= 2 * low * (n + m))
 
 
-def linked(a: Column, b: Column) -> Column:
-    """Exact decision on two sorted sets (bytes of 64-bit numbers)."""
+def overlapping(x: np.ndarray, y: np.ndarray) -> bool:
+    """Exact decision on two sorted sets."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    same = int((y[at] == x).sum())
+    return same * SHARE[1] >= (len(x) + len(y) - same) * SHARE[0]
 
-    @F.pandas_udf("boolean")
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            x, y = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            same = int((y[at] == x).sum())
-            out.append(same * SHARE[1] >= (len(x) + len(y) - same) * SHARE[0])
-        return pd.Series(out, dtype=bool)
 
-    return run(a, b)
+def linked(pairs: DataFrame) -> DataFrame:
+    """The links (leader, node) among pairs (leader, node, a, b) with the two texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            sides = zip(gram_sets(batch.column(2), powers), gram_sets(batch.column(3), powers), strict=True)
+            yield batch.select([0, 1]).filter(pa.array([overlapping(x, y) for x, y in sides], pa.bool_()))
 
-def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, grams) of wanted nodes (node, id, key), from the texts of rows (id, text)."""
-    place = F.pmod(F.xxhash64("id"), F.lit(MARKS))
-    words = wanted.groupBy(F.expr(f"cast(pmod(xxhash64(id), {MARKS}) div 64 as int)").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {MARKS}) % 64 as int))")).alias("bits")).toPandas()
+    return pairs.select("leader", "node", "a", "b").mapInArrow(run, "leader long, node long")
+
+
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of wanted nodes (node, id, key), from rows (id, text)."""
+    place = F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("int")
+    marked = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at"))
+    words = marked.agg(F.bit_or(F.expr("shiftleft(1L, place & 63)")).alias("bits")).toPandas()
     marks = np.zeros(MARKS // 64, np.int64)
     marks[words["at"]] = words["bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            at = batch.column(2).to_numpy()
+            at = batch.column(2).fill_null(0).to_numpy()
             batch = batch.filter(pa.array((marks[at >> 6] >> (at & 63)) & 1 == 1))
-            found = list(gram_sets(batch.column(1), powers))
-            keys, grams = pa.array(map(key_of, found), pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, grams], ["id", "key", "grams"])
+            keys = pa.array(map(key_of, gram_sets(batch.column(1), powers)), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, batch.column(1)], ["id", "key", "text"])
 
-    found = rows.select("id", "text", place.alias("place")).mapInArrow(run, "id long, key binary, grams binary")
-    return cut_lineage(found.join(wanted, ["id", "key"]).select("node", "grams").dropDuplicates(["node"]))
+    found = rows.select("id", "text", place.alias("place")).mapInArrow(run, "id long, key binary, text string")
+    return cut_lineage(found.join(wanted, ["id", "key"]).groupBy("node").agg(F.min("text").alias("text")))
 
 
 def allowed(pairs: DataFrame, light: DataFrame) -> DataFrame:
@@ -247,11 +249,16 @@ def allowed(pairs: DataFrame, light: DataFrame) -> DataFrame:
     return joined.where(may_link(F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits"))).select("leader", "node")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among the pairs (leader, node)."""
-    one = sets.select(F.col("node").alias("leader"), F.col("grams").alias("_a"))
-    joined = pairs.join(sets, "node").join(one, "leader")
-    return cut_lineage(joined.where(linked(F.col("_a"), F.col("grams"))).select("leader", "node"))
+def confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The links among stored pairs (leader, node), decided by the texts of both."""
+    if pairs.isEmpty():
+        return pairs
+    ends = pairs.select(F.explode(F.array("leader", "node")).alias("node")).distinct()
+    texts = texts_of(rows, nodes.select("node", "id", "key").join(ends, "node"))
+    one = texts.select(F.col("node").alias("leader"), F.col("text").alias("a"))
+    found = cut_lineage(linked(pairs.join(texts.withColumnRenamed("text", "b"), "node").join(one, "leader")))
+    discard(texts)
+    return found
 
 
 def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -273,12 +280,10 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     found = cut_lineage(tiles(nodes))
     light = nodes.select("node", "n", "bits")
     members = cut_lineage(found.select("tile", "node").distinct())
-    sets = sets_of(rows, nodes.select("node", "id", "key").join(members.select("node").distinct(), "node"))
-
     first = allowed(found.where("leader < node").select("leader", "node").distinct(), light)
     tried = cut_lineage(first.groupBy("node").agg(F.min("leader").alias("leader")).select("leader", "node"))
     discard(found)
-    linked_pairs = confirmed(tried, sets)
+    linked_pairs = confirmed(tried, rows, nodes)
 
     rest = mixed(members, components(linked_pairs, "leader", "node"))
     degree = linked_pairs.select(F.explode(F.array("leader", "node")).alias("node")).groupBy("node").agg(F.count("node").alias("links"))
@@ -286,15 +291,15 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     centres = known.groupBy("tile").agg(F.max_by(F.struct("node", "label"), "order").alias("centre"))
     pairs = rest.join(centres, "tile").where("label <> centre.label").select(F.col("centre.node").alias("leader"), "node")
     second = cut_lineage(allowed(ordered(pairs), light).join(tried, ["leader", "node"], "left_anti"))
-    linked_pairs = cut_lineage(linked_pairs.unionByName(confirmed(second, sets)))
+    linked_pairs = cut_lineage(linked_pairs.unionByName(confirmed(second, rows, nodes)))
 
     last = mixed(rest.select("tile", "node"), components(linked_pairs, "leader", "node")).join(light, "node")
     other = last.select("tile", *[F.col(c).alias(f"b_{c}") for c in ("node", "label", "n", "bits")])
     fits = (F.col("node") < F.col("b_node")) & (F.col("label") != F.col("b_label")) & may_link(F.col("n"), F.col("b_n"), F.col("bits"), F.col("b_bits"))
     pairs = last.join(other, "tile").where(fits).select(F.col("node").alias("leader"), F.col("b_node").alias("node")).distinct()
     third = cut_lineage(pairs.join(tried.unionByName(second), ["leader", "node"], "left_anti"))
-    linked_pairs = cut_lineage(linked_pairs.unionByName(confirmed(third, sets)))
-    discard(members, sets, tried, rest, second, third)
+    linked_pairs = cut_lineage(linked_pairs.unionByName(confirmed(third, rows, nodes)))
+    discard(members, tried, rest, second, third)
     return linked_pairs
 
 
