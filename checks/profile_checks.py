@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks.common import (
     CLASS_BY_TYPE, CLASS_ERD, IS_MEASURE, NULL_PCT, PK_UNIQUE, QUALITY_CATALOG, QUALITY_ERD, QUALITY_TABLE, RATIO,
-    STAMP, STAR_SCHEMA, catalog_cte, check, erd_cte, joined, long_cte, silver, star, stats_cte, table, text_of,
+    ORACLE, STAMP, STAR_SCHEMA, catalog_cte, check, erd_cte, joined, long_cte, silver, star, stats_cte, table, text_of,
 )
 from checks.infer_checks import inferred_cte
 from starloom.functions.names import is_measure
-from starloom.operators import profile, quality
+from starloom.operators import profile, profile_state, quality
+from starloom.session import scratch_path
 from starloom.sources.ingest import land
 
 KEY = ["table_name", "column_name"]
@@ -265,6 +266,37 @@ def e24(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "cardinality", "null_count", "sample_values", "data_quality_score", "version"])
 
 
+def loads(spark: SparkSession, sf_dir: str, stamped: bool = False) -> profile_state.ProfileState:
+    """The tables landed on three days, each day a third of the rows, and one day loaded twice."""
+    path, tables = scratch_path(spark, "profile-state"), landed(spark, sf_dir, list(STAR_SCHEMA), stamped)
+    skip = ("create_date",) if stamped else ()
+    for day in (0, 1, 2, 1):
+        share = {name: df.where(F.pmod(F.xxhash64(*df.columns[:4]), F.lit(3)) == day) for name, df in tables.items()}
+        profile_state.add_load(spark, path, f"2024-06-0{day + 1}", share, skip)
+    return profile_state.load_state(spark, path)
+
+
+@check("E23_profile_of_loads", f"WITH {profile_sql(list(STAR_SCHEMA))} {FULL_PROFILE}")
+def e23_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(profile_state.profile_of_state(loads(spark, sf_dir)), PROFILE_COLUMNS)
+
+
+@check("E24_discover_of_loads", ORACLE["E24_discover"])
+def e24_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profile_state.discover_of_state(loads(spark, sf_dir, stamped=True))
+    return shown(found, ["original_table_name", "original_column_name", "inferred_type", "pattern", "classification",
+                         "cardinality", "null_count", "sample_values", "data_quality_score", "version"])
+
+
+@check("E22_profile_of_two_halves", f"WITH {profile_sql(['lineitem'])} {FULL_PROFILE}")
+def e22_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two states in one plan, added up without being stored."""
+    df = landed(spark, sf_dir, ["lineitem"])["lineitem"]
+    odd = F.col("l_linenumber").cast("int") % 2 == 1
+    states = [profile_state.state_of({"lineitem": df.where(side)}) for side in (odd, ~odd)]
+    return shown(profile_state.profile_of_state(profile_state.merged(*states)), PROFILE_COLUMNS)
+
+
 VIEW_SQL = {
     "facts": "classification = 'fact'", "dimensions": "classification <> 'fact'", "keys": "is_pk", "poor": "data_quality_score < 0.5",
 }

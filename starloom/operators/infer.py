@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from starloom.functions.text import strip
 from starloom.functions.values import (
     DATE_PATTERNS,
+    NUMERIC_PATTERNS,
     loose_number,
     matches_date_pattern,
     numeric_pattern,
@@ -87,22 +88,39 @@ def success_rates(corrections: DataFrame) -> DataFrame:
     )
 
 
-def _prepared(sample: DataFrame, key: list[str]) -> DataFrame:
-    """Per value: stripped text, numeric shape, length and number, each computed once."""
+FEATURES = ["dates", "shape", "size", "number", "digits"]
+
+
+def value_features(values: DataFrame, key: list[str]) -> DataFrame:
+    """The key columns and what inference needs to know of each value, found once: five numbers of fixed width.
+
+    ``dates``: two bits a layout, has its shape and is a real date of it; ``shape``: number of the numeric shape, from 1, or 0;
+    ``size``: characters; ``number``: the value as a number; ``digits``: before the point. All NULL for NULL and empty values.
+    """
     text = F.col("_text")
-    return sample.select(*key, "value", strip(F.col("value")).alias("_text")).select(
-        *key, "value", "_text",
-        numeric_pattern(text).alias("_shape"), F.length(text).alias("_len"), loose_number(text).alias("_num"),
+    filled = values.select(*key, strip(F.when(F.col("value") != "", F.col("value"))).alias("_text"))
+    bits = F.lit(0)
+    for i, pattern in enumerate(DATE_PATTERNS):
+        matched = matches_date_pattern(text, pattern)
+        bits = bits + F.when(matched, F.when(valid_for_pattern(text, pattern), 3 << (2 * i)).otherwise(1 << (2 * i))).otherwise(0)
+    names = F.array(*[F.lit(name) for name in NUMERIC_PATTERNS])
+    numeric = text.rlike(r"^[-+.,$%0-9]")  # numbers begin so, dates with a digit: other texts skip the patterns
+    return filled.select(
+        *key,
+        F.when(text.isNotNull(), F.when(text.rlike("^[0-9]"), bits).otherwise(0)).alias("dates"),
+        F.when(text.isNotNull(), F.when(numeric, F.coalesce(F.array_position(names, numeric_pattern(text)), F.lit(0))).otherwise(0)).cast("int").alias("shape"),
+        F.length(text).alias("size"),
+        F.when(numeric, loose_number(text)).alias("number"),
+        F.length(F.regexp_replace(F.substring_index(text, ".", 1), "[^0-9]", "")).alias("digits"),
     )
 
 
 def _date_counts() -> list[Column]:
     """Per layout: values of its shape (_m<i>) and real dates among them (_v<i>)."""
-    value, counts = F.col("_text"), []
-    for i, pattern in enumerate(DATE_PATTERNS):
-        matched = matches_date_pattern(value, pattern)
-        counts.append(F.count_if(matched).alias(f"_m{i}"))
-        counts.append(F.count_if(matched & valid_for_pattern(value, pattern)).alias(f"_v{i}"))
+    counts = []
+    for i in range(len(DATE_PATTERNS)):
+        for name, bit in (("_m", 1 << (2 * i)), ("_v", 2 << (2 * i))):
+            counts.append(F.count_if(F.col("dates").bitwiseAND(bit) != 0).alias(f"{name}{i}"))
     return counts
 
 
@@ -139,14 +157,14 @@ def _date_entries(rates: Column | None) -> Column:
 def date_scores(sample: DataFrame, rates: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
     """Per column and matching layout: match share, valid share and confidence."""
     key = key or COLUMN_KEY
-    counted = _prepared(sample, key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_date_counts())
+    counted = value_features(sample, key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_date_counts())
     return counted.select(*key, F.inline(_date_entries(_rate_map(rates)))).drop("tie")
 
 
 def date_confidence(sample: DataFrame, rates: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
     """Best layout of each column; the earlier layout wins ties. Columns without any match have NULLs."""
     key = key or COLUMN_KEY
-    counted = _prepared(sample, key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_date_counts())
+    counted = value_features(sample, key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_date_counts())
     best = F.array_max(_date_entries(_rate_map(rates)))
     return counted.withColumn("_best", best).select(
         *key, F.col("_best.pattern").alias("date_pattern"), F.col("_best.confidence").alias("date_confidence")
@@ -155,13 +173,13 @@ def date_confidence(sample: DataFrame, rates: DataFrame | None = None, key: list
 
 def _numeric_counts() -> list[Column]:
     return [
-        F.count("_shape").alias("_shaped"),
-        F.count_if(F.col("_shape") == "decimal").alias("_decimal"),
-        F.stddev_pop("_len").alias("_len_std"),
-        F.avg("_len").alias("_len_avg"),
-        F.count("_num").alias("_parsed"),
-        F.stddev_pop("_num").alias("_std"),
-        F.avg(F.abs("_num")).alias("_scale"),
+        F.count_if(F.col("shape") > 0).alias("_shaped"),
+        F.count_if(F.col("shape") == 1).alias("_decimal"),
+        F.stddev_pop("size").alias("_len_std"),
+        F.avg("size").alias("_len_avg"),
+        F.count("number").alias("_parsed"),
+        F.stddev_pop("number").alias("_std"),
+        F.avg(F.abs("number")).alias("_scale"),
     ]
 
 
@@ -180,7 +198,7 @@ def _numeric_features() -> dict[str, Column]:
 def numeric_features(sample: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Pattern share, plain-decimal share, range and length consistency of each column."""
     key = key or COLUMN_KEY
-    stats = _prepared(sample, key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_numeric_counts())
+    stats = value_features(sample, key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_numeric_counts())
     return stats.select(*key, "n", *[c.alias(name) for name, c in _numeric_features().items()])
 
 
@@ -206,12 +224,15 @@ def infer_types(values: DataFrame, rates: DataFrame | None = None, numeric_thres
     is the largest number of digits before the decimal point.
     """
     key = key or COLUMN_KEY
-    filled = values.withColumn("value", F.when(F.col("value") != "", F.col("value")))
-    counted = _prepared(filled, key).groupBy(*key).agg(
-        F.count("value").alias("n"),
-        *_date_counts(),
-        *_numeric_counts(),
-        F.max(F.length(F.regexp_replace(F.substring_index("_text", ".", 1), "[^0-9]", ""))).alias("integer_digits"),
+    return types_of_features(value_features(values, key), rates, numeric_threshold, key)
+
+
+def types_of_features(features: DataFrame, rates: DataFrame | None = None, numeric_threshold: float = NUMERIC_THRESHOLD,
+                      key: list[str] | None = None) -> DataFrame:
+    """``infer_types`` from the features of the values."""
+    key = key or COLUMN_KEY
+    counted = features.groupBy(*key).agg(
+        F.count("size").alias("n"), *_date_counts(), *_numeric_counts(), F.max("digits").alias("integer_digits"),
     ).where(F.col("n") > 0)
     scored = counted.select(
         *key,

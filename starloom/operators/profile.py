@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from starloom.functions.names import (
     UNIQUE_KEY_HINTS,
@@ -96,9 +96,41 @@ def with_catalog(tables: Tables, stats: DataFrame, skip: tuple[str, ...] = ()) -
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts if c in stats.columns})
 
 
+def _hashed_cells(tables: Tables, skip: tuple[str, ...]) -> DataFrame:
+    """(cid, h1, h2, blank) of all values: two 64-bit hashes instead of the text; NULL hashes for NULL.
+
+    Whole numbers, dates and decimals are hashed as they are, since their texts differ exactly where they do.
+    """
+    plain = (T.IntegralType, T.DateType, T.DecimalType, T.BooleanType)
+    parts, cid = [], 0
+    for df in tables.values():
+        cells = []
+        for field in df.schema:
+            if field.name not in skip:
+                column = F.col(f"`{field.name}`")
+                known = column if isinstance(field.dataType, plain) else column.cast("string")
+                blank = known == "" if isinstance(field.dataType, T.StringType) else F.lit(False)
+                hashes = [F.when(column.isNotNull(), F.xxhash64(*seed, known)) for seed in ([], [F.lit(1)])]
+                cells.append(F.struct(F.lit(cid).alias("cid"), hashes[0].alias("h1"), hashes[1].alias("h2"), F.coalesce(blank, F.lit(False)).alias("blank")))
+                cid += 1
+        parts.append(df.select(F.inline(F.array(*cells))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def column_statistics(tables: Tables, skip: tuple[str, ...] = ()) -> DataFrame:
-    """Exact counts of every column of every table from one scan of each and one large shuffle."""
-    return with_catalog(tables, index_statistics(value_index(tables, skip)), skip)
+    """Exact counts of every column of every table from one scan of each and one large shuffle, of fixed-width keys."""
+    index = _hashed_cells(tables, skip).groupBy("cid", "h1", "h2", "blank").agg(F.count(F.lit(1)).alias("cnt"))
+    return with_catalog(tables, hashed_statistics(index, ["cid"]), skip)
+
+
+def hashed_statistics(index: DataFrame, key: list[str]) -> DataFrame:
+    """Row, NULL, blank and distinct counts per key, from (key, h1, blank, cnt) of distinct values."""
+    return index.groupBy(*key).agg(
+        F.sum("cnt").alias("row_count"),
+        F.coalesce(F.sum(F.when(F.col("h1").isNull(), F.col("cnt"))), F.lit(0)).alias("null_count"),
+        F.coalesce(F.sum(F.when(F.col("blank"), F.col("cnt"))), F.lit(0)).alias("blank_count"),
+        F.count("h1").alias("cardinality"),
+    )
 
 
 def approximate_statistics(tables: Tables, rsd: float = 0.05) -> DataFrame:
@@ -296,7 +328,11 @@ def _with_inference(tables: Tables, n: int, skip: tuple[str, ...], rates: DataFr
     index = value_index(tables, skip)
     types = infer_types(index, rates, numeric_threshold, key=["cid"])
     stats = index_statistics(index).join(types, "cid", "left").join(_shown_values(index, n), "cid", "left")
-    named = with_catalog(tables, stats, skip)
+    return with_defaults(with_catalog(tables, stats, skip), null_as_blank)
+
+
+def with_defaults(named: DataFrame, null_as_blank: bool) -> DataFrame:
+    """Columns without values read as text; blank values count as NULLs if asked."""
     if null_as_blank:
         named = named.withColumn("null_count", F.col("null_count") + F.col("blank_count"))
     return named.withColumns(
@@ -312,7 +348,11 @@ def _with_inference(tables: Tables, n: int, skip: tuple[str, ...], rates: DataFr
 def profile_schema(tables: Tables, n: int = 10, rates: DataFrame | None = None,
                    numeric_threshold: float = 0.7) -> DataFrame:
     """Full profile of every column of every table: counts, inferred type, role, key and quality."""
-    base = _with_inference(tables, n, (), rates, numeric_threshold, null_as_blank=True)
+    return full_profile(_with_inference(tables, n, (), rates, numeric_threshold, null_as_blank=True))
+
+
+def full_profile(base: DataFrame) -> DataFrame:
+    """Roles, keys and quality from counts and inferred types."""
     inferred = F.col("inferred_type")
     role = classify_with_reasons(inferred)
     return base.select(
@@ -356,7 +396,11 @@ def profile_paths(spark: SparkSession, paths: dict[str, str], n: int = 10) -> tu
 def discover(tables: Tables, n: int = 10, rates: DataFrame | None = None,
              numeric_threshold: float = 0.7) -> DataFrame:
     """Stored profile: without the load stamp, strict NULL counts, simple role, version 1."""
-    base = _with_inference(tables, n, ("create_date",), rates, numeric_threshold, null_as_blank=False)
+    return discovered(_with_inference(tables, n, ("create_date",), rates, numeric_threshold, null_as_blank=False))
+
+
+def discovered(base: DataFrame) -> DataFrame:
+    """The stored profile's columns from counts and inferred types."""
     return base.select(
         F.col("table_name").alias("original_table_name"),
         F.col("column_name").alias("original_column_name"),
