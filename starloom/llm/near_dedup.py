@@ -2,49 +2,60 @@
 
 A text is its sequence of lower-case words. Its k-mers of three words (short texts: also of two) are labelled with their occurrence; each of
 ``SKETCHES`` hash functions picks the ``PICK`` smallest labelled k-mers, kept in text order, and their hash is a sketch
-value. Texts that agree in a value (and lie in neighbouring length bands) share a bucket. In each bucket every text
-is paired with the bucket's smallest id first, so copies never make all pairs. A bucket is settled when its texts are in
-one component. In the others confirmed texts stay: small buckets compare all texts of different components; large ones
-take the text with the most links as the next leader, then part by rare words (texts of the wanted similarity always share one
-of them), and go on with leaders until no bucket holds an untested pair of different components. A pair is a link when
-1 - edit distance / longer length is at least ``SIMILARITY`` in words. Links between class representatives give connected
-components; the smallest id names the class.
+value. Texts that agree in a value (and lie in one band of lengths; bands overlap where linkable lengths meet) share a bucket. A pair is a link
+when 1 - edit distance / longer length is at least ``SIMILARITY`` in words. Links give connected components; the smallest id names the class.
 
-Equal word sequences are one text from the start, so exact copies cost one row each. Nothing is gathered per
-bucket: leaders are minima combined before the shuffle, and skewed joins can be split.
+1. Equal word sequences are one node from the start, so exact copies cost one row each.
+2. One shuffle deals the nodes to their buckets. Values that many nodes may share (a table of ``SLOTS`` counts tells) are dealt in parts of
+   about ``PART`` nodes, whose first nodes form the bucket again, so no bucket gathers in one task.
+3. Every node is paired with the first node of a bucket, one pair a node: groups of near copies stay linear.
+4. Buckets that still hold nodes of several components go on, with their most linked node (the centre of a star joins its variants),
+   and then with all pairs of different components that are left.
+
+Before any alignment a pair must pass a bound: each edit changes at most two words of the two multisets of words, each differing bit
+of two bitmaps stands for a word of one text only, so more differing bits than twice the allowed edits prove a pair unlike. In the last step the
+bound is part of the join, so buckets full of unlike texts (a common passage) make few pairs.
 
 Defined cases: null texts, texts without a word and rows without an id stay in classes of their own; texts of
 any length are read whole; a text of fewer than three words has one k-mer; rows that repeat an id and a text are
-copies, of which the filter keeps one. Other columns stay.
+copies, of which the filter keeps one; rows of one id with other texts are nodes of their own (their classes may carry the same name, and the
+filter keeps one row of each); an empty table has no rows. Other columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starloom.llm.align import similarity
 from starloom.llm.common import WordHashes, filled, mix, shingles
 from starloom.llm.components import components
-from starloom.session import cut_lineage
+from starloom.llm.ngram_join import mixed, ordered
+from starloom.session import cut_lineage, discard
 
 SHINGLE = 3
 SIMILARITY = 0.8
 SKETCHES = 40
 PICK = 2
 SHORT = 32  # texts of so many words are sketched by pairs of words too
-SMALL = 24  # buckets of so many texts compare them all
+BITS = 512
+SLOTS = 1 << 16
+PART = 4096
+WIDE = 8  # a band of lengths spans this power of 5/4
+MARKS = 1 << 24
 _RANDOM = np.random.default_rng(20240601)
 FACTORS = _RANDOM.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RANDOM.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
 
 
 def labelled(kmers: np.ndarray) -> np.ndarray:
-    """K-mer hashes made different for their first, second, … occurrence."""
+    """K-mer hashes made different from their second occurrence on; first occurrences stay, whatever else the text repeats."""
     order = np.argsort(kmers, kind="stable")
     ranked = kmers[order]
     fresh = np.r_[True, ranked[1:] != ranked[:-1]]
@@ -53,7 +64,7 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
     first = np.flatnonzero(fresh)
     occurrence = np.arange(len(kmers)) - np.repeat(first, np.diff(np.r_[first, len(kmers)]))
     out = np.empty_like(kmers)
-    out[order] = mix(ranked + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out[order] = np.where(fresh, ranked, mix(ranked + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     return out
 
 
@@ -83,20 +94,28 @@ def sketches(found: np.ndarray) -> np.ndarray:
     return np.r_[values, order_sketches(shingles(found, SHINGLE - 1))] if len(found) <= SHORT else values
 
 
+def key_of(found: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+
+
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Eight 64-bit numbers: one of ``BITS`` bits flips for each labelled word."""
+    flips = np.bincount((labelled(mix(found)) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(flips.astype(bool)).view(np.int64)
+
+
 def sketch(text: Column) -> Column:
-    """Struct of the text key (null without words), the number of words and the sketch values."""
+    """Struct of the text key (null without words), the number of words, the sketch values and the bitmap."""
 
-    @F.pandas_udf("key binary, n int, values array<long>")
+    @F.pandas_udf("key binary, n int, values array<long>, bits array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for texts in batches:
-            keys, sizes, values = [], [], []
+            rows = []
             for found in hashes.of(filled(texts)):
                 some = len(found) > 0
-                sizes.append(len(found))
-                keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if some else None)
-                values.append(sketches(found).view(np.int64) if some else None)
-            yield pd.DataFrame({"key": keys, "n": sizes, "values": values})
+                rows.append((key_of(found), len(found), sketches(found).view(np.int64) if some else None, bitmap(found) if some else None))
+            yield pd.DataFrame(rows, columns=["key", "n", "values", "bits"])
 
     return run(text)
 
@@ -114,113 +133,156 @@ def aligned(a: Column, b: Column, least: float) -> Column:
     return run(a, b)
 
 
-def rare_words(texts: DataFrame) -> DataFrame:
-    """(rep, word) of each text's rarest words, so many that texts of at least ``SIMILARITY`` share one of them.
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(tile, leader, node) of all buckets with several nodes; parts of a split bucket have leaders that are nodes of the bucket's leader."""
+    step = WIDE * float(np.log(1 / SIMILARITY))
+    band = F.floor(F.log("n") / step)
+    reach = F.floor(F.log(F.col("n") / SIMILARITY + 1e-6) / step)  # the band of the longest text it may link with
+    each = nodes.select("node", F.explode(F.sequence(band, reach)).alias("band"), "values")
+    each = each.select("node", "band", F.posexplode("values").alias("i", "value"))
+    rows = each.select(F.xxhash64("i", "value", "band").alias("tile"), "node").withColumn("slot", F.pmod("tile", F.lit(SLOTS)))
+    often = rows.groupBy("slot").count().select("slot", F.expr(f"cast(count div {PART} + 1 as int)").alias("parts"))
+    rows = rows.join(F.broadcast(often), "slot")  # SLOTS rows at most
+    rows = rows.select("tile", "node", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), (F.col("parts") > 1).alias("split"))
+    own = Window.partitionBy("tile", "part")
+    led = rows.withColumn("leader", F.min("node").over(own)).withColumn("many", F.max("node").over(own) > F.col("leader"))
+    led = cut_lineage(led.where("many or split"))
+    heads = led.where("split and leader = node").select("tile", "node")
+    first = heads.groupBy("tile").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
+    again = heads.join(first, "tile").select("tile", "leader", "node")
+    found = cut_lineage(led.where("many").select("tile", "leader", "node").unionByName(again))
+    discard(led)
+    return found
+
+
+def may_link(n: Column, m: Column, a: list[Column], b: list[Column]) -> Column:
+    """False where lengths or bitmaps prove a pair unlike."""
+    longer = F.greatest(n, m)
+    edits = F.floor(longer * (1 - SIMILARITY) + 1e-9)
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
+    return (longer - F.least(n, m) <= edits) & (differ <= 2 * edits)
+
+
+BITMAP = [f"b{k}" for k in range(BITS // 64)]
+
+
+def sided(light: DataFrame, side: str) -> DataFrame:
+    return light.select(*[F.col(c).alias(f"{side}_{c}") for c in light.columns])
+
+
+def fits(one: str, other: str) -> Column:
+    return may_link(F.col(f"{one}_n"), F.col(f"{other}_n"), *[[F.col(f"{s}_{b}") for b in BITMAP] for s in (one, other)])
+
 
-    Such texts share ``SIMILARITY`` of the longer one's words, so they cannot differ in all of the rarest others and one more.
+def allowed(pairs: DataFrame, light: DataFrame) -> DataFrame:
+    """The pairs (leader, node) that lengths and bitmaps allow; ``light``: node, n and the bitmap's numbers."""
+    joined = pairs.join(sided(light, "x"), F.col("leader") == F.col("x_node")).join(sided(light, "y"), pairs["node"] == F.col("y_node"))
+    return joined.where(fits("x", "y")).select("leader", "node")
+
+
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of wanted nodes (node, id, mark) from rows (id, mark, text).
+
+    The wanted ids are marked in a table of ``MARKS`` bits, so most other texts are not shuffled (were it full, all would be).
     """
+    place = F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("int")
+    marked = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at"))
+    words = marked.agg(F.bit_or(F.expr("shiftleft(1L, place & 63)")).alias("bits")).toPandas()
+    marks = np.zeros(MARKS // 64, np.int64)
+    marks[words["at"]] = words["bits"]
 
-    @F.pandas_udf("array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes = WordHashes()
-        for found in batches:
-            yield pd.Series([labelled(shingles(x, 1)).view(np.int64) if len(x) else None for x in hashes.of(filled(found))], dtype=object)
-
-    each = cut_lineage(texts.select("rep", F.explode(run(F.col("text"))).alias("word")))
-    often = each.groupBy("word").agg(F.count("word").alias("_often"))
-    order = Window.partitionBy("rep").orderBy("_often", "word")
-    ranked = each.join(often, "word").select("rep", "word", F.row_number().over(order).alias("_k"))
-    sizes = each.groupBy("rep").agg((F.count("rep") - F.ceil(F.count("rep") * SIMILARITY - 1e-9) + 1).alias("_take"))
-    return ranked.join(sizes, "rep").where("_k <= _take").select("rep", "word")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    one = texts.select(F.col("rep").alias("leader"), F.col("text").alias("_a"))
-    joined = pairs.join(texts, "rep").join(one, "leader")
-    return cut_lineage(joined.select("leader", "rep", aligned(F.col("_a"), F.col("text"), SIMILARITY).alias("similarity")))
-
-
-def _unsettled(rows: DataFrame, done: DataFrame) -> DataFrame:
-    """``rows`` (bucket, rep) of the buckets whose texts are not yet in one component, with label and links of the text."""
-    found = cut_lineage(done.where(F.col("similarity") >= SIMILARITY).select("leader", "rep"))
-    ends = found.select(F.explode(F.array("leader", "rep")).alias("rep")).groupBy("rep").agg(F.count("rep").alias("links"))
-    known = ends.join(components(found, "leader", "rep").withColumnRenamed("node", "rep"), "rep")
-    named = rows.select("bucket", "rep").join(known, "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
-    named = cut_lineage(named)
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("rep").alias("size")).where("_low <> _high")
-    return cut_lineage(named.join(mixed.select("bucket", "size"), "bucket"))
-
-
-def _led(rows: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's leader (least ``order``) with texts of other components, and the rows without leaders."""
-    leaders = rows.groupBy("bucket").agg(F.min_by(F.struct("rep", "label"), order).alias("_leader"))
-    joined = rows.join(leaders, "bucket").where("rep <> _leader.rep")
-    return joined.where("label <> _leader.label").select(F.col("_leader.rep").alias("leader"), "rep"), joined.select("bucket", "rep")
-
-
-def _every(rows: DataFrame) -> DataFrame:
-    """All pairs of texts of different components in buckets of at most ``SMALL`` texts."""
-    other = rows.select("bucket", F.col("rep").alias("leader"), F.col("label").alias("_label"))
-    return rows.join(other, "bucket").where("leader < rep and label <> _label").select("leader", "rep")
-
-
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(leader, rep, similarity) of confirmed links; ``nodes``: rep, n, values; ``texts``: rep, text."""
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / SIMILARITY)) + 1e-9)
-    each = nodes.select("rep", F.posexplode("values").alias("_i", "_value"), F.explode(F.array(band, band + 1)).alias("_band"))
-    rows = each.select(F.xxhash64("_i", "_value", "_band").alias("bucket"), "rep")
-    ends = rows.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("_most")).where("leader <> _most")
-    rows = cut_lineage(rows.join(ends.drop("_most"), "bucket"))
-    kept = cut_lineage(texts.join(rows.select("rep").distinct(), "rep"))
-    done = _verified(rows.where("rep <> leader").select("leader", "rep").distinct(), kept)
-    rows = _unsettled(rows.where("rep <> leader"), done)
-    popular = F.struct(-F.col("links"), F.xxhash64("bucket", "rep"))  # a centre of many links comes first
-    finer = False
-    texts_kept = kept.count()
-    while not rows.isEmpty():
-        few = rows.agg(F.sum("size")).first()[0] <= texts_kept  # a short rest is compared at once, not round by round
-        small = F.lit(True) if few else F.col("size") <= SMALL
-        led, left = _led(rows.where(~small), popular)
-        pairs = led.union(_every(rows.where(small)))
-        pairs = pairs.select(F.least("leader", "rep").alias("leader"), F.greatest("leader", "rep").alias("rep")).distinct()
-        fresh = cut_lineage(pairs.join(done, ["leader", "rep"], "left_anti"))
-        done = cut_lineage(done.unionByName(_verified(fresh, kept)))
-        rows = _unsettled(left, done)
-        if not finer and not rows.isEmpty():
-            finer = True
-            rare = rare_words(kept.join(rows.select("rep").distinct(), "rep"))
-            parts = rows.join(rare, "rep").select(F.xxhash64("bucket", "word").alias("bucket"), "rep").distinct()
-            rows = _unsettled(parts, done)
-    return done.where(F.col("similarity") >= SIMILARITY)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(3).fill_null(0).to_numpy()
+            yield batch.select([0, 1, 2]).filter(pa.array((marks[at >> 6] >> (at & 63)) & 1 == 1))
 
+    found = rows.select("id", "mark", "text", place.alias("place")).mapInArrow(run, rows.select("id", "mark", "text").schema)
+    return cut_lineage(found.join(wanted, ["id", "mark"]).groupBy("node").agg(F.min("text").alias("text")))
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id, text_class, n_links) of every row: near class, class of equal texts, links of the text."""
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    rows = own.withColumn("_s", sketch(F.col("text"))).select("id", F.col("_s.key").alias("key"), F.col("_s.n").alias("n"), F.col("_s.values").alias("values"))
-    rows = cut_lineage(rows)
-    known = rows.where("key is not null and id is not null")
-    nodes = cut_lineage(known.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("values").alias("values")))
-    found = cut_lineage(links(nodes.drop("key"), own.withColumnRenamed("id", "rep")).select("leader", "rep").distinct())
-    labels = components(found, "leader", "rep")
-    degree = found.select(F.explode(F.array("leader", "rep")).alias("rep")).groupBy("rep").agg(F.count("rep").alias("n_links"))
-    named = nodes.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    out = rows.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left")
-    return out.select(
-        F.col("id").alias("doc_id"),
-        F.coalesce("label", "rep", "id").alias("class_id"),
-        F.coalesce("rep", "id").alias("text_class"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+
+def confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(leader, node, similarity) of the links among stored pairs."""
+    ends = pairs.select(F.explode(F.array("leader", "node")).alias("node")).distinct()
+    texts = texts_of(rows, nodes.select("node", "id", "mark").join(ends, "node"))
+    one = texts.select(F.col("node").alias("leader"), F.col("text").alias("_a"))
+    joined = pairs.join(texts, "node").join(one, "leader")
+    found = joined.select("leader", "node", aligned(F.col("_a"), F.col("text"), SIMILARITY).alias("similarity"))
+    found = cut_lineage(found.where(F.col("similarity") >= SIMILARITY))
+    discard(texts)
+    return found
+
+
+def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(leader, node, similarity): so many links that their components are those of all links between texts that share a bucket.
+
+    ``rows``: id, mark, text; ``nodes``: node, id, mark, n, values, bits.
+    """
+    light = nodes.select("node", "n", *[F.col("bits")[k].alias(b) for k, b in enumerate(BITMAP)])
+    found = buckets(nodes)
+    members = cut_lineage(found.select("tile", "node").distinct())
+    first = allowed(found.where("leader < node").select("leader", "node").distinct(), light)
+    tried = cut_lineage(first.groupBy("node").agg(F.min("leader").alias("leader")).select("leader", "node"))
+    discard(found)
+    known = confirmed(tried, rows, nodes)
+
+    rest = mixed(members, components(known, "leader", "node"))
+    if rest.isEmpty():
+        return known
+    degree = known.select(F.explode(F.array("leader", "node")).alias("node")).groupBy("node").agg(F.count("node").alias("links"))
+    ranked = rest.join(degree, "node", "left").withColumn("order", F.struct(F.coalesce("links", F.lit(0)), F.xxhash64("node")))
+    centres = ranked.groupBy("tile").agg(F.max_by(F.struct("node", "label"), "order").alias("centre"))
+    pairs = rest.join(centres, "tile").where("label <> centre.label").select(F.col("centre.node").alias("leader"), "node")
+    second = cut_lineage(allowed(ordered(pairs), light).join(tried, ["leader", "node"], "left_anti"))
+    known = cut_lineage(known.unionByName(confirmed(second, rows, nodes)))
+
+    last = cut_lineage(mixed(rest.select("tile", "node"), components(known, "leader", "node")).join(light, "node"))
+    pairs = sided(last, "x").join(sided(last, "y"), F.col("x_tile") == F.col("y_tile"))
+    pairs = pairs.where((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & fits("x", "y"))
+    pairs = pairs.select(F.col("x_node").alias("leader"), F.col("y_node").alias("node")).distinct()
+    third = cut_lineage(pairs.join(tried.unionByName(second), ["leader", "node"], "left_anti"))
+    known = cut_lineage(known.unionByName(confirmed(third, rows, nodes)))
+    discard(members, tried, rest, second, last, third)
+    return known
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, mark, first, text_class, n_links) of every row; ``mark``: hash of the text, ``first``: (id, mark) of the first row of its class."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")).alias("mark"), F.col(text).alias("text"))
+    each = cut_lineage(rows.withColumn("_s", sketch(F.col("text"))).select("id", "mark", "_s.*"))
+    own = cut_lineage(each.select("id", "mark", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")))
+    folded = each.where("key is not null and id is not null").groupBy("key").agg(
+        F.min(F.struct("id", "mark")).alias("first"), F.first(F.struct("n", "values", "bits")).alias("s")
     )
+    nodes = cut_lineage(folded.select(F.monotonically_increasing_id().alias("node"), "key", "first.*", "s.*"))
+    discard(each)
+    found = links(rows, nodes)
+    degree = found.select(F.explode(F.array("leader", "node")).alias("node")).groupBy("node").agg(F.count("node").alias("n_links"))
+    placed = nodes.select("node", "key", F.struct("id", "mark").alias("own")).join(components(found, "leader", "node"), "node", "left")
+    placed = placed.join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lowest = placed.groupBy("label").agg(F.min("own").alias("first"))
+    names = cut_lineage(placed.join(lowest, "label").select("key", "first", F.col("own.id").alias("text_class"), "n_links"))
+    discard(nodes)
+    return own.join(names, "key", "left").select("id", "mark", "first", "text_class", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, text_class, n_links) of every row: near class, class of equal texts, confirmed links of the text."""
+    named = _classes(docs, doc_id, text)
+    return named.select(F.col("id").alias("doc_id"), F.coalesce("first.id", "id").alias("class_id"), F.coalesce("text_class", "id").alias("text_class"), "n_links")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each near class: the one with the smallest id. Columns stay."""
-    classes = cut_lineage(near_classes(docs, doc_id, text))
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    twice = classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    if twice.isEmpty():
-        return kept
-    single = kept.join(twice, F.col(doc_id) == F.col("_twice"), "left_anti")
-    return single.unionByName(kept.join(twice, F.col(doc_id) == F.col("_twice"), "left_semi").dropDuplicates([doc_id]))
+    own = uuid.uuid4().hex  # names that no column has
+    at, mark, taken = f"id_{own}", f"mark_{own}", f"taken_{own}"
+    named = cut_lineage(_classes(docs, doc_id, text).where("id is not null"))
+    gone = named.where("first is not null and (id <> first.id or mark <> first.mark)").select(F.col("id").alias(at), F.col("mark").alias(mark)).distinct()
+    hashed = F.struct(F.xxhash64(F.col(text)).alias("h1"), F.xxhash64(F.lit(1), F.col(text)).alias("h2"))
+    marked = docs.withColumn(taken, hashed)
+    kept = marked.join(gone, (F.col(doc_id) == F.col(at)) & (F.col(taken) == F.col(mark)), "left_anti")
+    twice = named.groupBy("id", "mark").count().where("count > 1").select(F.col("id").alias(at), F.col("mark").alias(mark))
+    if not twice.isEmpty():
+        same = (F.col(doc_id) == F.col(at)) & (F.col(taken) == F.col(mark))
+        worded = kept.join(twice, same, "left_semi").dropDuplicates([doc_id, taken])
+        kept = kept.join(twice, same, "left_anti").unionByName(worded)
+    return kept.drop(taken)

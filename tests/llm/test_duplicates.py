@@ -113,9 +113,9 @@ def test_centre_of_a_star_joins_its_variants(spark, make):
     assert len(got) == 61 and {r["class_id"] for r in got} == {0}
 
 
-def test_hot_buckets_part_by_rare_words(spark, make, monkeypatch):
-    """Pairs inside one bucket that half the texts share, all of it unlike its leaders."""
-    monkeypatch.setattr(near_dedup, "SMALL", 2)
+def test_split_buckets_of_a_common_line(spark, make, monkeypatch):
+    """Pairs inside buckets that half the texts share, dealt in parts, all of it unlike its leaders."""
+    monkeypatch.setattr(near_dedup, "PART", 4)
     rng = random.Random(12)
     line, rows = make(rng, 40), []
     for k in range(40):
@@ -125,6 +125,35 @@ def test_hot_buckets_part_by_rare_words(spark, make, monkeypatch):
     assert got == {i: i // 2 * 2 for i, _ in rows}
 
 
+def test_texts_of_one_id_are_kept(spark, make):
+    rng = random.Random(14)
+    a, b, c = make(rng, 40), make(rng, 50), make(rng, 60)
+    docs = spark.createDataFrame([(1, a), (1, b), (2, c), (3, a), (1, b)], "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.keep_one(docs).collect())) == sorted([(1, a), (1, b), (2, c)])
+
+
+def test_clashing_names_stay(spark, make):
+    rng = random.Random(15)
+    text = make(rng, 30)
+    names = ["_gone", "_twice", "mark", "id", "first", "tile", "node", "leader", "values", "bits"]
+    rows = [(k, text if k < 2 else make(rng, 20), *["kept"] * len(names)) for k in range(4)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'`{n}` string' for n in names)}")
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
+
+
+def test_bitmaps_reject_no_link(make):
+    rng = random.Random(16)
+    hashes = WordHashes()
+    for _ in range(400):
+        a = make(rng, rng.randint(3, 90)).split()
+        b = edited(rng, a, rng.randint(0, len(a) // 4))
+        if similarity(a, b, 0.8):
+            p, q = (near_dedup.bitmap(hashes(x)) for x in (a, b))
+            differ = sum(int(x ^ y).bit_count() if x ^ y >= 0 else (int(x ^ y) + (1 << 64)).bit_count() for x, y in zip(p, q, strict=True))
+            assert differ <= 2 * int(max(len(a), len(b)) * 0.2 + 1e-9)
+
+
 def test_near_duplicates_of_odd_rows(odd, odd_rows, empty):
     rows = near_dedup.near_classes(odd).collect()
     assert len(rows) == len(odd_rows)
