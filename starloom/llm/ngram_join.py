@@ -10,7 +10,8 @@ A text's set holds the distinct runs of ``SHINGLE`` words. Two sets link when th
    linkable size lie there. Tiles of grams that may be frequent (by their bucket's count) are split into parts of
    about ``PART`` nodes, and the parts' first nodes form the tile again.
 4. In a tile nodes are paired with its first node, one pair a node, so groups of near copies stay linear. Tiles
-   that hold nodes of several components go on: first with their most linked node, then with all pairs of different components.
+   that hold nodes of several components go on: first with their most linked node (if it has a link), then with all pairs of different
+   components that share enough kept grams.
 5. A pair is dropped if the bits in which the bitmaps differ prove that the overlap is too small (each differing bit stands for
    a gram of one set only). The rest is decided by intersecting the sorted sets.
 
@@ -176,21 +177,24 @@ def described(rows: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def tiles(nodes: DataFrame) -> DataFrame:
-    """(tile, leader, node) of all tiles with several nodes; a split tile's parts have leaders that are nodes of the tile's leader."""
+    """(tile, leader, node, over) of all tiles with several nodes; a split tile's parts have leaders that are nodes of the tile's leader.
+
+    ``over``: the tile is of the band above the node's own; two such nodes meet in their own band too.
+    """
     step = WIDE * float(np.log(SHARE[1] / SHARE[0]))
     band = F.floor(F.log("n") / step)
     reach = F.floor(F.log(F.col("n") * SHARE[1] / SHARE[0] + 1e-6) / step)  # the band of the largest set it may link with
-    each = nodes.select("node", F.explode(F.sequence(band, reach)).alias("band"), F.arrays_zip("grams", "parts").alias("kept"))
-    each = each.select("node", "band", F.explode("kept").alias("kept"))
-    rows = each.select(F.xxhash64("kept.grams", "band").alias("tile"), "node", F.pmod(F.xxhash64("node"), F.col("kept.parts")).cast("int").alias("part"), (F.col("kept.parts") > 1).alias("split"))
+    each = nodes.select("node", F.posexplode(F.sequence(band, reach)).alias("above", "band"), F.arrays_zip("grams", "parts").alias("kept"))
+    each = each.select("node", "above", "band", F.explode("kept").alias("kept"))
+    rows = each.select(F.xxhash64("kept.grams", "band").alias("tile"), "node", (F.col("above") > 0).alias("over"), F.pmod(F.xxhash64("node"), F.col("kept.parts")).cast("int").alias("part"), (F.col("kept.parts") > 1).alias("split"))
     own = Window.partitionBy("tile", "part")
     led = rows.withColumn("leader", F.min("node").over(own)).withColumn("many", F.max("node").over(own) > F.col("leader"))
     led = cut_lineage(led.where("many or split"))
-    whole = led.where("not split").select("tile", "leader", "node")
-    heads = led.where("split and leader = node").select("tile", "node")
+    whole = led.where("not split").select("tile", "leader", "node", "over")
+    heads = led.where("split and leader = node").select("tile", "node", "over")
     first = heads.groupBy("tile").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    again = heads.join(first, "tile").select("tile", "leader", "node")
-    return whole.unionByName(led.where("split and many").select("tile", "leader", "node")).unionByName(again)
+    again = heads.join(first, "tile").select("tile", "leader", "node", "over")
+    return whole.unionByName(led.where("split and many").select("tile", "leader", "node", "over")).unionByName(again)
 
 
 def may_link(n: Column, m: Column, a: Column, b: Column) -> Column:
@@ -201,6 +205,16 @@ def may_link(n: Column, m: Column, a: Column, b: Column) -> Column:
     return sizes & ((n + m - differ) * (low + high) >= 2 * low * (n + m))
 
 
+def enough_kept(n: Column, m: Column, shared: Column) -> Column:
+    """False where two sets share too few of their kept grams to link.
+
+    In the global order, whichever kept part ends first, the overlap is what both kept parts share and, at most, all the rest of that set.
+    """
+    low, high = SHARE
+    rest = [F.ceil(x * low / high) - 1 for x in (n, m)]
+    return (shared + F.greatest(*rest)) * (low + high) >= low * (n + m)
+
+
 def overlapping(x: np.ndarray, y: np.ndarray) -> bool:
     """Exact decision on two sorted sets."""
     x, y = (x, y) if len(x) <= len(y) else (y, x)
@@ -262,8 +276,8 @@ def confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(tile, node, label) of the tiles that hold nodes of several components."""
-    named = rows.join(labels, "node", "left").select("tile", "node", F.coalesce("label", "node").alias("label"))
+    """``rows`` (tile, node, more) with the nodes' ``label``, of the tiles that hold nodes of several components."""
+    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = named.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     return cut_lineage(named.join(several.select("tile"), "tile"))
 
@@ -279,7 +293,7 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     found = cut_lineage(tiles(nodes))
     light = nodes.select("node", "n", "bits")
-    members = cut_lineage(found.select("tile", "node").distinct())
+    members = cut_lineage(found.select("tile", "node", "over").distinct())
     first = allowed(found.where("leader < node").select("leader", "node").distinct(), light)
     tried = cut_lineage(first.groupBy("node").agg(F.min("leader").alias("leader")).select("leader", "node"))
     discard(found)
@@ -288,15 +302,17 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     rest = mixed(members, components(linked_pairs, "leader", "node"))
     degree = linked_pairs.select(F.explode(F.array("leader", "node")).alias("node")).groupBy("node").agg(F.count("node").alias("links"))
     known = rest.join(degree, "node", "left").withColumn("order", F.struct(F.coalesce("links", F.lit(0)), F.xxhash64("node")))
-    centres = known.groupBy("tile").agg(F.max_by(F.struct("node", "label"), "order").alias("centre"))
-    pairs = rest.join(centres, "tile").where("label <> centre.label").select(F.col("centre.node").alias("leader"), "node")
+    centres = known.groupBy("tile").agg(F.max_by(F.struct("node", "label"), "order").alias("centre"), F.max("links").alias("links"))
+    pairs = rest.join(centres.where("links > 0"), "tile").where("label <> centre.label").select(F.col("centre.node").alias("leader"), "node")
     second = cut_lineage(allowed(ordered(pairs), light).join(tried, ["leader", "node"], "left_anti"))
     linked_pairs = cut_lineage(linked_pairs.unionByName(confirmed(second, rows, nodes)))
 
-    last = mixed(rest.select("tile", "node"), components(linked_pairs, "leader", "node")).join(light, "node")
-    other = last.select("tile", *[F.col(c).alias(f"b_{c}") for c in ("node", "label", "n", "bits")])
-    fits = (F.col("node") < F.col("b_node")) & (F.col("label") != F.col("b_label")) & may_link(F.col("n"), F.col("b_n"), F.col("bits"), F.col("b_bits"))
-    pairs = last.join(other, "tile").where(fits).select(F.col("node").alias("leader"), F.col("b_node").alias("node")).distinct()
+    last = mixed(rest.select("tile", "node", "over"), components(linked_pairs, "leader", "node")).join(light, "node")
+    other = last.select("tile", *[F.col(c).alias(f"b_{c}") for c in ("node", "over", "label", "n", "bits")])
+    fits = (F.col("node") < F.col("b_node")) & (F.col("label") != F.col("b_label")) & ~(F.col("over") & F.col("b_over"))
+    fits = fits & may_link(F.col("n"), F.col("b_n"), F.col("bits"), F.col("b_bits"))
+    pairs = last.join(other, "tile").where(fits).groupBy(F.col("node").alias("leader"), F.col("b_node").alias("node"), "n", "b_n").agg(F.count("tile").alias("shared"))
+    pairs = pairs.where(enough_kept(F.col("n"), F.col("b_n"), F.col("shared"))).select("leader", "node")
     third = cut_lineage(pairs.join(tried.unionByName(second), ["leader", "node"], "left_anti"))
     linked_pairs = cut_lineage(linked_pairs.unionByName(confirmed(third, rows, nodes)))
     discard(members, tried, rest, second, third)

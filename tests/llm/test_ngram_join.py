@@ -112,3 +112,27 @@ def test_kept_grams_and_bitmap_bound():
     for n in range(1, 400):
         kept = int(ngram_join.kept_of(n))
         assert n - kept + 1 == -(-n * 4 // 5) and 1 <= kept <= n
+
+
+def test_linked_sets_share_enough_kept_grams(spark):
+    """For random sets in a random order, and all at the bar."""
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(35), []
+    for _ in range(3000):
+        n, order = rng.randint(1, 60), list(range(200))
+        rng.shuffle(order)
+        rank = {g: k for k, g in enumerate(order)}
+        a = set(rng.sample(range(200), n))
+        b = set(a)
+        for g in rng.sample(sorted(a), rng.randint(0, n // 5)):
+            b.discard(g)
+            if rng.random() < 0.5:
+                b.add(rng.randrange(200))
+        if not b or 5 * len(a & b) < 4 * len(a | b):
+            continue
+        kept = [set(sorted(x, key=rank.get)[: int(ngram_join.kept_of(len(x)))]) for x in (a, b)]
+        rows.append((len(a), len(b), len(kept[0] & kept[1])))
+    assert len(rows) > 1000
+    found = spark.createDataFrame(rows, "n int, m int, shared int")
+    assert found.where(~ngram_join.enough_kept(F.col("n"), F.col("m"), F.col("shared"))).count() == 0
