@@ -11,7 +11,7 @@ from checks.common import SPACE_SQL, STAMP, STAR_SCHEMA, catalog_cte, check, sta
 from starloom.functions.text import clean_text, file_target_name, query_target_name
 from starloom.operators.profile import catalog_profile, discover
 from starloom.session import scratch_path
-from starloom.sources import ingest, readers, writers
+from starloom.sources import ingest, quoted, readers, writers
 from starloom.streaming.jobs import incremental_ingest
 
 
@@ -49,6 +49,18 @@ def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", readers.decode_bytes(content).alias("text"))
 
 
+@check("A3_decode_files", "SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents")
+def a3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as lines of files in two encodings, each file's found from all of its lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    western, folder = F.col("text").rlike(r"^[\x00-\x7F\xA0-\xFF]*$"), scratch_path(spark, "encoded")
+    line = F.concat("doc_id", F.lit("\t"), "text")
+    docs.where(western).select(F.encode(line, "ISO-8859-1").cast("string").alias("value")).write.text(f"{folder}/west")
+    docs.where(~western).select(line.alias("value")).write.text(f"{folder}/utf8")
+    lines = quoted.decoded_lines(spark, [f"{folder}/west", f"{folder}/utf8"])
+    return lines.select(F.substring_index("line", "\t", 1).cast("bigint").alias("doc_id"), F.regexp_replace("line", "^[0-9]+\t", "").alias("text"))
+
+
 @check(
     "A6_json_records_to_rows",
     """SELECT event_id, CAST(props->>'$.k' AS VARCHAR) AS k, CAST(NULL AS VARCHAR) AS scalar FROM events

@@ -139,3 +139,10 @@ def query_target_name(sql: Column) -> Column:
     unquoted = F.regexp_replace(operand, "^[\"'`]+|[\"'`]+$", "")
     name = F.when(operand != "", F.substring_index(unquoted, ".", -1)).otherwise(last_word)
     return F.lower(F.regexp_replace(name, "[^a-zA-Z0-9_]", ""))
+
+
+def windows_1252(text: Column) -> Column:
+    """Turn the control characters U+0080..U+009F of a Latin-1 reading into their Windows-1252 letters."""
+    pairs = [(chr(code), bytes([code]).decode("cp1252", "ignore")) for code in range(0x80, 0xA0)]
+    known = [(control, letter) for control, letter in pairs if letter]
+    return F.translate(text, "".join(c for c, _ in known), "".join(l for _, l in known))

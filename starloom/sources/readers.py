@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from starloom.functions.text import clean_text, file_target_name
+from starloom.functions.text import clean_text, file_target_name, windows_1252
 from starloom.sources.quoted import read_quoted_csv
 
 
@@ -45,22 +45,15 @@ def read_parquet_strings(spark: SparkSession, paths: str | list[str]) -> DataFra
     return string_columns(spark.read.parquet(*paths), clean=False)
 
 
-def _windows_1252(text: Column) -> Column:
-    """Turn the control characters U+0080..U+009F of a Latin-1 reading into their Windows-1252 letters."""
-    pairs = [(chr(code), bytes([code]).decode("cp1252", "ignore")) for code in range(0x80, 0xA0)]
-    known = [(control, letter) for control, letter in pairs if letter]
-    return F.translate(text, "".join(c for c, _ in known), "".join(l for _, l in known))
-
-
 def decode_bytes(content: Column, windows: bool = True) -> Column:
     """UTF-8 when the bytes are valid UTF-8, otherwise a one-byte Western encoding (never fails)."""
     utf8 = F.try_validate_utf8(content.cast("string"))
     western = F.decode(content, "ISO-8859-1")
-    return F.coalesce(utf8, _windows_1252(western) if windows else western)
+    return F.coalesce(utf8, windows_1252(western) if windows else western)
 
 
 def decode_text_files(spark: SparkSession, paths: str | list[str], windows: bool = True) -> DataFrame:
-    """Whole files as text, one row per file."""
+    """Whole files as text, one row per file (2 GB at most); ``quoted.decoded_lines`` reads files of any size by lines."""
     raw = spark.read.format("binaryFile").load(paths)
     return raw.select(F.col("path"), F.col("length"), decode_bytes(F.col("content"), windows).alias("text"))
 

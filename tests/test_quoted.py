@@ -93,3 +93,31 @@ def test_parities_of_ranges(spark):
     lines = spark.createDataFrame([("f", 0, 'a"'), ("f", 0, "b"), ("f", 10, '"c"'), ("f", 20, '"'), ("g", 0, "x")], "file string, start long, line string")
     got = {(r["file"], r["start"]): (r["odd"], r["odd_end"]) for r in quoted.range_parities(lines).collect()}
     assert got == {("f", 0): (False, True), ("f", 10): (True, True), ("f", 20): (True, False), ("g", 0): (False, False)}
+
+
+@pytest.mark.parametrize("size", [5, 40, 1 << 20])
+def test_one_decision_for_a_whole_file(spark, tmp_path, small_ranges, size):
+    """Multi-byte characters at every place of the ranges; one bad byte at the end makes the whole file Western."""
+    lines = [f"{'é' * (k % 7)}€日{k}" for k in range(60)]
+    (tmp_path / "utf8.txt").write_bytes("\n".join(lines).encode())
+    western = "\n".join([*["é€ÿ–"] * 30, "plain"]).encode("cp1252")
+    (tmp_path / "west.txt").write_bytes(western)
+    (tmp_path / "late.txt").write_bytes("\n".join(lines).encode() + b"\n\xe9")
+    small_ranges(size)
+    got = {}
+    for r in quoted.decoded_lines(spark, str(tmp_path)).collect():
+        got.setdefault(r["file"].rsplit("/", 1)[-1], []).append(r["line"])
+    assert sorted(got["utf8.txt"]) == sorted(lines)
+    assert sorted(got["west.txt"]) == sorted(western.decode("cp1252").split("\n"))
+    assert len(got["late.txt"]) == 61 and "é" in got["late.txt"] and not set(got["late.txt"]) & set(lines)
+    for name in got:
+        whole = readers.decode_text_files(spark, f"{tmp_path}/{name}").first()["text"]
+        assert sorted(whole.split("\n")) == sorted(got[name])
+
+
+def test_western_csv_with_an_accented_header(spark, tmp_path, small_ranges):
+    rows = [[f"é{k}", "zwei\nZeilen ß"] for k in range(20)]
+    (tmp_path / "a.csv").write_bytes(written([["clé", "größe"], *rows]).encode("cp1252"))
+    small_ranges(32)
+    got = readers.read_csv_strings(spark, f"{tmp_path}/a.csv")
+    assert got.columns == ["clé", "größe"] and rows_of(got) == sorted(map(tuple, rows))
