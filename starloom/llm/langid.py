@@ -6,7 +6,8 @@ descent in numpy over a bounded sample; a tenth of it is kept back to fit the te
 score below which a prediction is rejected. Averaging is linear, so scoring adds each bucket's logits.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and rejected; texts of any length
-are read whole; without a sample every text is ``und``. All columns of the input stay.
+are read whole; of languages with equal scores the first by name wins; rows that repeat get the same answer each (in the sample
+an id counts once per text); without a sample every text is ``und``; an empty table has no rows. All columns of the input stay.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from starloom.llm.common import bounded_sample, filled, fold_of
+from starloom.llm.common import bounded_sample, filled, fold_of, mix
 
 SAMPLE = 3_000
 BUCKETS = 1 << 16
@@ -32,14 +33,33 @@ REMEMBERED = 300_000
 UNKNOWN = "und"
 
 
-def buckets_of(piece: str) -> list[int]:
-    """Hashed subwords of the words in a run of characters."""
-    out = []
-    for word in LETTERS.findall(piece):
-        marked = f"<{word}>"
-        parts = [marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))]
-        out += [zlib.crc32(p.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for p in parts]
-    return out
+def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed subwords of words (runs of letters): buckets, and the place of the word that each belongs to."""
+    marked = [f"<{w}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    owner = np.repeat(np.arange(len(marked)), lengths)
+    whole = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in marked), np.int64, len(marked))
+    buckets, owners = [whole & (BUCKETS - 1)], [np.arange(len(marked))]
+    for n in GRAMS:
+        inside = np.flatnonzero(np.arange(len(codes)) + n <= ends)
+        value = np.full(len(inside), n, np.uint64)
+        for k in range(n):
+            value = value * np.uint64(0x100000001B3) + codes[inside + k]
+        buckets.append((mix(value) & np.uint64(BUCKETS - 1)).astype(np.int64))
+        owners.append(owner[inside])
+    return np.concatenate(buckets), np.concatenate(owners)
+
+
+def bag_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's buckets, ascending, and how often each occurs."""
+    counts = Counter(w for w in LETTERS.findall(text.lower()))
+    buckets, owners = buckets_of(list(counts))
+    often = np.fromiter(counts.values(), np.int64, len(counts))[owners]
+    total = np.bincount(buckets, often, BUCKETS).astype(np.int64)
+    at = np.flatnonzero(total)
+    return at, total[at]
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -60,31 +80,39 @@ class LanguageModel:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.sums = np.zeros((0, len(self.names) + 1), np.float32)
+        self.sums = np.zeros((1 << 14, len(self.names) + 1))  # logits of each known run, and its number of subwords
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember the sums of runs of characters; the room for them doubles."""
+        first = len(self.known)
+        self.known.update(zip(new, range(first, first + len(new)), strict=True))
+        while len(self.sums) < len(self.known):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        found = [LETTERS.findall(piece) for piece in new]
+        buckets, owners = buckets_of([w for f in found for w in f])
+        owners = np.repeat(np.arange(len(new)), np.fromiter(map(len, found), np.int64, len(new)))[owners]
+        for k in range(len(self.names)):
+            self.sums[first : first + len(new), k] = np.bincount(owners, self.logits[buckets, k], len(new))
+        self.sums[first : first + len(new), -1] = np.bincount(owners, minlength=len(new))
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether the score is too low to be trusted."""
+        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        if not self.names:
+            return names, scores, scores < self.threshold
         if len(self.known) > REMEMBERED:
             self._forget()
         found = [t.lower().split() for t in texts]
-        new = list({p for f in found for p in f}.difference(self.known))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        sums = np.zeros((len(new), len(self.names) + 1), np.float32)
-        for k, piece in enumerate(new):
-            at = buckets_of(piece)
-            if at:
-                sums[k, :-1], sums[k, -1] = self.logits[at].sum(0), len(at)
-        self.sums = np.concatenate([self.sums, sums])
-        names, scores = [], np.zeros(len(texts))
-        for i, pieces in enumerate(found):
-            total = self.sums[np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))].sum(0, dtype=float)
-            if not self.names or not total[-1]:
-                names.append(UNKNOWN)
-                continue
-            shares = softmax((total[:-1] / total[-1] + self.bias) / self.temperature)
-            best = int(shares.argmax())
-            names.append(self.names[best])
-            scores[i] = shares[best]
+        pieces = [p for f in found for p in f]
+        self._learn(list(set(pieces).difference(self.known)))
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        some = np.flatnonzero([len(f) for f in found])
+        starts = np.cumsum([0, *map(len, found)])[some]
+        total = np.add.reduceat(self.sums[at], starts, 0) if len(some) else np.zeros((0, len(self.names) + 1))
+        some, total = some[total[:, -1] > 0], total[total[:, -1] > 0]
+        shares = softmax((total[:, :-1] / total[:, -1:] + self.bias) / self.temperature)
+        for i, k, share in zip(some.tolist(), shares.argmax(1).tolist(), shares.max(1), strict=True):
+            names[i], scores[i] = self.names[k], share
         return names, scores, scores < self.threshold
 
 
@@ -144,14 +172,7 @@ def fit(docs: DataFrame, bound: int = SAMPLE, text: str = "text") -> LanguageMod
 
     def bagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            packed = []
-            for t in filled(batch["text"]):
-                bag = Counter()
-                for piece, n in Counter(t.lower().split()).items():
-                    for b in buckets_of(piece):
-                        bag[b] += n
-                at = np.array(sorted(bag), "<u4")
-                packed.append(at.tobytes() + np.array([bag[b] for b in at.tolist()], "<u4").tobytes())
+            packed = [b"".join(x.astype("<u4").tobytes() for x in bag_of(t)) for t in filled(batch["text"])]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype(str), "bag": packed, "lang": batch["lang"]})
 
     got = rows.mapInPandas(bagged, "doc_id string, bag binary, lang string").orderBy("doc_id", "bag").limit(bound).collect()

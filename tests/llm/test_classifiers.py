@@ -124,3 +124,26 @@ def test_odd_rows_and_missing_labels(spark, odd, odd_rows, empty, no_labels):
     assert len(named) == len(odd_rows) and {r["value"]["lang_pred"] for r in named} == {"xx", "und"}
     assert langid.identify_language(empty).count() == 0
     assert {r["language"]["lang_pred"] for r in langid.identify_language(odd, empty).collect()} == {"und"}
+
+
+def test_language_scores_equal_a_plain_sum():
+    """Batched, remembered sums against one pass over the subwords of each text."""
+    rng = np.random.default_rng(3)
+    model = langid.LanguageModel(["a", "b", "c"], rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32), rng.normal(size=3), 0.7, 0.4)
+    texts = ["Ärger über alles, 12ab-cd!", "", "...", "один два два", "word " * 50, "x", "𝔞𝔟 mixed", "word"] * 3
+    for _ in range(2):
+        names, scores, low = model.predict(texts)
+        for text, name, score in zip(texts, names, scores, strict=True):
+            total, n = np.zeros(3), 0
+            for word in langid.LETTERS.findall(text.lower()):
+                at, _ = langid.buckets_of([word])
+                assert len(at) == 1 + sum(max(len(word) + 3 - g, 0) for g in langid.GRAMS)
+                total, n = total + model.logits[at].sum(0, dtype=float), n + len(at)
+            if not n:
+                assert (name, score) == ("und", 0.0)
+                continue
+            shares = langid.softmax((total / n + model.bias) / model.temperature)
+            assert name == model.names[int(shares.argmax())] and abs(score - shares.max()) < 1e-6
+            at, often = langid.bag_of(text)
+            assert often.sum() == n
+    assert (low == (scores < 0.4)).all()
