@@ -7,13 +7,14 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starloom.llm import bpe, decontaminate, near_dedup, pii, queries, toxicity
 from starloom.llm.common import table
-from starloom.session import scratch_path
+from starloom.session import delete_folder, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOXIC = 0.5
@@ -21,8 +22,9 @@ TOXIC = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below TOXIC; learns from the labelled ones among all documents."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), into="_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).drop("_toxicity")
+    score = f"toxicity_{uuid.uuid4().hex}"  # a name that no column has
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), into=score)
+    return scored.where(F.col(score) < TOXIC).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE ids (packed, little-endian) and token counts of the documents that are left, with the decoded text."""
-    return bpe.encode_texts(docs, queries.vocabulary_path(), into="bpe").select(*docs.columns, "bpe.*")
+    into = f"bpe_{uuid.uuid4().hex}"
+    coded = bpe.encode_texts(docs, queries.vocabulary_path(), into=into)
+    new = ("n_tokens", "ids", "decoded")  # replace columns of these names
+    return coded.select(*[c for c in docs.columns if c not in new], *[F.col(f"{into}.{c}").alias(c) for c in new])
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -59,10 +64,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is stored as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is stored as Parquet and read again, then the one before it is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete_folder(spark, before)
+        before = path
     return docs
