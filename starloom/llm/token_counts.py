@@ -8,11 +8,13 @@ counts of a document's sections and of its unassigned tokens add up to the token
 
 Defined cases: a null or empty text is one empty line without tokens; texts of any length are encoded whole;
 sections must be sorted and must not overlap; tokens outside all sections, and those of documents without sections,
-are unassigned; a token that holds part of a character counts as holding it. All columns of the input stay.
+are unassigned; a token that holds part of a character counts as holding it; rows that repeat are counted each; an empty table has
+no rows. All columns of the input stay.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,9 @@ from starloom.llm.bpe import Encoder, Shared
 from starloom.llm.common import filled
 
 RULES = ("most", "first", "last")
-RESULT = "struct<n_tokens:long,unassigned:long,sections:array<struct<start:int,end:int,n_tokens:long,n_crossing:long>>>"
+FIELDS = {"start": "int", "end": "int", "n_tokens": "long", "n_crossing": "long"}  # of a section
+FLAT = ["total", "unassigned", *FIELDS]
+FOUND = "struct<total:long,unassigned:long," + ",".join(f"{name}:array<{kind}>" for name, kind in FIELDS.items()) + ">"
 
 
 def line_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +66,8 @@ def attribute(first: np.ndarray, end: np.ndarray, starts: np.ndarray, ends: np.n
     return at, (at >= 0) & ((starts[chosen] > first) | (ends[chosen] < end))
 
 
-def count(encoder: Encoder, texts: list[str], sections: list | None, rule: str) -> Iterator[dict]:
+def count(encoder: Encoder, texts: list[str], sections: list | None, rule: str) -> Iterator[tuple]:
+    """For each text its tokens, the unassigned ones, and one array for each of ``FIELDS``."""
     units: list[list[np.ndarray]] = [[] for _ in texts]
     for i, ids in encoder.encode(texts):
         units[i].append(ids)
@@ -81,10 +86,7 @@ def count(encoder: Encoder, texts: list[str], sections: list | None, rule: str)
             at, across = attribute(first, end, starts, ends, rule)
             n = np.bincount(at[at >= 0], minlength=len(starts))
             crossing = np.bincount(at[across], minlength=len(starts))
-        yield {
-            "n_tokens": len(ids), "unassigned": len(ids) - int(n.sum()),
-            "sections": [dict(zip(("start", "end", "n_tokens", "n_crossing"), map(int, x), strict=True)) for x in zip(starts, ends, n, crossing, strict=True)],
-        }
+        yield len(ids), len(ids) - int(n.sum()), starts, ends, n, crossing
 
 
 def with_token_counts(docs: DataFrame, path: str, text: str = "text", sections: str | None = None, rule: str = "most", into: str = "tokens") -> DataFrame:
@@ -103,15 +105,20 @@ def with_token_counts(docs: DataFrame, path: str, text: str = "text", sections:
             for start in range(0, len(own), 256):
                 part = given[0].iloc[start : start + 256].tolist() if given else None
                 out += count(encoder, own[start : start + 256], part, rule)
-            yield pd.DataFrame(out, columns=["n_tokens", "unassigned", "sections"])
+            yield pd.DataFrame(out, columns=FLAT)
 
-    @F.pandas_udf(RESULT)
+    @F.pandas_udf(FOUND)
     def by_line(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from answer((one,) for one in batches)
 
-    @F.pandas_udf(RESULT)
+    @F.pandas_udf(FOUND)
     def by_section(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         yield from answer(batches)
 
     made: Column = by_line(F.col(text)) if sections is None else by_section(F.col(text), F.col(sections))
-    return docs.withColumn(into, made)
+    flat = f"flat_{uuid.uuid4().hex}"  # a name that no column has
+    zipped = F.arrays_zip(*[F.col(f"{flat}.{name}").alias(name) for name in FIELDS])
+    each = F.transform(zipped, lambda s: F.struct(*[s[name].alias(name) for name in FIELDS]))
+    counted = F.struct(F.col(f"{flat}.total").alias("n_tokens"), F.col(f"{flat}.unassigned").alias("unassigned"), each.alias("sections"))
+    columns = [c for c in docs.columns if c != into]
+    return docs.withColumn(flat, made).select(*[F.col(f"`{c}`") for c in columns], counted.alias(into))
