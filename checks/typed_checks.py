@@ -10,7 +10,7 @@ from starloom.functions import values
 from starloom.operators import profile, typed
 from starloom.session import scratch_path
 from starloom.sources.ingest import land
-from starloom.sources.writers import compact
+from starloom.sources.writers import compact, pack_small_files
 
 KEYS = "l_orderkey, l_linenumber"
 
@@ -207,6 +207,21 @@ def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact(spark, source, target, 2, ["user_id"], "event_id")
 
 
+@check(
+    "J12_pack_small_files",
+    "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, 1 AS files FROM events GROUP BY event_type",
+)
+def j12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every partition folder of many small files becomes one file with the same rows."""
+    path = scratch_path(spark, "small-files")
+    table(spark, sf_dir, "events").select("event_type", "event_id").repartition(8).write.partitionBy("event_type").parquet(path)
+    pack_small_files(spark, path)
+    packed = spark.read.parquet(path)
+    return packed.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.count_distinct("_metadata.file_path").cast("int").alias("files")
+    )
+
+
 @check(
     "J13_reconcile_counts",
     """SELECT 'orders' AS target_table, count(*) AS source_count, count(*) AS target_count, true AS counts_match, 'success' AS status FROM orders
