@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from starloom.llm import components, decontaminate, fingerprints, near_dedup, passages
 from starloom.llm.align import best_match, edit_distance, similarity
@@ -205,6 +206,34 @@ def test_fingerprints_of_edited_texts(spark, odd_rows, corpus):
         assert got[i]["near_edited"] == fingerprints.likeness_of(marks[0], marks[1]) and got[i]["near_next"] == fingerprints.likeness_of(marks[0], marks[2])
 
 
+def plain_minhash(text):
+    """Signature by Python's integers, one shingle and one function at a time."""
+    whole = (1 << 64) - 1
+
+    def spread(x):
+        for _ in range(2):
+            x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & whole
+        return x ^ (x >> 32)
+
+    found = re.findall(r"\w+", text.lower()) or (["".join(text.split())] if text.strip() else [])
+    hashed = [xxhash.xxh3_64_intdigest(w.encode()) for w in found]
+    take, grams = min(5, len(hashed)), set()
+    for k in range(len(hashed) - take + 1 if hashed else 0):
+        value = hashed[k]
+        for h in hashed[k + 1 : k + take]:
+            value = (value * 0x9E3779B97F4A7C15 + h) & whole
+        grams.add(spread((value + take) & whole))
+    functions = zip(fingerprints.FACTORS.tolist(), fingerprints.OFFSETS.tolist(), strict=True)
+    return "".join(f"{spread(min((g * f + o) & whole for g in grams)) >> 48:04x}" for f, o in functions) if grams else ""
+
+
+def test_fingerprints_equal_plain_minhash(odd_rows, corpus):
+    hashes = WordHashes()
+    texts = [t or "" for _, t in odd_rows if len(t or "") < 2000] + [t for _, t in corpus[:25]]
+    for text, mark in zip(texts, fingerprints.signatures(texts, hashes), strict=True):
+        assert fingerprints.written(mark) == plain_minhash(text)
+
+
 def test_one_document_follows_itself(spark, empty):
     row = fingerprints.with_edits(spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")).first()
     assert row["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and row["near_next"] == 1.0
