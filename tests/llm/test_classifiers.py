@@ -147,3 +147,17 @@ def test_language_scores_equal_a_plain_sum():
             at, often = langid.bag_of(text)
             assert often.sum() == n
     assert (low == (scores < 0.4)).all()
+
+
+def test_toxicity_score_equals_the_sum_over_pairs():
+    """The factorised pair term against an explicit sum over all pairs of active terms."""
+    rng = np.random.default_rng(4)
+    texts = ["some plain words", "insult group mention insult", "Other, words!", ""]
+    terms = np.unique([t for text in texts[:3] for piece in text.lower().split() for t in toxicity.hashed_terms(piece)])
+    model = toxicity.FactorizationMachine(terms, 0.3, rng.normal(size=len(terms)), rng.normal(size=(len(terms), toxicity.FACTORS)))
+    for text, score in zip(texts, model.scores(texts), strict=True):
+        active = sorted({int(np.searchsorted(terms, t)) for piece in text.lower().split() for t in toxicity.hashed_terms(piece) if t in terms})
+        raw = 0.3 + sum(model.weights[i] for i in active)
+        raw += sum(float(model.factors[i] @ model.factors[j]) for k, i in enumerate(active) for j in active[k + 1 :])
+        assert abs(score - 1 / (1 + np.exp(-raw))) < 1e-9
+    assert model.active("unknown") == [] and model.raw([]) == 0.3
