@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starloom.llm.align import similarity
@@ -48,7 +47,7 @@ BITS = 512
 SLOTS = 1 << 16
 PART = 4096
 WIDE = 8  # a band of lengths spans this power of 5/4
-MARKS = 1 << 24
+MARKS = 1 << 20
 _RANDOM = np.random.default_rng(20240601)
 FACTORS = _RANDOM.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RANDOM.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -183,21 +182,13 @@ def allowed(pairs: DataFrame, light: DataFrame) -> DataFrame:
 def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text) of wanted nodes (node, id, mark) from rows (id, mark, text).
 
-    The wanted ids are marked in a table of ``MARKS`` bits, so most other texts are not shuffled (were it full, all would be).
+    The hashed places of the wanted ids, ``MARKS`` at most, are broadcast first, so most other texts are not shuffled (were all places
+    taken, all would be, and the join alone would decide).
     """
-    place = F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("int")
-    marked = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at"))
-    words = marked.agg(F.bit_or(F.expr("shiftleft(1L, place & 63)")).alias("bits")).toPandas()
-    marks = np.zeros(MARKS // 64, np.int64)
-    marks[words["at"]] = words["bits"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(3).fill_null(0).to_numpy()
-            yield batch.select([0, 1, 2]).filter(pa.array((marks[at >> 6] >> (at & 63)) & 1 == 1))
-
-    found = rows.select("id", "mark", "text", place.alias("place")).mapInArrow(run, rows.select("id", "mark", "text").schema)
-    return cut_lineage(found.join(wanted, ["id", "mark"]).groupBy("node").agg(F.min("text").alias("text")))
+    place = F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("int").alias("place")
+    places = wanted.select(place).distinct()
+    near = rows.select("id", "mark", "text", place).join(F.broadcast(places), "place", "left_semi")
+    return cut_lineage(near.join(wanted, ["id", "mark"]).groupBy("node").agg(F.min("text").alias("text")))
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
