@@ -386,6 +386,33 @@ def test_compact_windows_hold_every_range(make):
                 assert any(hashed[w[0]] == hashed[c] and w[1] <= low and high - 1 <= w[2] for w in found if low <= w[0] < high)
 
 
+def test_windows_that_do_not_fit_the_first_meet_others(spark):
+    def window(token, doc, place, left, right):
+        return token, doc, int(passages.packed(*map(np.int64, (place, place - left, place + right))))
+
+    rows = [window(7, 1, 50, 50, 0), *[window(7, d, 0, 0, 60) for d in (2, 3, 4)]]  # the first ends where the others begin
+    rows += [window(8, 1, p, 60, 60) for p in (100, 300, 500)] + [window(8, 2, 70, 60, 60)]  # repeats of one document
+    rows += [window(9, 5, p, 60, 60) for p in (100, 300)]  # a token of one document only
+    for size in (10_000, 2):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found = passages.links(spark.createDataFrame(rows, "key long, id long, w long")).distinct().collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(map(tuple, found)) == [(2, 70, 1, 100), (2, 70, 1, 300), (2, 70, 1, 500), (3, 0, 2, 0), (4, 0, 2, 0)]
+
+
+def test_passages_do_not_depend_on_the_layout(spark, make):
+    rng = random.Random(31)
+    shared = [make(rng, 70) for _ in range(3)]
+    rows = [(k, " ".join([make(rng, 20), shared[k % 3], make(rng, 40), shared[k % 2], make(rng, 10)])) for k in range(24)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    one, *others = (sorted(map(tuple, passages.repeated_passages(frame.repartition(n)).collect())) for n in (1, 4, 16))
+    assert one and others == [one, one]
+    twice = spark.createDataFrame([(1, " ".join([shared[0], make(rng, 60), shared[0]])), (2, shared[0])], "doc_id long, text string")
+    assert {(r["doc_id"], r["start"], r["other_id"], r["other_start"]) for r in passages.repeated_passages(twice).collect()} == {(2, 0, 1, 0), (2, 0, 1, 130)}
+
+
 def test_passages_of_odd_rows(odd, empty):
     rows = passages.repeated_passages(odd).collect()
     assert {(r["doc_id"], r["other_id"]) for r in rows} == {(8, 7), (9, 7)}
