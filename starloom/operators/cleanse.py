@@ -308,11 +308,14 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     def every(c: str, holds: Column) -> Column:
         return F.coalesce(F.bool_and(F.col(c).isNull() | holds), F.lit(False)) & (F.count(F.col(c)) > 0)
 
-    tests = {
+    def whole(c: str) -> Column:
+        return F.col(c).rlike("^[+-]?[0-9]+$")
+
+    tests = {  # casts of other texts fail slowly, and count only where all are whole numbers
         "double": lambda c: to_double(F.col(c)).isNotNull(),
-        "whole": lambda c: F.col(c).rlike("^[+-]?[0-9]+$"),
-        "bigint": lambda c: F.col(c).try_cast("bigint").isNotNull(),
-        "decimal(38,0)": lambda c: F.col(c).try_cast("decimal(38,0)").isNotNull(),
+        "whole": whole,
+        "bigint": lambda c: whole(c) & F.col(c).try_cast("bigint").isNotNull(),
+        "decimal(38,0)": lambda c: whole(c) & F.col(c).try_cast("decimal(38,0)").isNotNull(),
     }
     found = cleaned.agg(*[every(c, test(c)).alias(f"{kind} {c}") for c in names for kind, test in tests.items()]).first().asDict()
     changed = {}
