@@ -115,7 +115,9 @@ def with_token_counts(docs: DataFrame, path: str, text: str = "text", sections:
     def by_section(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         yield from answer(batches)
 
-    made: Column = by_line(F.col(text)) if sections is None else by_section(F.col(text), F.col(sections))
+    # not deterministic for the planner: else a filter on the sections (explode adds one) would count all texts a second time
+    counter = (by_line if sections is None else by_section).asNondeterministic()
+    made: Column = counter(F.col(text)) if sections is None else counter(F.col(text), F.col(sections))
     flat = f"flat_{uuid.uuid4().hex}"  # a name that no column has
     zipped = F.arrays_zip(*[F.col(f"{flat}.{name}").alias(name) for name in FIELDS])
     each = F.transform(zipped, lambda s: F.struct(*[s[name].alias(name) for name in FIELDS]))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from starloom.llm import bpe, token_counts
@@ -111,3 +112,11 @@ def test_given_sections_and_wrong_rule(spark, vocabulary):
     assert (rows[2]["n_tokens"], rows[2]["unassigned"]) == (1, 1) and rows[3]["n_tokens"] == 0
     with pytest.raises(ValueError):
         token_counts.with_token_counts(docs, vocabulary, rule="half")
+
+
+def test_a_filter_on_the_sections_counts_no_text_twice(spark, vocabulary):
+    docs = spark.createDataFrame([(1, "one two\nthree")], "doc_id long, text string")
+    counted = token_counts.with_token_counts(docs, vocabulary)
+    lines = counted.select("doc_id", F.explode("tokens.sections").alias("s")).where("s.n_tokens > 0")
+    assert lines._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert lines.count() == 2
