@@ -5,7 +5,7 @@ A text's set holds the distinct runs of ``SHINGLE`` words. Two sets link when th
 1. Grams are counted per hash bucket (a table of ``BUCKETS`` numbers, whatever the size of the data). The counts give one
    order of all grams, rare ones first. Any order gives the same links; this one keeps common passages out of the prefixes.
 2. Texts of equal sets are one node. A node keeps its rarest grams, so many that linked sets must share one of them, and a
-   bitmap: each gram flips one of ``BITS`` bits.
+   bitmap: each gram flips one of ``BITS`` to ``MOST_BITS`` bits, more for larger sets (a full bitmap proves nothing).
 3. Tiles: nodes of one band of set sizes that keep the same gram. Bands are wide and a node enters the next one if sets of
    linkable size lie there. Tiles of grams that may be frequent (by their bucket's count) are split into parts of
    about ``PART`` nodes, and the parts' first nodes form the tile again.
@@ -41,6 +41,7 @@ SHINGLE = 5
 SHARE = (4, 5)  # a Jaccard similarity of four fifths
 BUCKETS = 1 << 18
 BITS = 512
+MOST_BITS = 4096
 PART = 4096
 MARKS = 1 << 24
 WIDE = 8  # a band of sizes spans this power of 5/4
@@ -146,6 +147,13 @@ def key_of(found: np.ndarray) -> bytes | None:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """64-bit numbers of one to two bits a gram, within ``BITS`` and ``MOST_BITS``. The two halves of a bitmap make the one of half its bits."""
+    bits = min(max(1 << (len(found) - 1).bit_length(), BITS), MOST_BITS) if len(found) else BITS
+    flips = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(bool)).view(np.int64)
+
+
 def described(rows: DataFrame, counts: np.ndarray) -> DataFrame:
     """(id, key, n, grams, parts, bits) of rows (id, text): kept grams, into how many parts their tiles go, and the bitmap."""
     ranks = np.empty(BUCKETS, np.uint32)
@@ -167,8 +175,7 @@ def described(rows: DataFrame, counts: np.ndarray) -> DataFrame:
                 rare = np.argsort(ranks[bucket], kind="stable")[: kept_of(len(found))] if len(found) else bucket
                 grams.append(found[rare].view(np.int64))
                 parts.append(parts_of[bucket[rare]])
-                flips = np.bincount((found & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-                bits.append(np.packbits(flips.astype(bool)).view(np.int64))
+                bits.append(bitmap(found))
             columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32())]
             columns += [lists(grams, pa.int64()).slice(1), lists(parts, pa.int32()).slice(1), lists(bits, pa.int64()).slice(1)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n", "grams", "parts", "bits"])
@@ -197,9 +204,20 @@ def tiles(nodes: DataFrame) -> DataFrame:
     return whole.unionByName(led.where("split and many").select("tile", "leader", "node", "over")).unionByName(again)
 
 
+def differing(a: Column, b: Column) -> Column:
+    """Bits in which two bitmaps differ; if one has twice the other's, its halves are laid over each other first."""
+    size = F.least(F.size(a), F.size(b))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    one, other = (F.when(F.size(x) > size, F.zip_with(F.slice(x, 1, size), F.slice(x, size + 1, size), xor)).otherwise(x) for x in (a, b))
+    return F.aggregate(F.zip_with(one, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x.cast("int"))
+
+
 def may_link(n: Column, m: Column, a: Column, b: Column) -> Column:
-    """False where sizes or bitmaps prove that two sets are too unlike: 2 · overlap is at most n + m - differing bits."""
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x.cast("int"))
+    """False where sizes or bitmaps prove that two sets are too unlike: 2 · overlap is at most n + m - differing bits.
+
+    Sets whose sizes may link have bitmaps of one width, or one has twice the other's.
+    """
+    differ = differing(a, b)
     low, high = SHARE
     sizes = (F.least(n, m) * high >= F.greatest(n, m) * low)
     return sizes & ((n + m - differ) * (low + high) >= 2 * low * (n + m))

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from starloom.llm import ngram_join
 
@@ -136,3 +137,15 @@ def test_linked_sets_share_enough_kept_grams(spark):
     assert len(rows) > 1000
     found = spark.createDataFrame(rows, "n int, m int, shared int")
     assert found.where(~ngram_join.enough_kept(F.col("n"), F.col("m"), F.col("shared"))).count() == 0
+
+
+def test_bitmaps_of_large_sets(spark):
+    rng, pairs = np.random.default_rng(36), []
+    for n in (300, 511, 900, 1000, 1024, 3000, 4000, 8000):
+        x = rng.integers(0, 1 << 62, 2 * n, dtype=np.uint64)
+        pairs += [(True, x[:n], x[: n + n // 4]), (True, x[n // 9 : n], x[: n]), (False, x[:n], x[n:])]
+    rows = [(k, len(x), ngram_join.bitmap(x).tolist(), len(y), ngram_join.bitmap(y).tolist()) for k, (_, x, y) in enumerate(pairs)]
+    frame = spark.createDataFrame(rows, "k int, n int, a array<long>, m int, b array<long>")
+    may = frame.select("k", ngram_join.may_link(F.col("n"), F.col("m"), F.col("a"), F.col("b")).alias("may")).orderBy("k")
+    assert [r["may"] for r in may.collect()] == [linked for linked, *_ in pairs]
+    assert any(len(r[2]) != len(r[4]) for r in rows)
