@@ -14,7 +14,7 @@ when 1 - edit distance / longer length is at least ``SIMILARITY`` in words. Link
 
 Before any alignment a pair must pass a bound: each edit changes at most two words of the two multisets of words, each differing bit
 of two bitmaps stands for a word of one text only, so more differing bits than twice the allowed edits prove a pair unlike. In the last step the
-bound is part of the join, so buckets full of unlike texts (a common passage) make few pairs.
+bound is part of the join, with bitmaps that are wider for longer texts, so buckets full of unlike texts (a common passage) make few pairs.
 
 Defined cases: null texts, texts without a word and rows without an id stay in classes of their own; texts of
 any length are read whole; a text of fewer than three words has one k-mer; rows that repeat an id and a text are
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from starloom.llm.align import similarity
 from starloom.llm.common import WordHashes, filled, mix, shingles
 from starloom.llm.components import components
-from starloom.llm.ngram_join import mixed, ordered
+from starloom.llm.ngram_join import differing, mixed, ordered
 from starloom.session import cut_lineage, discard
 
 SHINGLE = 3
@@ -44,6 +44,7 @@ SKETCHES = 40
 PICK = 2
 SHORT = 32  # texts of so many words are sketched by pairs of words too
 BITS = 512
+MOST_BITS = 4096
 SLOTS = 1 << 16
 PART = 4096
 WIDE = 8  # a band of lengths spans this power of 5/4
@@ -97,24 +98,32 @@ def key_of(found: np.ndarray) -> bytes | None:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
 
 
-def bitmap(found: np.ndarray) -> np.ndarray:
-    """Eight 64-bit numbers: one of ``BITS`` bits flips for each labelled word."""
-    flips = np.bincount((labelled(mix(found)) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+def bitmap(found: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """64-bit numbers: one of ``bits`` bits flips for each labelled word. The two halves of a bitmap make the one of half its bits."""
+    flips = np.bincount((labelled(mix(found)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(bool)).view(np.int64)
 
 
+def wide_bitmap(found: np.ndarray) -> np.ndarray:
+    """A bitmap of four to eight bits a word, within ``BITS`` and ``MOST_BITS``."""
+    return bitmap(found, min(max(1 << (4 * len(found) - 1).bit_length(), BITS), MOST_BITS))
+
+
 def sketch(text: Column) -> Column:
-    """Struct of the text key (null without words), the number of words, the sketch values and the bitmap."""
+    """Struct of the text key (null without words), the number of words, the sketch values and the bitmap, also wide."""
 
-    @F.pandas_udf("key binary, n int, values array<long>, bits array<long>")
+    @F.pandas_udf("key binary, n int, values array<long>, bits array<long>, wide array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for texts in batches:
             rows = []
             for found in hashes.of(filled(texts)):
-                some = len(found) > 0
-                rows.append((key_of(found), len(found), sketches(found).view(np.int64) if some else None, bitmap(found) if some else None))
-            yield pd.DataFrame(rows, columns=["key", "n", "values", "bits"])
+                if not len(found):
+                    rows.append((None, 0, None, None, None))
+                    continue
+                wide = wide_bitmap(found)
+                rows.append((key_of(found), len(found), sketches(found).view(np.int64), np.bitwise_xor.reduce(wide.reshape(-1, BITS // 64), 0), wide))
+            yield pd.DataFrame(rows, columns=["key", "n", "values", "bits", "wide"])
 
     return run(text)
 
@@ -124,12 +133,13 @@ def aligned(a: Column, b: Column, least: float) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        hashes, other = WordHashes(), WordHashes()
+        hashes = WordHashes()
         for left, right in batches:
-            pairs = zip(hashes.of(filled(left)), other.of(filled(right)), strict=True)
+            pairs = zip(hashes.of(filled(left)), hashes.of(filled(right)), strict=True)
             yield pd.Series([similarity(x.tolist(), y.tolist(), least) for x, y in pairs], dtype=float)
 
-    return run(a, b)
+    # not deterministic for the planner: else a filter on the result is moved below it and aligns a second time, in more workers
+    return run.asNondeterministic()(a, b)
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -162,6 +172,16 @@ def may_link(n: Column, m: Column, a: list[Column], b: list[Column]) -> Column:
     return (longer - F.least(n, m) <= edits) & (differ <= 2 * edits)
 
 
+def wide_may_link(n: Column, m: Column, a: Column, b: Column) -> Column:
+    """False where the wide bitmaps prove a pair unlike that ``may_link`` allows.
+
+    Edits that make up for different lengths change one word only. Texts that may link have bitmaps of one size or one twice the other's.
+    """
+    longer = F.greatest(n, m)
+    edits = F.floor(longer * (1 - SIMILARITY) + 1e-9)
+    return differing(a, b) <= 2 * edits - (longer - F.least(n, m))
+
+
 BITMAP = [f"b{k}" for k in range(BITS // 64)]
 
 
@@ -206,9 +226,10 @@ def confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
 def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(leader, node, similarity): so many links that their components are those of all links between texts that share a bucket.
 
-    ``rows``: id, mark, text; ``nodes``: node, id, mark, n, values, bits.
+    ``rows``: id, mark, text; ``nodes``: node, id, mark, n, values, bits, wide.
     """
-    light = nodes.select("node", "n", *[F.col("bits")[k].alias(b) for k, b in enumerate(BITMAP)])
+    narrow = [F.col("bits")[k].alias(b) for k, b in enumerate(BITMAP)]
+    light = nodes.select("node", "n", *narrow)
     found = buckets(nodes)
     members = cut_lineage(found.select("tile", "node").distinct())
     first = allowed(found.where("leader < node").select("leader", "node").distinct(), light)
@@ -226,10 +247,13 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     second = cut_lineage(allowed(ordered(pairs), light).join(tried, ["leader", "node"], "left_anti"))
     known = cut_lineage(known.unionByName(confirmed(second, rows, nodes)))
 
-    last = cut_lineage(mixed(rest.select("tile", "node"), components(known, "leader", "node")).join(light, "node"))
+    held = rest.groupBy("node").agg(F.collect_list("tile").alias("tiles")).join(nodes.select("node", "n", *narrow, "wide"), "node")
+    last = mixed(rest.select("tile", "node"), held.join(components(known, "leader", "node"), "node", "left"))
     pairs = sided(last, "x").join(sided(last, "y"), F.col("x_tile") == F.col("y_tile"))
-    pairs = pairs.where((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & fits("x", "y"))
-    pairs = pairs.select(F.col("x_node").alias("leader"), F.col("y_node").alias("node")).distinct()
+    once = F.array_min(F.array_intersect("x_tiles", "y_tiles")) == F.col("x_tile")
+    wide = wide_may_link(F.col("x_n"), F.col("y_n"), F.col("x_wide"), F.col("y_wide"))
+    pairs = pairs.where((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & fits("x", "y") & once & wide)
+    pairs = pairs.select(F.col("x_node").alias("leader"), F.col("y_node").alias("node"))
     third = cut_lineage(pairs.join(tried.unionByName(second), ["leader", "node"], "left_anti"))
     known = cut_lineage(known.unionByName(confirmed(third, rows, nodes)))
     discard(members, tried, rest, second, last, third)
@@ -242,7 +266,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     each = cut_lineage(rows.withColumn("_s", sketch(F.col("text"))).select("id", "mark", "_s.*"))
     own = cut_lineage(each.select("id", "mark", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")))
     folded = each.where("key is not null and id is not null").groupBy("key").agg(
-        F.min(F.struct("id", "mark")).alias("first"), F.first(F.struct("n", "values", "bits")).alias("s")
+        F.min(F.struct("id", "mark")).alias("first"), F.first(F.struct("n", "values", "bits", "wide")).alias("s")
     )
     nodes = cut_lineage(folded.select(F.monotonically_increasing_id().alias("node"), "key", "first.*", "s.*"))
     discard(each)

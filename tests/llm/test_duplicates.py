@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from starloom.llm import components, decontaminate, fingerprints, near_dedup, passages
 from starloom.llm.align import best_match, edit_distance, similarity
@@ -155,6 +156,43 @@ def test_bitmaps_reject_no_link(make):
             assert differ <= 2 * int(max(len(a), len(b)) * 0.2 + 1e-9)
 
 
+def bounds(spark, pairs):
+    """(may_link, wide_may_link) of pairs of word lists."""
+    hashes, rows = WordHashes(), []
+    for a, b in pairs:
+        sides = [[len(h), near_dedup.bitmap(h).tolist(), near_dedup.wide_bitmap(h).tolist()] for h in (hashes(a), hashes(b))]
+        rows.append((len(rows), *sides[0], *sides[1]))
+    frame = spark.createDataFrame(rows, "k int, n int, a array<long>, wa array<long>, m int, b array<long>, wb array<long>")
+    a, b = ([F.col(c)[i] for i in range(near_dedup.BITS // 64)] for c in "ab")
+    loose = near_dedup.may_link(F.col("n"), F.col("m"), a, b)
+    wide = near_dedup.wide_may_link(F.col("n"), F.col("m"), F.col("wa"), F.col("wb"))
+    return [(r["loose"], r["wide"]) for r in frame.select("k", loose.alias("loose"), wide.alias("wide")).orderBy("k").collect()]
+
+
+def test_wide_bitmaps_reject_no_link(spark, make):
+    rng, pairs = random.Random(17), []
+    for n in [rng.randint(3, 90) for _ in range(150)] + [255, 256, 257, 270, 500, 513, 1000, 1100]:
+        a = make(rng, n).split()
+        pairs += [(a, edited(rng, a, rng.randint(0, n // 4))), (a, a[: int(n * 0.8) + 1]), (a[: int(n * 0.8) + 1], a)]
+    linked = [bool(similarity(a, b, 0.8)) for a, b in pairs]
+    assert sum(linked) > 200 and sum(len(near_dedup.wide_bitmap(WordHashes()(a))) != len(near_dedup.wide_bitmap(WordHashes()(b))) for a, b in pairs) > 5
+    assert all(loose and wide for (loose, wide), same in zip(bounds(spark, pairs), linked, strict=True) if same)
+
+
+def test_wide_bitmaps_tell_long_texts_with_a_common_passage(spark):
+    common = [f"c{k}" for k in range(600)]
+    texts = [common + [f"t{t}w{k}" for k in range(200)] for t in range(5)]
+    found = bounds(spark, [(a, b) for a in texts for b in texts if a is not b])
+    assert all(loose for loose, _ in found) and not any(wide for _, wide in found)
+
+
+def test_a_filter_on_the_similarity_aligns_once(spark):
+    pairs = spark.createDataFrame([("one two three", "one two three"), ("one", "two")], "a string, b string")
+    found = pairs.select("a", near_dedup.aligned(F.col("a"), F.col("b"), 0.8).alias("similarity")).where("similarity >= 0.8")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in found.collect()] == [("one two three", 1.0)]
+
+
 def test_near_duplicates_of_odd_rows(odd, odd_rows, empty):
     rows = near_dedup.near_classes(odd).collect()
     assert len(rows) == len(odd_rows)
