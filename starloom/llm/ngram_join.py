@@ -11,7 +11,7 @@ A text's set holds the distinct runs of ``SHINGLE`` words. Two sets link when th
    about ``PART`` nodes, and the parts' first nodes form the tile again.
 4. In a tile nodes are paired with its first node, one pair a node, so groups of near copies stay linear. Tiles
    that hold nodes of several components go on: first with their most linked node (if it has a link), then with all pairs of different
-   components that share enough kept grams.
+   components that share enough kept grams, each pair in the tile of the first one it shares (``met``).
 5. A pair is dropped if the bits in which the bitmaps differ prove that the overlap is too small (each differing bit stands for
    a gram of one set only). The rest is decided by intersecting the sorted sets.
 
@@ -44,6 +44,7 @@ BITS = 512
 MOST_BITS = 4096
 PART = 4096
 MARKS = 1 << 24
+FIRST = 32  # a pair is formed once if it shares one of so many rarest grams
 WIDE = 8  # a band of sizes spans this power of 5/4
 PIECE = 1 << 20  # bytes hashed at once
 _RANDOM = np.random.default_rng(20240612)
@@ -183,17 +184,24 @@ def described(rows: DataFrame, counts: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "id long, key binary, n int, grams array<long>, parts array<int>, bits array<long>")
 
 
+def band_of(n: Column) -> Column:
+    """The band of a set size."""
+    return F.floor(F.log(n) / (WIDE * float(np.log(SHARE[1] / SHARE[0]))))
+
+
+def tile_of(gram: Column, band: Column) -> Column:
+    return F.xxhash64(gram, band)
+
+
 def tiles(nodes: DataFrame) -> DataFrame:
     """(tile, leader, node, over) of all tiles with several nodes; a split tile's parts have leaders that are nodes of the tile's leader.
 
     ``over``: the tile is of the band above the node's own; two such nodes meet in their own band too.
     """
-    step = WIDE * float(np.log(SHARE[1] / SHARE[0]))
-    band = F.floor(F.log("n") / step)
-    reach = F.floor(F.log(F.col("n") * SHARE[1] / SHARE[0] + 1e-6) / step)  # the band of the largest set it may link with
-    each = nodes.select("node", F.posexplode(F.sequence(band, reach)).alias("above", "band"), F.arrays_zip("grams", "parts").alias("kept"))
+    reach = band_of(F.col("n") * SHARE[1] / SHARE[0] + 1e-6)  # the band of the largest set it may link with
+    each = nodes.select("node", F.posexplode(F.sequence(band_of(F.col("n")), reach)).alias("above", "band"), F.arrays_zip("grams", "parts").alias("kept"))
     each = each.select("node", "above", "band", F.explode("kept").alias("kept"))
-    rows = each.select(F.xxhash64("kept.grams", "band").alias("tile"), "node", (F.col("above") > 0).alias("over"), F.pmod(F.xxhash64("node"), F.col("kept.parts")).cast("int").alias("part"), (F.col("kept.parts") > 1).alias("split"))
+    rows = each.select(tile_of(F.col("kept.grams"), F.col("band")).alias("tile"), "node", (F.col("above") > 0).alias("over"), F.pmod(F.xxhash64("node"), F.col("kept.parts")).cast("int").alias("part"), (F.col("kept.parts") > 1).alias("split"))
     own = Window.partitionBy("tile", "part")
     led = rows.withColumn("leader", F.min("node").over(own)).withColumn("many", F.max("node").over(own) > F.col("leader"))
     led = cut_lineage(led.where("many or split"))
@@ -304,6 +312,35 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
 
 
+def met(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` (tile, node, over) with n, bits and ``earlier``: those tiles of the node's FIRST rarest grams that come before this one.
+
+    Two nodes with a common earlier tile meet there too. In the tile of the first gram that one shares with the other they have none.
+    """
+    band = band_of(F.col("n")) + F.col("over").cast("int")
+    firsts = rows.join(nodes.select("node", "n", "bits", F.slice("grams", 1, FIRST).alias("grams")), "node")
+    firsts = firsts.withColumn("grams", F.transform("grams", lambda gram: tile_of(gram, band)))
+    at = F.array_position("grams", F.col("tile")).cast("int")
+    return firsts.withColumn("earlier", F.when(at > 0, F.slice("grams", 1, at - 1)).otherwise(F.col("grams"))).drop("grams")
+
+
+def unresolved(last: DataFrame) -> DataFrame:
+    """The pairs (leader, node) of ``met`` rows that are of different components and that sizes and bitmaps allow, each from one
+    tile where the FIRST grams of both decide it."""
+    other = last.select("tile", *[F.col(c).alias(f"b_{c}") for c in ("node", "over", "label", "n", "bits", "earlier")])
+    fits = (F.col("node") < F.col("b_node")) & (F.col("label") != F.col("b_label")) & ~(F.col("over") & F.col("b_over"))
+    fits = fits & ~F.arrays_overlap("earlier", "b_earlier") & may_link(F.col("n"), F.col("b_n"), F.col("bits"), F.col("b_bits"))
+    return last.join(other, "tile").where(fits).select(F.col("node").alias("leader"), F.col("b_node").alias("node"))
+
+
+def sharing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (leader, node) that share enough kept grams."""
+    one, other = (nodes.select(*[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "grams")]) for side in ("a", "b"))
+    joined = pairs.join(other, pairs["node"] == F.col("b_node")).join(one, F.col("leader") == F.col("a_node"))
+    shared = F.size(F.array_intersect("a_grams", "b_grams"))
+    return joined.where(enough_kept(F.col("a_n"), F.col("b_n"), shared)).select("leader", "node")
+
+
 def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(leader, node): so many links that their components are those of all links.
 
@@ -325,15 +362,11 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     second = cut_lineage(allowed(ordered(pairs), light).join(tried, ["leader", "node"], "left_anti"))
     linked_pairs = cut_lineage(linked_pairs.unionByName(confirmed(second, rows, nodes)))
 
-    last = mixed(rest.select("tile", "node", "over"), components(linked_pairs, "leader", "node")).join(light, "node")
-    other = last.select("tile", *[F.col(c).alias(f"b_{c}") for c in ("node", "over", "label", "n", "bits")])
-    fits = (F.col("node") < F.col("b_node")) & (F.col("label") != F.col("b_label")) & ~(F.col("over") & F.col("b_over"))
-    fits = fits & may_link(F.col("n"), F.col("b_n"), F.col("bits"), F.col("b_bits"))
-    pairs = last.join(other, "tile").where(fits).groupBy(F.col("node").alias("leader"), F.col("b_node").alias("node"), "n", "b_n").agg(F.count("tile").alias("shared"))
-    pairs = pairs.where(enough_kept(F.col("n"), F.col("b_n"), F.col("shared"))).select("leader", "node")
-    third = cut_lineage(pairs.join(tried.unionByName(second), ["leader", "node"], "left_anti"))
+    last = met(mixed(rest.select("tile", "node", "over"), components(linked_pairs, "leader", "node")), nodes)
+    fresh = cut_lineage(unresolved(last).distinct().join(tried.unionByName(second), ["leader", "node"], "left_anti"))
+    third = cut_lineage(sharing(fresh, nodes))
     linked_pairs = cut_lineage(linked_pairs.unionByName(confirmed(third, rows, nodes)))
-    discard(members, tried, rest, second, third)
+    discard(members, tried, rest, second, fresh, third)
     return linked_pairs
 
 

@@ -149,3 +149,19 @@ def test_bitmaps_of_large_sets(spark):
     may = frame.select("k", ngram_join.may_link(F.col("n"), F.col("m"), F.col("a"), F.col("b")).alias("may")).orderBy("k")
     assert [r["may"] for r in may.collect()] == [linked for linked, *_ in pairs]
     assert any(len(r[2]) != len(r[4]) for r in rows)
+
+
+def test_a_pair_of_the_last_step_is_formed_in_one_tile(spark, make):
+    rng = random.Random(37)
+    base = make(rng, 150).split()
+    rows = [(k, " ".join(edited(rng, base, rng.randint(1, 3)))) for k in range(40)]  # similarities around the bar, many kept grams in common
+    frame = spark.createDataFrame(rows, "id long, text string")
+    each = ngram_join.described(frame, ngram_join.bucket_counts(frame)).withColumn("node", F.col("id")).cache()
+    members = ngram_join.tiles(each).select("tile", "node", "over").distinct().withColumn("label", F.col("node"))
+    formed = sorted(map(tuple, ngram_join.unresolved(ngram_join.met(members, each)).collect()))
+    assert len(formed) == len(set(formed)) > 50
+    sets = [plain_set(t) for _, t in rows]
+    linked = {(a, b) for b in range(40) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert linked and linked <= set(formed)
+    kept = ngram_join.sharing(spark.createDataFrame(formed, "leader long, node long"), each)
+    assert linked <= set(map(tuple, kept.collect()))
