@@ -424,6 +424,45 @@ def test_compact_windows_hold_every_range(make):
                 assert any(hashed[w[0]] == hashed[c] and w[1] <= low and high - 1 <= w[2] for w in found if low <= w[0] < high)
 
 
+def test_windows_of_many_texts_are_those_of_each():
+    rng, near = np.random.default_rng(41), passages.NEAR
+    texts = [rng.integers(0, kinds, n, dtype=np.uint64) for n, kinds in [(46, 9), (200, 3), (45, 99), (700, 1 << 60), (0, 2), (300, 150), (1, 2)]]
+    c, left, right = passages.widths(np.concatenate(texts), np.array([len(t) for t in texts]), 46, near)
+    want, first = {}, 0
+    for tokens in texts:
+        for factor, offset in zip(passages.FACTORS, passages.OFFSETS, strict=True):
+            open_ranges, hashed = [(0, len(tokens))], tokens * factor + offset
+            while open_ranges:
+                low, high = open_ranges.pop()
+                if high - low >= 46:
+                    at = low + int(hashed[low:high].argmin())
+                    a, b = want.get(first + at, (0, 0))
+                    want[first + at] = max(a, min(at - low, near)), max(b, min(high - 1 - at, near))
+                    open_ranges += [(low, at), (at + 1, high)]
+        first += len(tokens)
+    assert dict(zip(c.tolist(), zip(left.tolist(), right.tolist(), strict=True), strict=True)) == want
+
+
+def test_equal_words_are_extended_once(monkeypatch):
+    rng, calls = np.random.default_rng(42), []
+    fresh = lambda n: rng.integers(0, 1 << 16, n).astype("<u2")
+    run, extend = fresh(40), passages.extend
+    x, y = (np.concatenate([fresh(300), run, fresh(300)]) for _ in range(2))
+    monkeypatch.setattr(passages, "extend", lambda *args: calls.append(args) or extend(*args))
+    assert passages.passages_of(x, y, [(300 + k, 300 + k) for k in range(36)]) == []  # 40 words are too few
+    assert len(calls) == 2
+
+
+def test_turns_are_the_nearest_in_order():
+    rng = random.Random(43)
+    for _ in range(3000):
+        part = [rng.randrange(3) for _ in range(rng.randint(0, 13))]
+        a, b = ([rng.randrange(3) for _ in range(rng.randint(0, 4))] + part for _ in range(2))
+        a, b = a[:13], b[:13]
+        fits = [(p, q) for p in range(9) for q in range(9) if len(a[p : p + 5]) == 5 and a[p : p + 5] == b[q : q + 5] and (p, q) in passages.TURNS]
+        assert passages.next_turn(a, b) == min(fits, key=passages.TURNS.get, default=None)
+
+
 def test_windows_that_do_not_fit_the_first_meet_others(spark):
     def window(token, doc, place, left, right):
         return token, doc, int(passages.packed(*map(np.int64, (place, place - left, place + right))))
