@@ -18,7 +18,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -27,6 +28,7 @@ from starloom.llm.common import Memory, blocks, filled, ragged
 # Fixed value: the pattern that splits text into words before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEGMENT = 1 << 20
+PART = 1 << 21
 REMEMBERED = {"words": 200_000, "chunks": 400_000}
 EVEN = re.compile(r"(?<=\S) (?=\S)")
 WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
@@ -221,20 +223,29 @@ class Shared:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def coded(column: pa.Array, encoder: Encoder) -> Iterator[pa.Array]:
+    """Structs of n_tokens, ids and decoded of a text column, about ``PART`` bytes of text at a time, so a task never holds a batch's whole result."""
+    group = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(), dtype=np.int64) // PART
+    starts = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)]
+    for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        texts = filled(column.slice(start, end - start).to_pylist())
+        ids: list[list[bytes]] = [[] for _ in texts]
+        decoded: list[list[str]] = [[] for _ in texts]
+        for i, unit in encoder.encode(texts):
+            ids[i].append(unit.astype("<u4").tobytes())
+            decoded[i].append(encoder.decode(unit))
+        packed = [b"".join(x) for x in ids]
+        columns = [pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array(["".join(x) for x in decoded], pa.string())]
+        yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids", "decoded"])
+
+
 def encode_and_decode(text: Column, vocabulary: Shared) -> Column:
     """Struct of n_tokens, ids (unsigned 32-bit integers, little-endian, packed) and the decoded text."""
 
-    @F.pandas_udf("n_tokens long, ids binary, decoded string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = vocabulary.encoder()
-        for series in batches:
-            ids: list[list[bytes]] = [[] for _ in range(len(series))]
-            decoded: list[list[str]] = [[] for _ in range(len(series))]
-            for i, unit in encoder.encode(filled(series)):
-                ids[i].append(unit.astype("<u4").tobytes())
-                decoded[i].append(encoder.decode(unit))
-            packed = [b"".join(x) for x in ids]
-            yield pd.DataFrame({"n_tokens": [len(x) // 4 for x in packed], "ids": packed, "decoded": ["".join(x) for x in decoded]})
+    @F.arrow_udf("n_tokens long, ids binary, decoded string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield from coded(column, vocabulary.encoder())
 
     return run(text)
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -120,3 +121,18 @@ def test_a_filter_on_the_sections_counts_no_text_twice(spark, vocabulary):
     lines = counted.select("doc_id", F.explode("tokens.sections").alias("s")).where("s.n_tokens > 0")
     assert lines._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert lines.count() == 2
+
+
+def test_encoded_in_parts(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "PART", 300)
+    encoder = bpe.Encoder(bpe.read_vocabulary(vocabulary))
+    texts = [None, "", "one two three", "é ü " * 90, None, *[f"word {k} of many" for k in range(200)], "", "x" * 1000, None]
+    parts = list(bpe.coded(pa.array(["left out", *texts]).slice(1), encoder))
+    assert len(parts) > 8 and max(map(len, parts)) < 30
+    rows = [r for part in parts for r in part.to_pylist()]
+    assert [r["decoded"] for r in rows] == [t or "" for t in texts]
+    assert [r["n_tokens"] for r in rows] == [len(bpe.unpack_ids(r["ids"])) for r in rows]
+    assert sum(map(len, bpe.coded(pa.array([], pa.string()), encoder))) == 0
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = bpe.encode_texts(frame, vocabulary).select("doc_id", "bpe.ids").collect()
+    assert {r["doc_id"]: bytes(r["ids"]) for r in found} == {k: r["ids"] for k, r in enumerate(rows)}
