@@ -494,3 +494,12 @@ def test_passages_of_odd_rows(odd, empty):
     rows = passages.repeated_passages(odd).collect()
     assert {(r["doc_id"], r["other_id"]) for r in rows} == {(8, 7), (9, 7)}
     assert passages.repeated_passages(empty).count() == 0
+
+
+def test_places_are_confirmed_as_packed_numbers(spark):
+    rng = np.random.default_rng(44)
+    x = rng.integers(0, 1 << 16, 80).astype("<u2")
+    rows = [(x[10:].tobytes(), 10, np.concatenate([x[:5], x]).tobytes(), [(40 << 32) | 45, (12 << 32) | 17])]
+    frame = spark.createDataFrame(rows, "x binary, low int, y binary, places array<long>")
+    found = frame.select(passages.confirmed(*(F.col(c) for c in frame.columns)).alias("p")).collect()[0]["p"]
+    assert [(p["start"], p["end"], p["other_start"], p["other_end"], p["similarity"]) for p in found] == [(10, 80, 15, 85, 1.0)]
