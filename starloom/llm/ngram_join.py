@@ -193,23 +193,34 @@ def tile_of(gram: Column, band: Column) -> Column:
     return F.xxhash64(gram, band)
 
 
+def most_after(n: Column, at: Column) -> Column:
+    """The size of the largest set with which one of size ``n`` may link if ``at`` grams come before the first shared one."""
+    low, high = SHARE
+    return F.floor((n - at) * (low + high) / low + 1e-6) - n
+
+
 def tiles(nodes: DataFrame) -> DataFrame:
-    """(tile, leader, node, over) of all tiles with several nodes; a split tile's parts have leaders that are nodes of the tile's leader.
+    """(tile, leader, node, over, at) of the tiles where nodes may link; a split tile's parts have leaders that are nodes of the tile's leader.
 
-    ``over``: the tile is of the band above the node's own; two such nodes meet in their own band too.
+    ``over``: the tile is of the band above the node's own; two such nodes meet in their own band too. ``at``: how many of the node's
+    grams come before the tile's. Of a tile that is not split, nodes are left out that ``most_after`` shows to link with no other by this
+    gram as the first that they share.
     """
     reach = band_of(F.col("n") * SHARE[1] / SHARE[0] + 1e-6)  # the band of the largest set it may link with
-    each = nodes.select("node", F.posexplode(F.sequence(band_of(F.col("n")), reach)).alias("above", "band"), F.arrays_zip("grams", "parts").alias("kept"))
-    each = each.select("node", "above", "band", F.explode("kept").alias("kept"))
-    rows = each.select(tile_of(F.col("kept.grams"), F.col("band")).alias("tile"), "node", (F.col("above") > 0).alias("over"), F.pmod(F.xxhash64("node"), F.col("kept.parts")).cast("int").alias("part"), (F.col("kept.parts") > 1).alias("split"))
+    each = nodes.select("node", "n", F.posexplode(F.sequence(band_of(F.col("n")), reach)).alias("above", "band"), F.arrays_zip("grams", "parts").alias("kept"))
+    each = each.select("node", "n", "above", "band", F.posexplode("kept").alias("at", "kept"))
+    part = F.when(F.col("kept.parts") > 1, F.pmod(F.xxhash64("node"), F.col("kept.parts")).cast("int")).otherwise(-1)  # -1: not split
+    rows = each.select(tile_of(F.col("kept.grams"), F.col("band")).alias("tile"), "node", (F.col("above") > 0).alias("over"), "n", "at", part.alias("part"))
     own = Window.partitionBy("tile", "part")
+    most = most_after(F.col("n"), F.col("at"))
+    least = F.min(F.when(most >= F.col("n"), F.col("n"))).over(own)  # the smaller set of a link may link with its like
+    rows = rows.withColumn("least", least).where((most >= F.col("least")) | (F.col("part") >= 0))
     led = rows.withColumn("leader", F.min("node").over(own)).withColumn("many", F.max("node").over(own) > F.col("leader"))
-    led = cut_lineage(led.where("many or split"))
-    whole = led.where("not split").select("tile", "leader", "node", "over")
-    heads = led.where("split and leader = node").select("tile", "node", "over")
+    led = cut_lineage(led.where("many or part >= 0").drop("n", "least"))
+    columns = ["tile", "leader", "node", "over", "at"]
+    heads = led.where("part >= 0 and leader = node").drop("leader")
     first = heads.groupBy("tile").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    again = heads.join(first, "tile").select("tile", "leader", "node", "over")
-    return whole.unionByName(led.where("split and many").select("tile", "leader", "node", "over")).unionByName(again)
+    return led.where("many").select(columns).unionByName(heads.join(first, "tile").select(columns))
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -313,24 +324,29 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 
 def met(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``rows`` (tile, node, over) with n, bits and ``earlier``: those tiles of the node's FIRST rarest grams that come before this one.
+    """``rows`` (tile, node, over, at) with n, bits and ``earlier``: those of the node's FIRST rarest grams that come before the tile's.
 
-    Two nodes with a common earlier tile meet there too. In the tile of the first gram that one shares with the other they have none.
+    Two nodes that may link meet in the tile of the first gram that they share, and there they have no earlier gram in common. Rows
+    without ``at`` get it as far as the FIRST grams tell.
     """
-    band = band_of(F.col("n")) + F.col("over").cast("int")
     firsts = rows.join(nodes.select("node", "n", "bits", F.slice("grams", 1, FIRST).alias("grams")), "node")
-    firsts = firsts.withColumn("grams", F.transform("grams", lambda gram: tile_of(gram, band)))
-    at = F.array_position("grams", F.col("tile")).cast("int")
-    return firsts.withColumn("earlier", F.when(at > 0, F.slice("grams", 1, at - 1)).otherwise(F.col("grams"))).drop("grams")
+    if "at" not in rows.columns:
+        band = band_of(F.col("n")) + F.col("over").cast("int")
+        place = F.array_position(F.transform("grams", lambda gram: tile_of(gram, band)), F.col("tile")).cast("int")
+        firsts = firsts.withColumn("at", F.when(place > 0, place - 1).otherwise(F.size("grams")))
+    return firsts.withColumn("earlier", F.slice("grams", 1, F.least("at", F.lit(FIRST)))).drop("grams")
 
 
 def unresolved(last: DataFrame) -> DataFrame:
-    """The pairs (leader, node) of ``met`` rows that are of different components and that sizes and bitmaps allow, each from one
-    tile where the FIRST grams of both decide it."""
-    other = last.select("tile", *[F.col(c).alias(f"b_{c}") for c in ("node", "over", "label", "n", "bits", "earlier")])
-    fits = (F.col("node") < F.col("b_node")) & (F.col("label") != F.col("b_label")) & ~(F.col("over") & F.col("b_over"))
-    fits = fits & ~F.arrays_overlap("earlier", "b_earlier") & may_link(F.col("n"), F.col("b_n"), F.col("bits"), F.col("b_bits"))
-    return last.join(other, "tile").where(fits).select(F.col("node").alias("leader"), F.col("b_node").alias("node"))
+    """The pairs (leader, node) of ``met`` rows that are of different components and that sizes, bitmaps and places of the tile's gram
+    allow, each from one tile where the FIRST grams of both decide it."""
+    columns = ("tile", "node", "over", "at", "label", "n", "bits", "earlier")
+    a, b = ({c: F.col(f"{side}_{c}") for c in columns} for side in "ab")
+    one, other = (last.select(*[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")  # alike, so they share one shuffle
+    fits = (a["node"] < b["node"]) & (a["label"] != b["label"]) & ~(a["over"] & b["over"])
+    fits = fits & (b["n"] <= most_after(a["n"], a["at"])) & (a["n"] <= most_after(b["n"], b["at"]))
+    fits = fits & ~F.arrays_overlap(a["earlier"], b["earlier"]) & may_link(a["n"], b["n"], a["bits"], b["bits"])
+    return one.join(other, (a["tile"] == b["tile"]) & fits).select(a["node"].alias("leader"), b["node"].alias("node"))
 
 
 def sharing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -348,7 +364,7 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     found = cut_lineage(tiles(nodes))
     light = nodes.select("node", "n", "bits")
-    members = cut_lineage(found.select("tile", "node", "over").distinct())
+    members = cut_lineage(found.select("tile", "node", "over", "at").distinct())
     first = allowed(found.where("leader < node").select("leader", "node").distinct(), light)
     tried = cut_lineage(first.groupBy("node").agg(F.min("leader").alias("leader")).select("leader", "node"))
     discard(found)
@@ -362,7 +378,7 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     second = cut_lineage(allowed(ordered(pairs), light).join(tried, ["leader", "node"], "left_anti"))
     linked_pairs = cut_lineage(linked_pairs.unionByName(confirmed(second, rows, nodes)))
 
-    last = met(mixed(rest.select("tile", "node", "over"), components(linked_pairs, "leader", "node")), nodes)
+    last = met(mixed(rest.select("tile", "node", "over", "at"), components(linked_pairs, "leader", "node")), nodes)
     fresh = cut_lineage(unresolved(last).distinct().join(tried.unionByName(second), ["leader", "node"], "left_anti"))
     third = cut_lineage(sharing(fresh, nodes))
     linked_pairs = cut_lineage(linked_pairs.unionByName(confirmed(third, rows, nodes)))

@@ -165,3 +165,51 @@ def test_a_pair_of_the_last_step_is_formed_in_one_tile(spark, make):
     assert linked and linked <= set(formed)
     kept = ngram_join.sharing(spark.createDataFrame(formed, "leader long, node long"), each)
     assert linked <= set(map(tuple, kept.collect()))
+
+
+def test_first_shared_grams_lie_where_they_are_looked_for(spark):
+    """For random linked sets in a random order, most of them at the bar."""
+    rng, rows = random.Random(38), []
+    while len(rows) < 1500:
+        n = rng.randint(1, 80)
+        a = rng.sample(range(10**6), n)
+        b = a[rng.randint(0, n // 5) :] + rng.sample(range(10**6, 2 * 10**6), rng.randint(0, n // 4))
+        same = len(set(a) & set(b))
+        if same * 5 >= (len(a) + len(b) - same) * 4:
+            order = {g: rng.random() + (g in a and g in b) * rng.choice([0, 1]) for g in {*a, *b}}
+            a, b = (sorted(x, key=order.get) for x in (a, b))
+            rows.append((len(a), next(k for k, g in enumerate(a) if g in b), len(b), next(k for k, g in enumerate(b) if g in a)))
+    found = spark.createDataFrame(rows, "n int, at int, m int, b_at int")
+    most = ngram_join.most_after(F.col("n"), F.col("at")), ngram_join.most_after(F.col("m"), F.col("b_at"))
+    assert found.where((most[0] < F.col("m")) | (most[1] < F.col("n"))).count() == 0
+
+
+def test_tiles_of_grams_that_come_too_late_are_left_out(spark, make):
+    """Texts that share five sixths of their grams can't link by one that comes after the first ninth of both."""
+    rng = random.Random(39)
+    base = make(rng, 100).split()
+    texts = [list(base) for _ in range(30)]
+    for text in texts:
+        for at in (20, 50, 80):
+            text[at] = f"new{rng.randrange(10**6)}"
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id long, text string")
+    each = ngram_join.described(frame, ngram_join.bucket_counts(frame)).withColumn("node", F.col("id")).cache()
+    assert each.where(F.size("grams") > 15).count() == 30  # some kept grams are those of the base
+    assert ngram_join.tiles(each).count() == 0
+
+
+def test_both_sides_of_the_last_join_are_one_shuffle(spark, make):
+    rng = random.Random(40)
+    frame = spark.createDataFrame([(k, make(rng, 30)) for k in range(4)], "id long, text string")
+    each = ngram_join.described(frame, ngram_join.bucket_counts(frame)).withColumn("node", F.col("id"))
+    members = ngram_join.tiles(each).withColumn("label", F.col("node")).drop("leader")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        formed = ngram_join.unresolved(members.join(each.select("node", "n", "bits", F.col("grams").alias("earlier")), "node"))
+        assert "ReusedExchange" in formed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
