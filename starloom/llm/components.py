@@ -25,3 +25,21 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         labels = jumped.select("node", "label")
         if jumped.where(F.col("label") != F.col("old")).isEmpty():
             return labels
+
+
+def extended(labels: DataFrame, links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+    """The ``components`` of all links: ``labels`` are those of the links before, ``links`` the stored ones that came after.
+
+    Only the components that later links touch are gone through again, as one node each.
+    """
+    if links.isEmpty():
+        return labels
+    for end in (left, right):
+        known = labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        links = links.join(known, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
+    links = cut_lineage(links.select(left, right, f"{left}_label", f"{right}_label"))
+    tops = components(links, f"{left}_label", f"{right}_label").select("label", F.col("node").alias("of"))
+    ends = links.select(F.explode(F.array(left, right)).alias("node")).distinct()
+    fresh = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    both = labels.select("node", "label").unionByName(fresh).withColumnRenamed("label", "of")
+    return cut_lineage(both.join(tops, "of", "left").select("node", F.coalesce("label", "of").alias("label")))

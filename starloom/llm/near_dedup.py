@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starloom.llm.align import similarity
 from starloom.llm.common import WordHashes, filled, mix, shingles
-from starloom.llm.components import components
+from starloom.llm.components import components, extended
 from starloom.llm.ngram_join import differing, mixed, ordered
 from starloom.session import cut_lineage, discard
 
@@ -223,8 +223,9 @@ def confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return found
 
 
-def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(leader, node, similarity): so many links that their components are those of all links between texts that share a bucket.
+def links(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leader, node, similarity): so many links that their components are those of all links between texts that share a bucket; and
+    these ``components``.
 
     ``rows``: id, mark, text; ``nodes``: node, id, mark, n, values, bits, wide.
     """
@@ -237,27 +238,29 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     discard(found)
     known = confirmed(tried, rows, nodes)
 
-    rest = mixed(members, components(known, "leader", "node"))
+    labels = components(known, "leader", "node")
+    rest = mixed(members, labels)
     if rest.isEmpty():
-        return known
+        return known, labels
     degree = known.select(F.explode(F.array("leader", "node")).alias("node")).groupBy("node").agg(F.count("node").alias("links"))
     ranked = rest.join(degree, "node", "left").withColumn("order", F.struct(F.coalesce("links", F.lit(0)), F.xxhash64("node")))
     centres = ranked.groupBy("tile").agg(F.max_by(F.struct("node", "label"), "order").alias("centre"))
     pairs = rest.join(centres, "tile").where("label <> centre.label").select(F.col("centre.node").alias("leader"), "node")
     second = cut_lineage(allowed(ordered(pairs), light).join(tried, ["leader", "node"], "left_anti"))
-    known = cut_lineage(known.unionByName(confirmed(second, rows, nodes)))
+    found = confirmed(second, rows, nodes)
+    known, labels = known.unionByName(found), extended(labels, found, "leader", "node")
 
     held = rest.groupBy("node").agg(F.collect_list("tile").alias("tiles")).join(nodes.select("node", "n", *narrow, "wide"), "node")
-    last = mixed(rest.select("tile", "node"), held.join(components(known, "leader", "node"), "node", "left"))
+    last = mixed(rest.select("tile", "node"), held.join(labels, "node", "left"))
     pairs = sided(last, "x").join(sided(last, "y"), F.col("x_tile") == F.col("y_tile"))
     once = F.array_min(F.array_intersect("x_tiles", "y_tiles")) == F.col("x_tile")
     wide = wide_may_link(F.col("x_n"), F.col("y_n"), F.col("x_wide"), F.col("y_wide"))
     pairs = pairs.where((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & fits("x", "y") & once & wide)
     pairs = pairs.select(F.col("x_node").alias("leader"), F.col("y_node").alias("node"))
     third = cut_lineage(pairs.join(tried.unionByName(second), ["leader", "node"], "left_anti"))
-    known = cut_lineage(known.unionByName(confirmed(third, rows, nodes)))
+    found = confirmed(third, rows, nodes)
     discard(members, tried, rest, second, last, third)
-    return known
+    return known.unionByName(found), extended(labels, found, "leader", "node")
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -270,9 +273,9 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
     nodes = cut_lineage(folded.select(F.monotonically_increasing_id().alias("node"), "key", "first.*", "s.*"))
     discard(each)
-    found = links(rows, nodes)
+    found, labels = links(rows, nodes)
     degree = found.select(F.explode(F.array("leader", "node")).alias("node")).groupBy("node").agg(F.count("node").alias("n_links"))
-    placed = nodes.select("node", "key", F.struct("id", "mark").alias("own")).join(components(found, "leader", "node"), "node", "left")
+    placed = nodes.select("node", "key", F.struct("id", "mark").alias("own")).join(labels, "node", "left")
     placed = placed.join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = placed.groupBy("label").agg(F.min("own").alias("first"))
     names = cut_lineage(placed.join(lowest, "label").select("key", "first", F.col("own.id").alias("text_class"), "n_links"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starloom.llm.common import mix, shingles
-from starloom.llm.components import components
+from starloom.llm.components import components, extended
 from starloom.session import cut_lineage, discard
 
 SHINGLE = 5
@@ -357,8 +357,8 @@ def sharing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.where(enough_kept(F.col("a_n"), F.col("b_n"), shared)).select("leader", "node")
 
 
-def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(leader, node): so many links that their components are those of all links.
+def link_labels(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``components`` of all links, from so many of them as it takes.
 
     ``rows``: id, text; ``nodes``: node, id, key, n, grams, parts, bits.
     """
@@ -370,20 +370,21 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     discard(found)
     linked_pairs = confirmed(tried, rows, nodes)
 
-    rest = mixed(members, components(linked_pairs, "leader", "node"))
+    labels = components(linked_pairs, "leader", "node")
+    rest = mixed(members, labels)
     degree = linked_pairs.select(F.explode(F.array("leader", "node")).alias("node")).groupBy("node").agg(F.count("node").alias("links"))
     known = rest.join(degree, "node", "left").withColumn("order", F.struct(F.coalesce("links", F.lit(0)), F.xxhash64("node")))
     centres = known.groupBy("tile").agg(F.max_by(F.struct("node", "label"), "order").alias("centre"), F.max("links").alias("links"))
     pairs = rest.join(centres.where("links > 0"), "tile").where("label <> centre.label").select(F.col("centre.node").alias("leader"), "node")
     second = cut_lineage(allowed(ordered(pairs), light).join(tried, ["leader", "node"], "left_anti"))
-    linked_pairs = cut_lineage(linked_pairs.unionByName(confirmed(second, rows, nodes)))
+    labels = extended(labels, confirmed(second, rows, nodes), "leader", "node")
 
-    last = met(mixed(rest.select("tile", "node", "over", "at"), components(linked_pairs, "leader", "node")), nodes)
+    last = met(mixed(rest.select("tile", "node", "over", "at"), labels), nodes)
     fresh = cut_lineage(unresolved(last).distinct().join(tried.unionByName(second), ["leader", "node"], "left_anti"))
     third = cut_lineage(sharing(fresh, nodes))
-    linked_pairs = cut_lineage(linked_pairs.unionByName(confirmed(third, rows, nodes)))
+    labels = extended(labels, confirmed(third, rows, nodes), "leader", "node")
     discard(members, tried, rest, second, fresh, third)
-    return linked_pairs
+    return labels
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -395,7 +396,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     folded = named.groupBy("key").agg(F.min("id").alias("id"), F.first(F.struct("n", "grams", "parts", "bits")).alias("set"))
     nodes = cut_lineage(folded.select(F.monotonically_increasing_id().alias("node"), "id", "key", "set.*"))
     discard(each)
-    labels = components(links(rows, nodes), "leader", "node")
+    labels = link_labels(rows, nodes)
     placed = nodes.select("node", "id", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = placed.groupBy("label").agg(F.min("id").alias("component"))
     names = cut_lineage(placed.join(lowest, "label").select("key", "component"))

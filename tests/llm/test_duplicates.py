@@ -74,6 +74,20 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_extended_by_later_links(spark, monkeypatch):
+    rng = random.Random(12)
+    pairs = [(k, k + 1) for k in range(100, 106)] + [(rng.randrange(1000, 1060), rng.randrange(1000, 1060)) for _ in range(30)]
+    later = [(rng.randrange(1000, 1060), rng.randrange(1000, 1060)) for _ in range(10)] + [(106, 99), (99, 5), (2000, 2001), (3000, 3000)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    labels = components.components(frame(pairs)).cache()
+    want = {r["node"]: r["label"] for r in components.components(frame(pairs + later)).collect()}
+    got = components.extended(labels, frame(later)).collect()
+    assert len(got) == len({r["node"] for r in got})
+    assert {r["node"]: r["label"] for r in got if r["node"] != 3000} == want  # a link of a node with itself gives it a label of its own
+    monkeypatch.setattr(components, "components", None)  # no later link: nothing is gone through again
+    assert components.extended(labels, frame([])) is labels
+
+
 @pytest.fixture(scope="module")
 def corpus(make):
     """Groups of edited copies (one large), a shared opening line, and texts of their own."""
