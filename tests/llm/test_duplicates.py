@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -517,3 +518,80 @@ def test_places_are_confirmed_as_packed_numbers(spark):
     frame = spark.createDataFrame(rows, "x binary, low int, y binary, places array<long>")
     found = frame.select(passages.confirmed(*(F.col(c) for c in frame.columns)).alias("p")).collect()[0]["p"]
     assert [(p["start"], p["end"], p["other_start"], p["other_end"], p["similarity"]) for p in found] == [(10, 80, 15, 85, 1.0)]
+
+
+def test_windows_refused_by_the_first_of_their_token_meet_others(spark, make, monkeypatch):
+    rng, rows, wanted = random.Random(45), [], {}
+    for k in range(25):
+        shared = make(rng, 60).split()
+        texts = [
+            [*shared[:42], *make(rng, 30).split()],  # the first two hold all tokens of the passage, but under LEAST words of it
+            [*make(rng, 30).split(), *shared[18:]],
+            [*make(rng, 50).split(), *shared, *make(rng, 50).split()],
+            [*make(rng, 70).split(), *edited(rng, shared, 3), *make(rng, 40).split()],
+        ]
+        rows += [(10 * k + n, " ".join(text)) for n, text in enumerate(texts)]
+        wanted[10 * k + 3, 10 * k + 2] = 50
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (passages.BLOCK, 3):  # windows of a token in one block, and in many
+        monkeypatch.setattr(passages, "BLOCK", block)
+        found = passages.repeated_passages(frame.repartition(3)).collect()
+        assert {(r["doc_id"], r["other_id"]) for r in found} == set(wanted)
+        assert all(r["start"] <= 85 and r["end"] >= 115 for r in found)
+
+
+def test_every_group_of_a_token_is_tried(spark, make):
+    rng = random.Random(46)
+    line, bodies = make(rng, 12), [make(rng, 60) for _ in range(4)]
+    lone = [(k, f"{make(rng, 55)} {line} {make(rng, 55)}") for k in range(40)]  # share no more than a line
+    cluster = [(100 + k, f"{make(rng, 55)} {line} {bodies[k % 4]} {make(rng, 9)}") for k in range(24)]
+    frame = spark.createDataFrame(lone + cluster, "doc_id long, text string")
+    found = {(r["doc_id"], r["other_id"]) for r in passages.repeated_passages(frame).collect()}
+    label = {k: k for k, _ in cluster}
+    for _ in cluster:
+        for one, other in found:
+            label[one] = label[other] = min(label[one], label[other])
+    assert label == {k: 100 + (k - 100) % 4 for k, _ in cluster}
+    assert all(one % 4 == other % 4 for one, other in found)
+
+
+def test_windows_that_align_are_put_together():
+    rng = np.random.default_rng(47)
+    fresh = lambda n, kinds=1 << 16: rng.integers(1, kinds, n).astype("<u2")
+    linked = 0
+    for turn in range(60):
+        token, body = fresh(5), [fresh(60, 1 << 16 if turn % 2 else 3) for _ in range(2)]
+        texts = []
+        for _ in range(12):
+            parts = []
+            for b in body:
+                b = b[: rng.integers(0, 61)] if rng.random() < 0.3 else b
+                for at in sorted(rng.choice(60, rng.integers(0, 7), replace=False), reverse=True):
+                    if at < len(b):
+                        b = np.concatenate([b[:at], fresh(rng.integers(0, 10)), b[at + rng.integers(0, 10) :]])
+                parts.append(b)
+            texts.append((len(parts[0]), np.concatenate([parts[0], token, parts[1], fresh(9)])))
+        c = np.array([at for at, _ in texts])
+        sides = [
+            passages.beside(pa.chunked_array([pa.array([x[at + 5 : at + 69].tobytes() for at, x in texts], pa.binary())]), False),
+            passages.beside(pa.chunked_array([pa.array([x[max(at - 64, 0) : at].tobytes() for at, x in texts], pa.binary())]), True),
+        ]
+        own, none = np.arange(len(texts)), np.zeros(len(texts), np.int64)
+        every = {(int(a), int(b)) for a, b in zip(*passages.pairs_apart(none, own, c, own, sides, True)[:2], strict=True)}
+        one, other, more = passages.pairs_apart(none, own, c, own, sides, False)
+        assert {(int(a), int(b)) for a, b in zip(one, other, strict=True)} <= every
+        assert len(more) or len(set(zip(one.tolist(), other.tolist(), strict=True))) == len(every)
+        for a in range(len(texts)):
+            for b in range(a + 1, len(texts)):
+                if passages.passages_of(texts[b][1], texts[a][1], [(texts[b][0], texts[a][0])]):
+                    linked += 1
+                    assert (a, b) in every
+    assert linked > 500
+
+
+def test_groups_of_a_token_are_joined_by_confirmed_links():
+    edges = [(1, 5, 10, 3, 7, True), (1, 6, 40, 5, 10, True), (1, 9, 2, 3, 7, False), (1, 9, 4, 3, 7, False), (2, 4, 0, 3, 0, False), (3, 8, 1, 7, 1, True)]
+    key, own, c, a, ac, ok = (np.array(x) for x in zip(*edges, strict=True))
+    found = sorted(zip(*(x.tolist() for x in passages.groups_left(key, own, c, a, ac, ok)), strict=True))
+    # places 2 and 4 of document 9 are one window; tokens 2 and 3 have no pair that was not tried
+    assert found == [(1, 3, 7, 3, 7), (1, 5, 10, 3, 7), (1, 6, 40, 3, 7), (1, 9, 2, 9, 2), (1, 9, 4, 9, 2)]
